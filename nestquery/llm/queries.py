@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, simhash_gph
+from . import mixing_tree, quality_mcd, sentencepiece_bpe, simhash_gph
 from .common import table
 
 
+def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mcd.judge(docs, keep=["doc_id"]).select("doc_id", *quality_mcd.STATS, "base_failed", "kept")
+
+
+def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing_tree.taken(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -26,8 +36,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality_mcd": op5_quality_mcd,
+    "op9_mixing_tree": op9_mixing_tree,
     "op6_simhash": op6_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST({WORDS_SQL} AS BIGINT) AS size,
+                  md5('mix:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w,
+             CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+v AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+             coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT *, (total - before) / rest AS level FROM v),
+f AS (SELECT min(cap / w) AS first FROM l WHERE level * w <= cap),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT min(level) FROM l, f WHERE level * w <= cap AND cap / w = first) * w, cap)) AS target FROM l),
+u AS (SELECT source, k, sum(size) AS unit FROM d GROUP BY source, k),
+a AS (SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY k) - unit AS ahead FROM u)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(d.size * least(3, e + CASE WHEN a.ahead + a.unit / 2.0 < t.target - e * t.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS e FROM t) t ON d.source IS NOT DISTINCT FROM t.source
+JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.k = d.k
+"""
+
+ORACLES: dict[str, str] = {"op9_mixing_tree": OP9_SQL}
