@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing_tree, quality_mcd, sentencepiece_bpe, simhash_gph
+from . import mixing_tree, pq_dedup, quality_mcd, secret_markov, sentencepiece_bpe, simhash_gph
 from .common import table
 
 
+def op1_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mcd.judge(docs, keep=["doc_id"]).select("doc_id", *quality_mcd.STATS, "base_failed", "kept")
 
 
+def op7_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_markov.scan(docs).select("doc_id", "spans")
+    count = lambda k: F.size(secret_markov.of_kind(F.col("spans"), k)).cast("long")
+    return out.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_markov.as_text(secret_markov.of_kind(F.col("spans"), 0, 1, 2)), 256).alias("base_sha256"),
+        secret_markov.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing_tree.taken(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -36,7 +54,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pq_dedup": op1_pq_dedup,
     "op5_quality_mcd": op5_quality_mcd,
+    "op7_secret_markov": op7_secret_markov,
     "op9_mixing_tree": op9_mixing_tree,
     "op6_simhash": op6_simhash,
     "op10_sentencepiece": op10_sentencepiece,
@@ -64,4 +84,20 @@ FROM d JOIN (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size
 JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.k = d.k
 """
 
-ORACLES: dict[str, str] = {"op9_mixing_tree": OP9_SQL}
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a AS x, a AS y FROM p UNION SELECT r.x, p.b FROM r JOIN p ON p.a = r.y),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(y, vec_id) AS component_id,
+       vec_id = coalesce(y, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_pq_dedup": OP1_SQL, "op9_mixing_tree": OP9_SQL}
