@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing_tree, pq_dedup, quality_mcd, secret_markov, sentencepiece_bpe, simhash_gph
+from . import chat_format, license_scan, mixing_tree, pq_dedup, quality_mcd, secret_markov, sentencepiece_bpe, simhash_gph, shard_maglev, url_filter
 from .common import table
 
 
@@ -13,6 +13,58 @@ def op1_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: (host, path, action)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    out = url_filter.judge(table(spark, sf_dir, "pages"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+HARD_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    hard = spark.createDataFrame(
+        [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    turns = turns.unionByName(hard).withColumn("parts", chat_format.text_part(F.col("text")))
+    read = chat_format.read_back(chat_format.format_chats(turns))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(24)]
+
+
+def op8_shard_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return shard_maglev.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
 def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mcd.judge(docs, keep=["doc_id"]).select("doc_id", *quality_mcd.STATS, "base_failed", "kept")
@@ -55,8 +107,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pq_dedup": op1_pq_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_mcd": op5_quality_mcd,
     "op7_secret_markov": op7_secret_markov,
+    "op8_shard_maglev": op8_shard_maglev,
     "op9_mixing_tree": op9_mixing_tree,
     "op6_simhash": op6_simhash,
     "op10_sentencepiece": op10_sentencepiece,
@@ -100,4 +156,90 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(y, vec_id) AS
 FROM embeddings LEFT JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_pq_dedup": OP1_SQL, "op9_mixing_tree": OP9_SQL}
+
+def _url_sql(url: str) -> tuple[str, str, str]:
+    """Host, path and alias of a url expression."""
+    rest = f"substr({url}, instr({url}, '://') + 3)"
+    has = f"coalesce(contains({url}, '://'), false)"
+    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    query = f"regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1)"
+    return (
+        f"CASE WHEN {has} THEN {host} ELSE '' END",
+        f"CASE WHEN {has} THEN {path} ELSE '' END",
+        f"CASE WHEN {has} THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {query} END",
+    )
+
+
+def _op2_sql() -> str:
+    q = lambda x: x.replace("'", "''")
+    h, p, a = _url_sql("url")
+    th, tp, ta = _url_sql("t")
+    rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+    link = lambda tag, inner: f"regexp_extract(regexp_extract(html, '{q(tag)}'), '{q(inner)}', 1)"
+    folder = "regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '')"
+    return f"""
+WITH RECURSIVE rules(rh, rp, action) AS (VALUES {rules}),
+p AS (SELECT page_id, {h} AS host, {p} AS path, {a} AS alias, html FROM pages),
+l AS (SELECT host, path, alias, unnest([{link(url_filter.CANONICAL, url_filter.HREF)}, {link(url_filter.REFRESH, url_filter.GOAL)}]) AS l FROM p),
+r AS (SELECT host, path, alias, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l
+        WHEN starts_with(l, '/') THEN 'http://' || host || l WHEN regexp_matches(l, '^[#?]|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+        ELSE 'http://' || host || {folder} || l END AS t FROM l),
+e AS (SELECT DISTINCT host, path, alias, {th} AS th, {tp} AS tp, {ta} AS ta FROM r WHERE t IS NOT NULL AND alias IS NOT NULL),
+g AS (SELECT alias AS a, ta AS b FROM e WHERE ta IS NOT NULL UNION SELECT ta, alias FROM e WHERE ta IS NOT NULL),
+c AS (SELECT a AS x, a AS y FROM g UNION SELECT c.x, g.b FROM c JOIN g ON g.a = c.y),
+n AS (SELECT host, path, alias FROM p UNION SELECT th, tp, ta FROM e),
+d AS (SELECT host, path, rh || rp AS rule, action, row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, rh || rp DESC, action DESC) AS k
+      FROM (SELECT DISTINCT host, path FROM n) n JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+m AS (SELECT x, max(action = 'block') AS b, max(action = 'allow') AS a FROM c JOIN n ON n.alias = c.y JOIN d ON d.host = n.host AND d.path = n.path AND k = 1 GROUP BY x)
+SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN m.b AND NOT m.a THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN d ON d.host = p.host AND d.path = p.path AND k = 1 LEFT JOIN m ON m.x = p.alias
+"""
+
+
+OP3_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '{HARD_TEXT}'), (-7, 1, 'assistant', '{HARD_TEXT}')),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\\[|\\\\]')) + length(role) + len(regexp_extract_all(role, '[<\\[|\\\\]')) + 8 AS n FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n) AS n FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g
+"""
+
+
+def _op4_sql() -> str:
+    q = lambda x: x.replace("'", "''")
+
+    def canonical(x: str) -> str:
+        x = f"regexp_replace(lower({x}), '{q(license_scan.COPYRIGHT_LINE)}', '', 'g')"
+        for a, b in license_scan.SPELLINGS:
+            x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+        return f"trim(regexp_replace({x}, '{q(license_scan.GAP)}', ' ', 'g'))"
+
+    known = ", ".join(f"('{a}', '{q(t)}')" for a, t in license_scan.KNOWN)
+    return f"""
+WITH k AS (SELECT md5({canonical("t")}) AS kd, min(l) AS l FROM (VALUES {known}) k(l, t) GROUP BY 1),
+d AS (SELECT doc_id, text, {canonical("text")} AS c FROM documents),
+s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents),
+n AS (SELECT doc_id, string_agg(DISTINCT l, ',' ORDER BY l) AS notices FROM s JOIN k ON kd = md5({canonical("s")}) WHERE contains(lower(s), 'licen') GROUP BY doc_id)
+SELECT doc_id, CASE WHEN c <> '' THEN md5(c) END AS digest, l AS license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN k ON kd = md5(c) AND c <> '' LEFT JOIN n USING (doc_id)
+"""
+
+
+def _op8_sql() -> str:
+    slots = ", ".join(map(str, shard_maglev.lookup_table(SHARDS).tolist()))
+    return f"""
+WITH d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {shard_maglev.SIZE} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, printf('shard-%02d', [{slots}][slot + 1]) AS shard FROM d
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_pq_dedup": OP1_SQL,
+    "op2_url_filter": _op2_sql(),
+    "op3_chat_format": OP3_SQL,
+    "op4_license_scan": _op4_sql(),
+    "op8_shard_maglev": _op8_sql(),
+    "op9_mixing_tree": OP9_SQL,
+}
