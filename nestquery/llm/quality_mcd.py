@@ -226,3 +226,19 @@ def _with(rows: DataFrame, per_group: DataFrame, gs: list[str], how: str = "inne
     for g in gs[1:]:
         on = on & F.col(g).eqNullSafe(F.col(f"{g}r"))
     return rows.join(other, on, how).drop(*[f"{g}r" for g in gs])
+
+
+def keep_good(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text: str = "text", **params) -> DataFrame:
+    """docs without the rows that judge() rejects.
+
+    A verdict depends on text and group alone, so rejected rows are named by the text's hash
+    and the group; the anti-join moves texts only if those names are too many to broadcast.
+    """
+    h = F.xxhash64(F.col(text).cast("string"))
+    named = docs.select(F.col(text).alias("__text"), h.alias("__h"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)])
+    gs = [f"__k{i}" for i in range(len(keys))]
+    bad = judge(named, tuple(gs), "__text", keep=["__h", *gs], **params).where(~F.col("kept")).select("__h", *gs).distinct()
+    on = h == F.col("__h")
+    for g, k in zip(gs, keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(g))
+    return docs.join(bad, on, "left_anti")

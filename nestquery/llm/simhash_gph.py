@@ -262,3 +262,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block:
     named = named.join(least, "component").select("fp", "least")
     per_fp = reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id.
+
+    Of rows that repeat that id one stays.  Rows without an id cannot be named; of those
+    with equal texts one stays.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    best = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), "n"))
+    out = docs.join(best, F.col("doc_id") == F.col("__id"), "left_semi")
+    if not best.where("n > 1").isEmpty():
+        again = best.where("n > 1")
+        repeated = docs.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+        out = docs.join(best.where("n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(repeated)
+    nameless = docs.where("doc_id is null")
+    return out if nameless.isEmpty() else out.unionByName(nameless.dropDuplicates(["text"]))
