@@ -127,6 +127,8 @@ def _expand(frontier: DataFrame, depth: int, max_bytes: int) -> DataFrame:
 
 
 def _root(files: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is not None:  # a file scan follows symbolic links
+        files = files.join(links.select("name"), "name", "left_anti").select(*files.columns)
     base = text.base(F.col("name"))
     fmt = F.when(~base.rlike(PARTIAL), text.probe_format(base, F.col("content"), F.col("size")))
     recipe = F.struct(

@@ -7,19 +7,27 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestquery.sources.rawfiles import RawFiles
+
 #: Files that are still being downloaded are no archives.
 PARTIAL = r"\.(crdownload|part)$"
 
 
-def read_folder(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, glob: str | None = None, hidden: bool = False) -> DataFrame:
     """(name, size, mtime_ns, content) of all regular files below a folder.
 
     The files are read by Spark on the executors; content is read only if it is selected.
+    Names that begin with . or _ are passed over by Spark; hidden adds them, for a folder
+    that driver and executors have mounted.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return named(reader.load(path), path)
+    files = named(reader.load(path), path)
+    if not hidden:
+        return files
+    spark.dataSource.register(RawFiles)
+    return files.unionByName(spark.read.format("rawfiles").option("hidden", "true").load(path))
 
 
 def named(files: DataFrame, root: str) -> DataFrame:

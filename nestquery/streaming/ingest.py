@@ -16,7 +16,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, files_pe
     repeated after a failure leaves no rows twice.
     """
     stream = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch).load(folder)
     )
 
