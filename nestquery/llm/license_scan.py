@@ -4,7 +4,7 @@ A text is brought to a canonical form (lower case, copyright lines out, equivale
 spellings made one, punctuation and white space to single spaces), and the digest of the
 whole of it is looked up among the digests of known licences by a hash join.  Lines are
 looked up the same way, each as an entire text, for notices such as "Released under the MIT
-License."; only lines that hold `licen` go to the join, and each known notice does.
+License."; lines that lack `licen` (either case) are no notices and don't go to the join.
 
 The table of known licences is an argument of any size; Spark broadcasts it only if small.
 Defined cases: null or empty texts, and those of punctuation alone, have no digest and no

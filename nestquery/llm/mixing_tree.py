@@ -141,8 +141,9 @@ def shard_blocks(bins: DataFrame, shards: int, seed: str = "mix") -> DataFrame:
     return bins.join(lists, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b"))).drop("__s", "__b")
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
-    """The mixture: docs' rows, each as often as it is taken, with epoch and shard added.
+def mix(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, epoch: str = "epoch", shard: str = "shard") -> DataFrame:
+    """The mixture: docs' rows, each as often as it is taken, with epoch and shard added
+    (columns of docs that have these names are replaced).
 
     Rows come partitioned by shard (SPREAD tasks a shard), in random order within a task.
     The texts move once: the plan joins them as a table of sources times BINS rows.
@@ -152,6 +153,7 @@ def mix(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int
     key, bin_ = _keyed(docs, seed)
     out = _on_bin(docs.select("*", key.alias("__key"), bin_.alias("__bin")), bins)
     mine = F.slice("__shards", F.lit(1), _copies(max_repeats))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "__key", F.posexplode(mine).alias("__e", "shard"))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("__e") + 1).alias("epoch"), "shard", F.xxhash64("__key", "__e").alias("__o"))
-    return out.repartition("shard", F.pmod("__o", F.lit(SPREAD))).sortWithinPartitions("shard", "__o").drop("__o")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (epoch, shard)]
+    out = out.select(*kept, "__key", F.posexplode(mine).alias("__e", shard))
+    out = out.select(*kept, (F.col("__e") + 1).alias(epoch), shard, F.xxhash64("__key", "__e").alias("__o"))
+    return out.repartition(shard, F.pmod("__o", F.lit(SPREAD))).sortWithinPartitions(shard, "__o").drop("__o")

@@ -10,12 +10,13 @@ vocabulary is loaded, and only their leftmost occurrence is merged in a round.
 
 Null text counts as empty.  An empty text has the end id alone and decodes to ''.
 Texts of any length are encoded whole; repeated rows are encoded each.  Columns other
-than the text pass through unchanged (the output names must be free, else ValueError).
+than the text pass through unchanged; those of the output's names are replaced.
 """
 
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,9 @@ SPACE_MARK = "▁"
 NO_RANK = np.iinfo(np.int32).max
 EMPTY, ABSENT = -1, -2
 #: Words whose ids one Python worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS, REMEMBERED_CHARS = 1_000_000, 50_000_000
+#: Characters of a word from which on it is cut further, or merged by a heap.
+LONG_WORD = 256
 #: Characters of texts that are encoded together.
 BLOCK_CHARS = 1_000_000
 #: Runs of spaces and literal space marks, which plain splitting would cut wrongly.
@@ -96,6 +99,8 @@ class PieceModel:
         keys = np.array([a * self.width + b for a, b in pairs], np.int64)
         made = np.array(list(pairs.values()), np.int32)
         self._hash(keys, made, rank[made])
+        self.pairs = {k: (int(rank[v]), v) for k, v in pairs.items()}
+        self.beside = {p[i : i + 2] for p in symbol for i in range(len(p) - 1)}
         self.rash = np.zeros(self.width, bool)
         self.rash[list(rash)] = True
         table = np.full(0x110000, -1, np.int32)
@@ -139,8 +144,59 @@ class PieceModel:
             self.slot_key[at], self.slot_made[at], self.slot_rank[at] = keys[i], made[i], rank[i]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids one after another and their number for each word, by rounds of
-        simultaneous merges."""
+        """The words' ids one after another and their number for each word."""
+        if max(map(len, words), default=0) <= LONG_WORD:
+            return self._rounds(words)
+        parts = [[w] if len(w) <= LONG_WORD else self._parts(w) for w in words]
+        flat = list(chain.from_iterable(parts))
+        ids, count = self._rounds([w if len(w) <= LONG_WORD else "" for w in flat])
+        pieces = np.split(ids, np.cumsum(count)[:-1])
+        pieces = [self._one_by_one(w) if len(w) > LONG_WORD else x for w, x in zip(flat, pieces)]
+        ends = np.cumsum([len(x) for x in pieces])
+        last = ends[np.cumsum([len(x) for x in parts]) - 1]
+        return np.concatenate(pieces), np.diff(np.r_[0, last])
+
+    def _parts(self, word: str) -> list[str]:
+        """A long word cut wherever no piece holds the two characters side by side."""
+        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
+
+    def _one_by_one(self, word: str) -> np.ndarray:
+        """Merges in order of a heap: for long runs without any place to cut, where rash
+        merges would take a round each."""
+        symbol = self.char_symbol[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (got := self.pairs.get((symbol[i], symbol[j]))) is not None:
+                heapq.heappush(heap, (got[0], i, symbol[i], symbol[j], got[1]))
+
+        for i in range(n):
+            offer(i)
+        gone = -2
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or symbol[i] != a or symbol[j] != b:
+                continue
+            symbol[i], symbol[j] = made, gone
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        left = np.array([i for i in range(n) if symbol[i] != gone], np.int64)
+        ids = np.array([symbol[i] for i in left], np.int32)
+        known = (ids >= 0) & (ids < self.size)
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)[left]
+        return ids if known.all() else self._bytes(np.zeros(len(ids), np.int64), ids, known, chars)[1]
+
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_words() by rounds of simultaneous merges."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -218,10 +274,11 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another, the end id after each, and where each begins."""
         cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > REMEMBERED_WORDS or self.known_chars > REMEMBERED_CHARS:
             self._forget()
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
         if new := list(islice(self.known, len(self.word_count), None)):
+            self.known_chars += sum(map(len, new))
             ids, count = self.encode_words(new)
             begin = len(self.word_ids) + np.cumsum(count) - count
             self.word_ids = np.r_[self.word_ids, ids]
@@ -235,7 +292,7 @@ class PieceModel:
         return out, np.r_[0, ends + np.arange(1, len(texts) + 1)]
 
     def _forget(self) -> None:
-        self.known = _Numbered()
+        self.known, self.known_chars = _Numbered(), 0
         self.word_ids = np.zeros(0, np.int32)
         self.word_begin, self.word_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -288,9 +345,7 @@ def encode_decode(
     model_path is read by the executors; None stands for the 32k piece file of the
     public tokenizers package.  drop_text leaves the text column out of the result.
     """
-    if taken := {ids, decoded} & (set(df.columns) - ({text} if drop_text else set())):
-        raise ValueError(f"columns exist already: {sorted(taken)}")
-    kept = [c for c in df.columns if not (drop_text and c == text)]
+    kept = [c for c in df.columns if c not in (ids, decoded) and not (drop_text and c == text)]
     schema = T.StructType([df.schema[c] for c in kept] + [
         T.StructField(ids, T.ArrayType(T.IntegerType(), False), False),
         T.StructField(decoded, T.StringType(), False),
