@@ -15,6 +15,7 @@ from nestquery.plans.expand import Catalog
 from nestquery.sources.codecs import DecodeError, materialise
 
 SEARCH_LIMIT, PAGE = 2000, 100
+MEMBERS, READ_ROWS, READ_BYTES = 4096, 1024, 16 << 20
 PROPS = ["resourcetype", "displayname", "getcontentlength", "getlastmodified", "getcontenttype", "getetag"]
 FILE_PROPS = {"getcontentlength", "getcontenttype", "getetag"}
 
@@ -97,33 +98,41 @@ def resolve_symlinks(c: Catalog) -> DataFrame:
 def read(c: Catalog, wanted: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(path, size, content, error) of regular files (of `wanted`, a DataFrame of path).
 
-    Entries meet the bytes of their archive; each archive is brought to its entries once
-    per task.  Files of the root need `files`, the source that was expanded.  What can't
+    Up to MEMBERS entries of an archive meet its bytes at once, so an archive moves once
+    for that many members, however large it is.  Files of the root need `files`, the source that was expanded.  What can't
     be decoded has a null content and an error.
     """
-    e = c.entries.where("kind = 'file'").select("fs_id", "name", "path", "size", "recipe")
+    e = c.entries.where("kind = 'file'").select("fs_id", "name", "path", "ord", "size", "recipe")
     if wanted is not None:
         e = e.join(wanted.select("path").distinct(), "path", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.string()))],
+                names=["path", "size", "content", "error"],
+            )
+
         for b in batches:
-            archive = b.column(3)
-            source = None
-            for i in range(b.num_rows):
-                path, size, recipe = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                if source is None or i == 0 or b.column(4)[i] != b.column(4)[i - 1]:
-                    source = archive[i].as_py()
-                try:
-                    data, error = materialise(recipe, source or b"", size), None
-                except DecodeError as x:
-                    data, error = None, str(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path], pa.string()), pa.array([len(data) if data is not None else size], pa.int64()), pa.array([data], pa.binary()), pa.array([error], pa.string())],
-                    names=["path", "size", "content", "error"],
-                )
-
-    inner = e.where("fs_id <> '.'").join(c.content.withColumnRenamed("content", "archive"), "fs_id")
-    out = inner.select("path", "size", "recipe", "archive", "fs_id").mapInArrow(run, "path string, size long, content binary, error string")
+            for i in range(b.num_rows):  # an archive and some of its members
+                source, out, held = b.column(0)[i].as_py() or b"", [], 0
+                for m in b.column(1)[i].as_py():
+                    try:
+                        data, error = materialise(m["recipe"], source, m["size"]), None
+                    except DecodeError as x:
+                        data, error = None, str(x)
+                    out.append((m["path"], len(data) if data is not None else m["size"], data, error))
+                    held += len(data or b"")
+                    if held >= READ_BYTES or len(out) >= READ_ROWS:
+                        yield batch(out)
+                        out, held = [], 0
+                if out:
+                    yield batch(out)
+
+    some = F.collect_list(F.struct("path", "size", "recipe")).alias("members")
+    inner = e.where("fs_id <> '.'").groupBy("fs_id", F.floor(F.col("ord") / MEMBERS).alias("part")).agg(some)
+    inner = inner.join(c.content.withColumnRenamed("content", "archive"), "fs_id")
+    out = inner.select("archive", "members").mapInArrow(run, "path string, size long, content binary, error string")
     if files is not None:
         root = e.where("fs_id = '.'").select("name", "path").join(files.select("name", "content"), "name")
         out = out.unionByName(root.select("path", F.length("content").cast("long").alias("size"), "content", F.lit(None).cast("string").alias("error")))

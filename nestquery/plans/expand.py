@@ -4,6 +4,7 @@ Every level is one Arrow pass over the archives of the level before, in parallel
 archives; it lists members, probes their first bytes and carries on only the bytes of
 those that are archives themselves.  A level is written once, to Parquet, and read as the
 next frontier and as part of the catalog: a lost executor repeats one level's tasks.
+Of a member that is no archive only the first bytes are decoded.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from nestquery.functions import text
 from nestquery.schema import ENTRY, FOUND
 from nestquery.sources import members as M
-from nestquery.sources.codecs import DecodeError, materialise
+from nestquery.sources.codecs import DecodeError, materialise, peek
 from nestquery.sources.files import PARTIAL
 
 #: Rows of an Arrow batch that a parser task gives back at once, and bytes of content.
@@ -88,17 +89,15 @@ def _rows(fs_id: str, found: list[M.Member], data: bytes, depth: int, max_bytes:
         new["recipe"] = x.recipe()
         if x.size is not None and x.size < 16 or (x.size or 0) > max_bytes or "/._" in fs_id and fs_id.endswith(text.MOUNT) and fs_id.rpartition("/")[2].startswith("._"):
             continue
+        recipe, whole = new["recipe"], lambda x=x, r=new["recipe"]: materialise(r, data, x.size)
         try:
-            plain = materialise(new["recipe"], data, x.size)
-        except DecodeError as e:
-            if new["recipe"]["error"] is None and x.codec in M.STREAMS:
-                new["recipe"]["error"] = str(e)
-            continue
-        except MemoryError:
-            new["open_error"] = "too large"
-            continue
-        if (fmt := M.probe(x.name.rpartition("/")[2], plain)) is not None:
-            new["format"], new["content"] = fmt, plain
+            fmt = M.probe(x.name.rpartition("/")[2], peek(recipe, data, x.size), whole, x.size)
+            if fmt is not None:
+                plain = whole()
+                if len(plain) <= max_bytes:
+                    new["format"], new["content"] = fmt, plain
+        except DecodeError:
+            continue  # read() tells why
     yield from taken.values()
 
 

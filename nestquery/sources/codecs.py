@@ -171,3 +171,46 @@ def materialise(recipe: dict, source: bytes, size: int | None) -> bytes:
         if got != recipe["crc"]:
             raise DecodeError("checksum mismatch")
     return prefix + data
+
+
+#: Bytes of a member that the probe looks at.
+HEAD = 1152
+
+
+def peek(recipe: dict, source: bytes, size: int | None, n: int = HEAD) -> bytes:
+    """The first bytes of an entry, decoding no more than they need where the codec can."""
+    if recipe.get("error"):
+        raise DecodeError(recipe["error"])
+    prefix, codec, extents = recipe.get("prefix") or b"", recipe["codec"], recipe["extents"]
+    if len(prefix) >= n:
+        return prefix[:n]
+    try:
+        if codec == "stored":
+            short, left = [], n - len(prefix)
+            for x in extents:
+                if left <= 0:
+                    break
+                short.append({"log": x["log"], "phys": x["phys"], "len": min(x["len"], left)})
+                left -= short[-1]["len"]
+            return prefix + gather(source, short)
+        if len(extents) == 1 and extents[0]["phys"] is not None:
+            packed = memoryview(source)[extents[0]["phys"] : extents[0]["phys"] + extents[0]["len"]]
+        else:
+            packed = memoryview(gather(source, extents))
+        if codec in ("deflate", "gzip"):
+            z, out = zlib.decompressobj(-15 if codec == "deflate" else 31), b""
+            for at in range(0, len(packed), 1 << 14):
+                out += z.decompress(packed[at : at + (1 << 14)], n - len(out))
+                if len(out) >= n or z.eof:
+                    break
+            return prefix + out
+        if codec in ("bzip2", "xz"):
+            z, out = (bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(lzma.FORMAT_XZ)), b""
+            for at in range(0, len(packed), 1 << 16):
+                out += z.decompress(packed[at : at + (1 << 16)], n - len(out))
+                if len(out) >= n or z.eof:
+                    break
+            return prefix + out
+    except (OSError, zlib.error, lzma.LZMAError, EOFError) as e:
+        raise DecodeError(f"{codec}: {e}") from None
+    return materialise(recipe, source, size)[:n]

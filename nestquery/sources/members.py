@@ -788,30 +788,38 @@ def inner_name(base: str, fmt: str) -> str:
     return base
 
 
-def probe(base: str, data: bytes) -> str | None:
-    """probe_format() of functions/text.py for bytes in hand."""
-    if len(data) < 16:
+def probe(base: str, head: bytes, whole: Callable[[], bytes] | None = None, size: int | None = None) -> str | None:
+    """probe_format() of functions/text.py for the first bytes in hand.
+
+    whole() gives all bytes; it is called only for what the head leaves open: the ends of
+    executables, and the length of what looks like a volume of unknown size.
+    """
+    if whole is None:
+        whole, size = (lambda: head), len(head)
+    if len(head) < 16:
         return None
     if base.startswith("._"):
-        at = fork_range(data)
-        return "appledouble" if at else None
+        return "appledouble" if fork_range(head) else None
     if base.endswith(".tar"):
         return "tar"
-    if data[:16] == b"StuffIt (c)1997-" or (data[:1] == b"S" and data[10:14] == b"rLau"):
+    if head[:16] == b"StuffIt (c)1997-" or (head[:1] == b"S" and head[10:14] == b"rLau"):
         return "sit"
-    if data[:2] == b"ER" and data[2:4] in (b"\2\0", b"\4\0", b"\x08\0", b"\x10\0"):
+    if head[:2] == b"ER" and head[2:4] in (b"\2\0", b"\4\0", b"\x08\0", b"\x10\0"):
         return "apm"
-    if data[:3] == b"\x1f\x8b\x08":
+    if head[:3] == b"\x1f\x8b\x08":
         return "gzip"
-    if data[:3] == b"BZh" and 48 <= data[3] <= 57 and data[4:10] == b"1AY&SY" and not base.endswith(".dmg"):
+    if head[:3] == b"BZh" and 48 <= head[3] <= 57 and head[4:10] == b"1AY&SY" and not base.endswith(".dmg"):
         return "bzip2"
-    if data[:6] == b"\xfd7zXZ\0":
+    if head[:6] == b"\xfd7zXZ\0":
         return "xz"
-    if data[:4] == b"PK\3\4" or (data[:2] == b"MZ" and len(data) >= 100 and data[-22:-20] == b"PK" and data[-2:] == b"\0\0"):
+    if head[:4] == b"PK\3\4":
         return "zip"
-    if (not any(data[:16]) or data[:3] in (b"LK\x60", b"\0\0\x60")) and len(data) >= 400 * 1024:
-        m = data[1024:1152]
+    if head[:2] == b"MZ":
+        data = whole()
+        return "zip" if len(data) >= 100 and data[-22:-20] == b"PK" and data[-2:] == b"\0\0" else None
+    if not any(head[:16]) or head[:3] in (b"LK\x60", b"\0\0\x60"):
+        m = head[1024:1152]
         block = int.from_bytes(m[0x14:0x18], "big")
         if m[:2] == b"BD" and m[0x7C:0x7E] != b"H+" and block >= 512 and block % 512 == 0:
-            return "hfs"
+            return "hfs" if (len(whole()) if size is None else size) >= 400 * 1024 else None
     return None
