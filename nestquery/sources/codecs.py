@@ -6,6 +6,7 @@ import bz2
 import lzma
 import zlib
 
+from .stuffit import method13, method15
 
 class DecodeError(Exception):
     pass
@@ -136,6 +137,10 @@ def decode(codec: str, packed: bytes, size: int | None) -> bytes:
             return _lzw(packed, size or 0)
         if codec == "sit3":
             return _huffman(packed, size or 0)
+        if codec == "sit13":
+            return method13(packed, size or 0)
+        if codec == "sit15":
+            return method15(packed, size or 0)
     except (OSError, zlib.error, lzma.LZMAError, EOFError, ValueError) as e:
         raise DecodeError(f"{codec}: {e}") from None
     raise DecodeError(f"unsupported codec {codec}")

@@ -622,13 +622,13 @@ def hfs_members(data: bytes) -> Iterator[Member]:
 
 # --- StuffIt -----------------------------------------------------------------------------
 
-SIT_CODECS = {0: "stored", 2: "sit2", 3: "sit3"}
+SIT_CODECS = {0: "stored", 2: "sit2", 3: "sit3", 13: "sit13", 15: "sit15"}
 
 
 def _sit_fork(method: int, at: int, packed: int, size: int, crc: int, locked: bool) -> Member:
     method &= 0x0F
     x = Member("", size=size, extents=[(0, at, packed)], packed_size=packed, codec=SIT_CODECS.get(method, f"sit{method}"))
-    x.crc = crc if method in (2, 3) else None
+    x.crc = crc if method in (2, 3, 13) else None  # stored forks and method 15 keep none
     if locked:
         x.error = "encrypted"
     elif method not in SIT_CODECS and size:
@@ -675,63 +675,78 @@ def _sit_classic(data: bytes) -> Iterator[Member]:
 
 
 def _sit_v5(data: bytes) -> Iterator[Member]:
-    """Headers are linked; each file's forks follow its header, the resource fork first."""
+    """Headers one after another, each followed by its forks, the resource fork first;
+    a header names that of its folder, which may come later."""
+    end = min(len(data), struct.unpack_from(">I", data, 84)[0] or len(data))
     at, = struct.unpack_from(">I", data, 88)
-    known: dict[int, str] = {0: ""}
-    waiting = [at]
-    seen: set[int] = set()
-    while waiting:
-        at = waiting.pop(0)
-        if at in seen or not 0 < at <= len(data) - 48:
-            continue
-        seen.add(at)
+    folders: dict[int, tuple[int, str]] = {}
+    items: list[tuple[int, str, int, list]] = []
+    error = None
+    while at + 48 <= end:
         size, = struct.unpack_from(">H", data, at + 6)
         h = data[at : at + size]
-        if h[:4] != b"\xa5" * 4 or size < 48 or len(h) < size:
-            raise FormatError("stuffit: bad header")
-        if crc16(h[:32] + b"\0\0" + h[34:]) != struct.unpack_from(">H", h, 32)[0]:
-            raise FormatError("stuffit: bad header")
-        system, flags = h[8], h[9]
-        ctime, mtime, _, after, above, n = struct.unpack_from(">IIIIIH", h, 10)
+        if h[:4] != b"\xa5" * 4 or size < 48 or len(h) < size or crc16(h[:32] + b"\0\0" + h[34:]) != struct.unpack_from(">H", h, 32)[0]:
+            error = "stuffit: bad header"
+            break
+        system, flags = h[4], h[9]
+        ctime, mtime, _, _, above, n = struct.unpack_from(">IIIIIH", h, 10)
         ctime, mtime = ctime - MAC_EPOCH, mtime - MAC_EPOCH
         dsize, dpacked, dcrc = struct.unpack_from(">IIH", h, 34)
         skip = 48 + (0 if flags & 0x40 else h[47])
         raw, rest = h[skip : skip + n], h[skip + n :]
         comment = rest[4 : 4 + struct.unpack_from(">H", rest)[0]] if len(rest) > 4 else b""
-        if after:
-            waiting.insert(0, after)
-        if not n:  # marks the end of a folder
+        begin, at = at, at + size
+        if not n:  # the end of a folder
             continue
-        place, info, fork = at + size, bytes(10), None
+        info, fork = bytes(10), Member("", size=0, packed_size=0)
         if system == 1:
-            k = 50 + data[place + 49] if data[place + 1] & 1 else 36
-            o = data[place : place + k]
+            k = 50 + data[at + 49] if data[at + 1] & 1 else 36
+            o = data[at : at + k]
             if len(o) < k or crc16(o[:2] + b"\0\0" + o[4:]) != struct.unpack_from(">H", o, 2)[0]:
-                raise FormatError("stuffit: bad header")
+                error = "stuffit: bad header"
+                break
             info = o[4:14]
             if o[1] & 1:
                 rsize, rpacked, rcrc = struct.unpack_from(">IIH", o, 36)
-                fork = _sit_fork(o[48], place + k, rpacked, rsize, rcrc, bool(o[49]))
-            place += k
+                fork = _sit_fork(o[48], at + k, rpacked, rsize, rcrc, bool(o[49]))
+            at += k
         elif system == 3:
-            place += 32
+            at += 32
         else:
-            raise FormatError(f"stuffit: unknown system {system}")
-        folder = known.get(above)
-        if folder is None:
-            continue
+            error = f"stuffit: unknown system {system}"
+            break
         name = raw.decode("mac_roman").replace("/", ":")
-        path = f"{folder}/{name}" if folder else name
+        at += fork.packed_size
         if flags & 0x40:
-            known[at] = path
-            if dsize:
-                waiting.insert(0, dsize)
-            yield Member(path, "dir", at * 2 + 1, 0, mtime * NS)
-            yield with_sidecar(path, info, mtime, ctime, None, comment, at * 2, {"flags": struct.unpack_from(">H", info, 8)[0], "ctime_ns": ctime * NS, "comment": comment.decode("mac_roman") or None})
+            folders[begin] = (above, name)
+            items.append((above, name, begin, [info, ctime, mtime, comment]))
             continue
-        fork = fork or Member("", size=0)
-        plain = _sit_fork(h[46], place + (fork.packed_size or 0), dpacked, dsize, dcrc, bool(flags & 0x20))
-        yield from _sit_file(path, at, plain, fork, info, ctime, mtime, comment)
+        plain = _sit_fork(h[46], at, dpacked, dsize, dcrc, bool(flags & 0x20) or h[47] > 0)
+        items.append((above, name, begin, [info, ctime, mtime, comment, plain, fork]))
+        at += dpacked
+
+    def path(folder: int, name: str) -> str | None:
+        for _ in range(1000):
+            if not folder:
+                return name
+            if folder not in folders:
+                return None
+            folder, above = folders[folder]
+            name = f"{above}/{name}"
+        return None
+
+    for folder, name, begin, (info, ctime, mtime, comment, *forks) in items:
+        full = path(folder, name)
+        if full is None:
+            continue
+        if forks:
+            yield from _sit_file(full, begin, *forks, info, ctime, mtime, comment)
+            continue
+        finder = {"flags": struct.unpack_from(">H", info, 8)[0], "ctime_ns": ctime * NS, "comment": comment.decode("mac_roman") or None}
+        yield Member(full, "dir", begin * 2 + 1, 0, mtime * NS)
+        yield with_sidecar(full, info, mtime, ctime, None, comment, begin * 2, finder)
+    if error:
+        raise FormatError(error)
 
 
 def sit_members(data: bytes) -> Iterator[Member]:
