@@ -179,5 +179,5 @@ def gen_sit():
     plain = b"abbabbbb"
     body = head(32, 32, b"fold")
     body += head(0, 3, b"f", 5, len(plain), 5, len(packed), 0, crc16(plain)) + b"rsrc!" + packed
-    body += head(33, 33, b"fold") + head(15, 15, b"odd", 0, 4, 0, 4) + b"????"
+    body += head(33, 33, b"fold") + head(5, 5, b"odd", 0, 4, 0, 4) + b"????"
     return b"SIT!" + struct.pack(">HI", 2, 22 + len(body)) + b"rLau" + bytes(8) + body
