@@ -6,20 +6,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _zone_count(df: DataFrame) -> int:
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _zone(cuts: list[float], c: Column) -> Column:
+    """The number of cuts below c, by a balanced tree of comparisons."""
+    cuts = sorted(set(cuts))
+
+    def tree(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(c > cuts[m], tree(m + 1, b)).otherwise(tree(a, m))
+
+    return tree(0, len(cuts))
+
+
+def _before(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """df with __z and __h: the greatest hi of a key's ranges before this one (null: none).
+
+    A key's ranges are cut into zones of lo; only the zones' maxima, a bounded number per
+    key, pass from zone to zone, so that a key with most of the rows is not one task's.
+    """
+    cuts = df.approxQuantile(lo, [i / _zone_count(df) for i in range(1, _zone_count(df))], 0.002)
+    z = df.withColumn("__z", _zone(cuts, F.col(lo)))
+    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    heads = z.groupBy(*keys, "__z").agg(F.max(hi).alias("__t"))
+    past = Window.partitionBy(*keys).orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__z").alias("__zz"), F.max("__t").over(past).alias("__c"))
+    z = z.withColumn("__h", F.max(hi).over(own))
+    on = F.col("__z") == F.col("__zz")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    z = z.join(heads, on).drop("__zz", *[f"__k{i}" for i in range(len(keys))])
+    return z.withColumn("__h", F.greatest("__h", "__c")).drop("__c")
+
+
 def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """(keys, lo, hi, n): overlapping and touching [lo, hi) ranges of a key made one."""
-    before = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.col("__h").isNull() | (F.col(lo) > F.col("__h"))
-    marked = df.withColumn("__h", F.max(hi).over(before)).withColumn("__g", F.sum(gap.cast("int")).over(upto))
-    return marked.groupBy(*keys, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n")).drop("__g")
+    z = _before(df.select(*keys, lo, hi), keys, lo, hi)
+    z = z.withColumn("__new", F.col("__h").isNull() | (F.col(lo) > F.col("__h")))
+    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)
+    # Runs within a zone; the first may go on one of an earlier zone.
+    runs = z.withColumn("__g", F.sum(F.col("__new").cast("int")).over(own)).groupBy(*keys, "__z", "__g").agg(
+        F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n"), F.max(F.col("__new").cast("int")).alias("__new")
+    )
+    closed = runs.where("__g > 0")
+    # A run is named by its first range; a zone's open run takes the name of the last one.
+    heads = runs.groupBy(*keys, "__z").agg(F.max(F.when(F.col("__g") > 0, F.col(lo))).alias("__last"), F.max(F.when(F.col("__g") == 0, F.lit(1))).alias("__open"))
+    past = Window.partitionBy(*keys).orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*keys, "__z", "__open", F.last("__last", ignorenulls=True).over(past).alias("__name"))
+    heads = heads.where("__open = 1").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__z").alias("__zz"), "__name")
+    on = F.col("__z") == F.col("__zz")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    carried = runs.where("__g = 0").join(heads, on).select(*keys, F.col("__name").alias("__run"), lo, hi, "n")
+    parts = closed.select(*keys, F.col(lo).alias("__run"), lo, hi, "n").unionByName(carried)
+    return parts.groupBy(*keys, "__run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.sum("n").alias("n")).drop("__run")
 
 
 def holes(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """(keys, lo, hi): the gaps between the merged ranges of a key."""
-    before = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    ended = df.select(*keys, F.max(hi).over(before).alias("__h"), F.col(lo).alias("__l"))
-    return ended.where("__h < __l").select(*keys, F.col("__h").alias(lo), F.col("__l").alias(hi))
+    z = _before(df.select(*keys, lo, hi), keys, lo, hi).where(F.col("__h") < F.col(lo))
+    return z.select(*keys, F.col("__h").alias("__a"), F.col(lo).alias("__b")).select(*keys, F.col("__a").alias(lo), F.col("__b").alias(hi))
 
 
 def running_extents(df: DataFrame, keys: list[str], order: list[str], length: str, name: str = "log") -> DataFrame:
@@ -44,30 +94,26 @@ def ordinal_names(df: DataFrame, kind: Column, order: list[str], name: str = "or
 def asof_forward(left: DataFrame, right: DataFrame, at: str, value: str, carry: list[str], by: str | None = None) -> DataFrame:
     """left with the right row of least `value` >= `at` (nulls if there is none), per `by`.
 
-    Both sides are merged into one ordered stream per range of the axis, so nothing is
-    joined pair by pair.  Without `by`, the axis is cut into ranges of right rows, and a
-    range takes the first row of the next ones from a table of one row per range.
+    Both sides are merged into one ordered stream per key and zone of the axis, so nothing
+    is joined pair by pair and no key is one task's; a zone whose stream ends without a
+    right row takes the first of the next zones, from a table of one row per key and zone.
     """
-    key = [F.col(by).alias("__k")] if by else [F.lit(0).alias("__k")]
+    cuts = right.approxQuantile(value, [i / _zone_count(left) for i in range(1, _zone_count(left))], 0.002)
+    key = (F.col(by) if by else F.lit(0)).alias("__k")
     row = F.struct(F.col(value).alias("__v"), *[F.col(c) for c in carry])
-    if by:
-        a = left.select(F.struct("*").alias("__l"), *key, F.col(at).cast("double").alias("__x"), F.lit(0).alias("__s"))
-        r = right.select(*key, F.col(value).cast("double").alias("__x"), row.alias("__r"), F.lit(1).alias("__s"))
-        both = a.unionByName(r, allowMissingColumns=True)
-        w = Window.partitionBy("__k").orderBy(F.col("__x"), F.col("__s")).rowsBetween(0, Window.unboundedFollowing)
-        return both.withColumn("__r", F.first("__r", ignorenulls=True).over(w)).where("__s = 0").select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in carry], F.col("__r.__v").alias(value))
-    cuts = right.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005)
-    zone = lambda c: F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>"), lambda q: q < c))
-    a = left.select(F.struct("*").alias("__l"), F.col(at).cast("double").alias("__x"), F.lit(0).alias("__s")).withColumn("__k", zone(F.col("__x")))
-    r = right.select(F.col(value).cast("double").alias("__x"), row.alias("__r"), F.lit(1).alias("__s")).withColumn("__k", zone(F.col("__x")))
-    heads = r.groupBy("__k").agg(F.min_by("__r", "__r").alias("__h"))
-    after = heads.select(F.col("__k").alias("__j"), "__h")
-    zones = left.sparkSession.range(65).select(F.col("id").cast("int").alias("__i"))
-    nexts = zones.join(F.broadcast(after), F.col("__j") > F.col("__i"), "left").groupBy("__i").agg(F.min_by("__h", "__j").alias("__next"))
-    w = Window.partitionBy("__k").orderBy("__x", "__s", "__r").rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(r, allowMissingColumns=True).withColumn("__r", F.first("__r", ignorenulls=True).over(w)).where("__s = 0")
-    got = both.join(F.broadcast(nexts), F.col("__k") == F.col("__i"), "left").withColumn("__r", F.coalesce("__r", "__next"))
-    return got.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in carry], F.col("__r.__v").alias(value))
+    x = lambda c: F.col(c).alias("__x")
+    a = left.select(F.struct("*").alias("__l"), key, x(at), F.lit(0).alias("__s")).withColumn("__z", _zone(cuts, F.col("__x")))
+    r = right.select(key, x(value), row.alias("__r"), F.lit(1).alias("__s")).withColumn("__z", _zone(cuts, F.col("__x")))
+    heads = r.groupBy("__k", "__z").agg(F.min("__r").alias("__head"))
+    heads = heads.unionByName(a.select("__k", "__z").distinct(), allowMissingColumns=True).groupBy("__k", "__z").agg(F.min("__head").alias("__head"))
+    later = Window.partitionBy("__k").orderBy("__z").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.select(F.col("__k").alias("__kk"), F.col("__z").alias("__zz"), F.first("__head", ignorenulls=True).over(later).alias("__next"))
+    on = Window.partitionBy("__k", "__z").orderBy("__x", "__s", "__r").rowsBetween(0, Window.unboundedFollowing)
+    both = a.unionByName(r, allowMissingColumns=True).withColumn("__r", F.first("__r", ignorenulls=True).over(on)).where("__s = 0")
+    got = both.join(heads, F.col("__k").eqNullSafe(F.col("__kk")) & (F.col("__z") == F.col("__zz")), "left")
+    # Rows without a key match nothing.
+    found = F.when(F.col("__k").isNotNull() & F.col("__x").isNotNull(), F.coalesce("__r", "__next"))
+    return got.withColumn("__r", found).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in carry], F.col("__r.__v").alias(value))
 
 
 def implicit_dirs(paths: DataFrame, path: str) -> DataFrame:
