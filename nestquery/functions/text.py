@@ -132,3 +132,32 @@ def probe_format(base_name: Column, content: Column, size: Column) -> Column:
             "hfs",
         )
     )
+
+
+def url_string(path: Column) -> Column:
+    """A path as a relative url: sub-delimiters of a segment stay, and a colon in the first
+    segment is kept from looking like a scheme."""
+    c = path_escape(path)
+    for a, b in [("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%2C", ","), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@")]:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.when(F.contains(F.substring_index(c, "/", 1), F.lit(":")), F.concat(F.lit("./"), c)).otherwise(c)
+
+
+def clean_path(path: Column) -> Column:
+    """The path without empty and '.' components, '..' taken back as far as it goes; '.' for none."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    up = lambda a, p: (p == "..") & (F.size(a) > 0) & (F.coalesce(F.get(a, F.size(a) - 1), F.lit("..")) != "..")
+    step = lambda a, p: F.when(up(a, p), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(p)))
+    out = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(out == "", ".").otherwise(out)
+
+
+def join_path(folder: Column, name: Column) -> Column:
+    return clean_path(F.concat_ws("/", folder, name))
+
+
+def breadcrumb(path: Column) -> Column:
+    """Links to every folder above a path, from the top."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    links = F.transform(parts, lambda p, i: F.concat(F.lit('<a href="/'), path_escape(F.array_join(F.slice(parts, F.lit(1), i + 1), "/")), F.lit('/">'), html_escape(p), F.lit("</a>")))
+    return F.array_join(F.concat(F.array(F.lit('<a href="/">/</a>')), links), " / ")

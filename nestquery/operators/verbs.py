@@ -237,3 +237,16 @@ def finder_text(c: Catalog) -> DataFrame:
     f = c.entries.where("finder is not null")
     kind = F.concat(text.mac_roman(F.col("finder.ftype")), F.lit("/"), text.mac_roman(F.col("finder.creator")))
     return f.select("path", F.concat_ws(" ", kind, F.concat(F.lit("flags="), F.hex("finder.flags")), F.col("finder.comment")).alias("text"))
+
+
+def search_page(c: Catalog, pattern: str, root: str = ".") -> DataFrame:
+    """(html, found): the first SEARCH_LIMIT matches as list items, and their number.
+
+    The pattern is shown escaped.
+    """
+    got = glob(c, pattern, root)
+    slash = F.when(F.col("kind").isin("dir", "implicit_dir", "mount"), F.lit("/")).otherwise("")
+    item = F.concat(F.lit('<li><a href="/'), text.path_escape(F.concat("path", slash)), F.lit('">'), text.html_escape(F.concat("path", slash)), F.lit("</a></li>"))
+    rows = got.select("path", item.alias("item")).agg(F.sort_array(F.collect_list(F.struct("path", "item"))).alias("x"))
+    title = F.concat(F.lit("<h1>"), text.html_escape(F.lit(pattern)), F.lit("</h1>"), text.breadcrumb(F.lit(root)))
+    return rows.select(F.concat(title, F.lit("<ul>"), F.array_join(F.transform("x", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"), F.size("x").alias("found"))

@@ -7,8 +7,9 @@ import pytest
 from fixtures import gen_apm, gen_hfs, gen_nested, gen_rsrc, gen_sit, gen_tar, gen_zip
 from pyspark.sql import functions as F
 
+from nestquery.functions import text
 from nestquery.operators import verbs
-from nestquery.plans.expand import Catalog, expand, rescan
+from nestquery.plans.expand import Catalog, _rows, expand, rescan
 from nestquery.sources import members as M
 from nestquery.sources.files import list_links, read_folder
 from nestquery.sources.rawfiles import RawFiles
@@ -179,3 +180,34 @@ def test_heads_only(spark, folder):
     spark.dataSource.register(RawFiles)
     got = {r.name: bytes(r.content) for r in spark.read.format("rawfiles").option("head", 16).option("tail", 4).load(str(folder)).collect()}
     assert got["a.zip"] == gen_zip()[:16] + gen_zip()[-4:] and got["tiny"] == b"x" and "._res" in got
+
+
+def test_search_page(cat):
+    r = verbs.search_page(cat, "**/*.txt").first()
+    assert r.found == r.html.count("<li>") > 3 and "hello%20world.txt" in r.html
+    assert "<b>" not in verbs.search_page(cat, "<b>").first().html
+
+
+def test_path_functions(spark):
+    rows = [("a//b/./c", "a/b/c"), ("../a/../b", "../b"), ("", "."), ("a/..", "."), ("./a/../../b", "../b"), ("◆/x", "◆/x")]
+    got = spark.createDataFrame(rows, "p string, want string").select(text.clean_path(F.col("p")).alias("g"), "want").collect()
+    assert [r.g for r in got] == [r.want for r in got]
+    one = spark.range(1).select(
+        text.join_path(F.lit("a/b"), F.lit("../c")).alias("j"), text.url_string(F.lit("a:b/c d+e?")).alias("u"), text.url_string(F.lit("x/y:z")).alias("v"),
+        text.mac_roman(F.unhex(F.lit("41 8A CA".replace(" ", "")))).alias("m"), text.breadcrumb(F.lit("a b/c")).alias("b"), text.html_escape(F.lit("<\r\n'")).alias("h"),
+    ).first()
+    assert one.j == "a/c" and one.u == "./a:b/c%20d+e%3F" and one.v == "x/y:z" and one.m == "Aä\xa0"
+    assert one.b.count("<a ") == 3 and 'href="/a%20b/c/"' in one.b and one.h == "&lt;\\r\\n&#39;"
+
+
+@pytest.mark.parametrize("members, want", [
+    ([("a/b", "file")], {"a": "implicit_dir", "a/b": "file"}),
+    ([("a/b", "file"), ("a", "dir")], {"a": "dir", "a/b": "file"}),
+    ([("a", "dir"), ("a", "dir"), ("a", "file")], {"a": "dir"}),
+    ([("a", "file"), ("a/b", "file")], {"a": "file"}),
+    ([("a/b/c", "symlink"), ("a/b", "file")], {"a": "implicit_dir", "a/b": "implicit_dir", "a/b/c": "symlink"}),
+])
+def test_tree_rules(members, want):
+    rows = list(_rows("x◆", [M.Member(n, k, size=0) for n, k in members], b"", 1, 1 << 20))
+    assert {r["name"]: r["kind"] for r in rows} == want
+    assert [r["ord"] for r in rows] == list(range(len(rows)))
