@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, durable, smallest_labels
 
 SAMPLE, SUBSPACES, CODES, BLOCK = 16_384, 8, 64, 2048
+SAMPLE_BYTES = 64 << 20
 #: Vectors that a list should hold on average; the number of lists has a bound for the driver.
 LIST_ROWS, MOST_LISTS = 4096, 1024
 EPS = 1e-9
@@ -129,7 +130,8 @@ def near_duplicates(
     dims = {d: n for d, n in classes.groupBy(F.length("raw")).count().orderBy(F.desc("count")).limit(64).collect()}
     quantisers = {}
     for d, n in dims.items():
-        sample = classes.where(F.length("raw") == d).select("class", "raw").orderBy("class").limit(SAMPLE).collect()
+        rows = min(SAMPLE, SAMPLE_BYTES // d)
+        sample = classes.where(F.length("raw") == d).select("class", "raw").orderBy("class").limit(rows).collect()
         quantisers[d] = Quantiser(_unit(_matrix([bytes(x.raw) for x in sample])), int(np.clip(n // list_rows, 1, MOST_LISTS)))
     held = vectors.sparkSession.sparkContext.broadcast(quantisers)
 
