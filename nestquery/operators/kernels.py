@@ -106,10 +106,11 @@ def asof_forward(left: DataFrame, right: DataFrame, at: str, value: str, carry:
     r = right.select(key, x(value), row.alias("__r"), F.lit(1).alias("__s")).withColumn("__z", _zone(cuts, F.col("__x")))
     heads = r.groupBy("__k", "__z").agg(F.min("__r").alias("__head"))
     heads = heads.unionByName(a.select("__k", "__z").distinct(), allowMissingColumns=True).groupBy("__k", "__z").agg(F.min("__head").alias("__head"))
-    later = Window.partitionBy("__k").orderBy("__z").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.select(F.col("__k").alias("__kk"), F.col("__z").alias("__zz"), F.first("__head", ignorenulls=True).over(later).alias("__next"))
-    on = Window.partitionBy("__k", "__z").orderBy("__x", "__s", "__r").rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(r, allowMissingColumns=True).withColumn("__r", F.first("__r", ignorenulls=True).over(on)).where("__s = 0")
+    # From the high end down: a frame that grows costs one step a row, one that shrinks starts anew.
+    later = Window.partitionBy("__k").orderBy(F.desc("__z")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(F.col("__k").alias("__kk"), F.col("__z").alias("__zz"), F.last("__head", ignorenulls=True).over(later).alias("__next"))
+    on = Window.partitionBy("__k", "__z").orderBy(F.desc("__x"), F.desc("__s"), F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(r, allowMissingColumns=True).withColumn("__r", F.last("__r", ignorenulls=True).over(on)).where("__s = 0")
     got = both.join(heads, F.col("__k").eqNullSafe(F.col("__kk")) & (F.col("__z") == F.col("__zz")), "left")
     # Rows without a key match nothing.
     found = F.when(F.col("__k").isNotNull() & F.col("__x").isNotNull(), F.coalesce("__r", "__next"))
