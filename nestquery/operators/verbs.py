@@ -15,7 +15,7 @@ from nestquery.plans.expand import Catalog
 from nestquery.sources.codecs import DecodeError, materialise
 
 SEARCH_LIMIT, PAGE = 2000, 100
-MEMBERS, READ_ROWS, READ_BYTES = 4096, 1024, 16 << 20
+MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 4096, 1024, 16 << 20, 50_000
 PROPS = ["resourcetype", "displayname", "getcontentlength", "getlastmodified", "getcontenttype", "getetag"]
 FILE_PROPS = {"getcontentlength", "getcontenttype", "getetag"}
 
@@ -95,7 +95,7 @@ def resolve_symlinks(c: Catalog) -> DataFrame:
     return ended.select("path", "target", F.col("__p").alias("resolved"))
 
 
-def read(c: Catalog, wanted: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
     """(path, size, content, error) of regular files (of `wanted`, a DataFrame of path).
 
     Up to MEMBERS entries of an archive meet its bytes at once, so an archive moves once
@@ -131,21 +131,26 @@ def read(c: Catalog, wanted: DataFrame | None = None, files: DataFrame | None =
 
     some = F.collect_list(F.struct("path", "size", "recipe")).alias("members")
     inner = e.where("fs_id <> '.'").groupBy("fs_id", F.floor(F.col("ord") / MEMBERS).alias("part")).agg(some)
-    inner = inner.join(c.content.withColumnRenamed("content", "archive"), "fs_id")
+    archives = c.content
+    if c.files is not None:
+        archives = archives.unionByName(c.files.select(F.concat("name", F.lit(text.MOUNT)).alias("fs_id"), "content"))
+    if wanted is not None and e.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+        inner = F.broadcast(inner)
+    inner = archives.withColumnRenamed("content", "archive").join(inner, "fs_id")
     out = inner.select("archive", "members").mapInArrow(run, "path string, size long, content binary, error string")
-    if files is not None:
-        root = e.where("fs_id = '.'").select("name", "path").join(files.select("name", "content"), "name")
+    if c.files is not None:
+        root = e.where("fs_id = '.'").select("name", "path").join(c.files.select("name", "content"), "name")
         out = out.unionByName(root.select("path", F.length("content").cast("long").alias("size"), "content", F.lit(None).cast("string").alias("error")))
     return out
 
 
-def read_at(c: Catalog, path: str, offset: int, length: int, files: DataFrame | None = None) -> DataFrame:
+def read_at(c: Catalog, path: str, offset: int, length: int) -> DataFrame:
     """(path, data): up to length bytes from offset; fewer at the end."""
     if offset < 0 or length < 0:
         raise ValueError("negative offset or length")
     one = c.entries.sparkSession.createDataFrame([(path,)], "path string")
     data = F.substring("content", F.lit(offset + 1), F.lit(length)) if length else F.lit(b"")
-    return read(c, one, files).select("path", data.alias("data"), "error")
+    return read(c, one).select("path", data.alias("data"), "error")
 
 
 def learned_sizes(c: Catalog) -> DataFrame:
@@ -226,10 +231,10 @@ def directory_page(c: Catalog, path: str) -> DataFrame:
 
 def progress(c: Catalog) -> DataFrame:
     """(mounts, archive_bytes, entries): what the expansion has found."""
-    m = c.mounts.agg(F.count("*").alias("mounts"))
-    b = c.content.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("archive_bytes"))
-    e = c.entries.agg(F.count("*").alias("entries"))
-    return m.join(b).join(e)
+    m = c.mounts.select(F.lit(1).alias("m"), F.col("size").alias("b"), F.lit(0).alias("e"))
+    e = c.entries.select(F.lit(0).alias("m"), F.lit(0).cast("long").alias("b"), F.lit(1).alias("e"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return m.unionByName(e).agg(total("m").alias("mounts"), total("b").alias("archive_bytes"), total("e").alias("entries"))
 
 
 def finder_text(c: Catalog) -> DataFrame:

@@ -32,19 +32,23 @@ BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
 
 @dataclass
 class Catalog:
-    """entries, mounts and the bytes of archives, as DataFrames over Parquet."""
+    """entries and mounts; content: the bytes of archives inside archives; files: the root.
+
+    Archives of the root are not copied: reading their members reads `files` again.
+    """
 
     entries: DataFrame
     mounts: DataFrame
     content: DataFrame
+    files: DataFrame | None = None
 
     def save(self, path: str) -> None:
         for name in ("entries", "mounts", "content"):
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Catalog:
-        return Catalog(*(spark.read.parquet(f"{path}/{n}") for n in ("entries", "mounts", "content")))
+    def load(spark: SparkSession, path: str, files: DataFrame | None = None) -> Catalog:
+        return Catalog(*(spark.read.parquet(f"{path}/{n}") for n in ("entries", "mounts", "content")), files)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -161,30 +165,32 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
     spark = files.sparkSession
     folder = work_folder(spark)
     levels: list[DataFrame] = []
-    level = _root(files, links)
+    root = level = _root(files, links)
     for depth in range(max_depth + 1):
-        level.write.parquet(f"{folder}/{depth}")
+        (level if depth else level.withColumn("content", F.lit(None).cast("binary"))).write.parquet(f"{folder}/{depth}")
         level = spark.read.schema(FOUND).parquet(f"{folder}/{depth}")
         levels.append(level)
-        frontier = level.where("format is not null")
-        if depth == max_depth or frontier.isEmpty():
+        if depth == max_depth or level.where("format is not null").isEmpty():
             break
+        frontier = (level if depth else root).where("format is not null")
         frontier = frontier.withColumn("child", F.concat("path", F.lit(text.MOUNT)))
-        level = _expand(_spread(frontier), depth + 1, max_bytes)
+        level = _expand(_spread(frontier) if depth else frontier, depth + 1, max_bytes)
     found = levels[0]
     for x in levels[1:]:
         found = found.unionByName(x)
     entries = found.where("kind <> 'mount'").select(*[f.name for f in ENTRY.fields])
     errors = found.where("kind = 'mount'").select(F.col("fs_id").alias("child_fs_id"), F.col("open_error").alias("__e"))
-    mounts = found.where("format is not null").select("fs_id", "name", "path", "format", F.concat("path", F.lit(text.MOUNT)).alias("child_fs_id"), "depth")
+    size = F.coalesce(F.length("content").cast("long"), F.col("size")).alias("size")
+    mounts = found.where("format is not null").select("fs_id", "name", "path", "format", F.concat("path", F.lit(text.MOUNT)).alias("child_fs_id"), "depth", size)
     state = F.when(F.col("depth") >= max_depth, "recognised").when(F.col("__e").isNotNull(), "failed").otherwise("opened")
-    mounts = mounts.join(errors, "child_fs_id", "left").select("fs_id", "name", "path", state.alias("state"), "format", "child_fs_id", F.col("__e").alias("open_error"))
-    content = found.where("format is not null").select(F.concat("path", F.lit(text.MOUNT)).alias("fs_id"), "content")
-    return Catalog(entries, mounts, content)
+    mounts = mounts.join(errors, "child_fs_id", "left").select("fs_id", "name", "path", state.alias("state"), "format", "child_fs_id", "size", F.col("__e").alias("open_error"))
+    content = found.where("content is not null").select(F.concat("path", F.lit(text.MOUNT)).alias("fs_id"), "content")
+    return Catalog(entries, mounts, content, files)
 
 
 def _spread(frontier: DataFrame) -> DataFrame:
-    """Archives dealt over tasks one by one: their sizes differ by orders of magnitude."""
+    """Archives dealt over tasks one by one: their sizes differ by orders of magnitude.
+    Those of the root stay where the scan has put them."""
     n = frontier.sparkSession.sparkContext.defaultParallelism * 4
     return frontier.select("child", "base", "format", "mtime_ns", "content").repartition(n, "child")
 
@@ -203,6 +209,7 @@ def rescan(files: DataFrame, known: Catalog, **params) -> Catalog:
         fresh.entries.unionByName(old),
         fresh.mounts.unionByName(keep(known.mounts, "path")),
         fresh.content.unionByName(keep(known.content, "fs_id")),
+        files,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nestquery.functions import text
 from nestquery.functions.glob import glob_to_regex
 from nestquery.operators import kernels, pack, verbs
-from nestquery.plans.expand import Catalog, expand, first_wins
+from nestquery.plans.expand import Catalog, expand, first_wins, work_folder
 
 #: Documents in one packed archive.
 VOLUME = 128
@@ -22,7 +22,14 @@ def _packed(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     member = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     volume = F.concat(F.lit("vol-"), F.floor(F.col("doc_id") / VOLUME).cast("string"))
-    return pack.pack(docs, volume, member, F.col("text"), fmt)
+    return _stored(pack.pack(docs, volume, member, F.col("text"), fmt))
+
+
+def _stored(files: DataFrame) -> DataFrame:
+    """Packed files as a source proper, which can be read again."""
+    path = work_folder(files.sparkSession)
+    files.write.parquet(path)
+    return files.sparkSession.read.parquet(path)
 
 
 def _contents(c: Catalog, wanted: DataFrame) -> DataFrame:
@@ -42,7 +49,7 @@ def _stream_roundtrip(fmt: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
         files = pack.squeeze(docs, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), fmt)
-        c = expand(files)
+        c = expand(_stored(files))
         return _contents(c, c.entries.where("depth = 1").select("path"))
 
     return query
@@ -92,7 +99,7 @@ def zip_readdir(spark, sf_dir):
 def zip_read_at(spark, sf_dir):
     """The second hundred bytes of every member."""
     c = expand(_packed(spark, sf_dir, "zip"))
-    return verbs.read(c).select("path", F.md5(F.substring("content", 101, 100)).alias("md5"))
+    return verbs.read(c, verbs.glob(c, "**/*.txt", limit=None)).select("path", F.md5(F.substring("content", 101, 100)).alias("md5"))
 
 
 ZIP_READ_AT_SQL = f"""

@@ -60,7 +60,7 @@ def test_nested_read(spark, cat):
 
 
 def test_every_file_reads_or_says_why(cat, spark, folder):
-    got = verbs.read(cat, files=read_folder(spark, str(folder), hidden=True)).collect()
+    got = verbs.read(cat).collect()
     assert len(got) == cat.entries.where("kind = 'file'").count()
     errors = {r.path: r.error for r in got if r.error}
     assert set(errors) == {"old.sit◆/odd"}
@@ -141,7 +141,7 @@ def test_pages_and_dumps(cat):
 
 def test_save_load_and_rescan(spark, cat, folder, tmp_path):
     cat.save(str(tmp_path / "c"))
-    old = Catalog.load(spark, str(tmp_path / "c"))
+    old = Catalog.load(spark, str(tmp_path / "c"), cat.files)
     assert old.entries.count() == cat.entries.count()
     (folder / "zz.zip").write_bytes(gen_zip())
     os.remove(folder / "tiny")
@@ -150,6 +150,8 @@ def test_save_load_and_rescan(spark, cat, folder, tmp_path):
         got = paths(new.entries)
         assert "zz.zip◆/plain.txt" in got and "tiny" not in got and f"{NESTED}/deep/hello world.txt" in got
         assert new.entries.select("path").distinct().count() == new.entries.count()
+        want = spark.createDataFrame([("zz.zip◆/exec",), ("plain.txt",), (f"{NESTED}/x.bz2◆/x",)], "path string")
+        assert verbs.read(new, want).where("content is not null").count() == 3
     finally:
         os.remove(folder / "zz.zip")
         (folder / "tiny").write_bytes(b"x")
