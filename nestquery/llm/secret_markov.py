@@ -51,6 +51,8 @@ def default_samples(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col(text).cast("string").alias("t"), F.xxhash64(F.col(text).cast("string")).alias("h")).where("t is not null")
     least = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     some = texts.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.min("t").alias("t"))
+    # Few bytes but much work: more tasks than adaptive execution would leave.
+    some = some.repartition(2 * spark.sparkContext.defaultParallelism)
     words = F.filter(F.split("t", r"[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     names = some.select(words.alias("w")).select(
         F.explode(F.array(
