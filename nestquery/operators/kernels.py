@@ -117,6 +117,15 @@ def asof_forward(left: DataFrame, right: DataFrame, at: str, value: str, carry:
     return got.withColumn("__r", found).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in carry], F.col("__r.__v").alias(value))
 
 
+def covering_range(points: DataFrame, ranges: DataFrame, key: str, at: str, lo: str, hi: str) -> DataFrame:
+    """points with the range [lo, hi) of their key that holds `at` (nulls: none), for ranges
+    that don't overlap: the first that ends after the point, if it begins in time."""
+    after = points.withColumn("__at", F.col(at) + 1)
+    got = asof_forward(after, ranges.select(key, lo, hi), "__at", hi, [lo], by=key).drop("__at")
+    inside = F.col(lo) <= F.col(at)
+    return got.select(*points.columns, F.when(inside, F.col(lo)).alias(lo), F.when(inside, F.col(hi)).alias(hi))
+
+
 def implicit_dirs(paths: DataFrame, path: str) -> DataFrame:
     """(path, depth, is_dir) of all prefixes of slash-separated paths."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

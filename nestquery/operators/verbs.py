@@ -13,6 +13,7 @@ from nestquery.functions.glob import glob_to_regex
 from nestquery.operators.kernels import resolve_links
 from nestquery.plans.expand import Catalog
 from nestquery.sources.codecs import DecodeError, materialise
+from nestquery.sources.members import sidecar_facts
 
 SEARCH_LIMIT, PAGE = 2000, 100
 MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 4096, 1024, 16 << 20, 50_000
@@ -255,3 +256,25 @@ def search_page(c: Catalog, pattern: str, root: str = ".") -> DataFrame:
     rows = got.select("path", item.alias("item")).agg(F.sort_array(F.collect_list(F.struct("path", "item"))).alias("x"))
     title = F.concat(F.lit("<h1>"), text.html_escape(F.lit(pattern)), F.lit("</h1>"), text.breadcrumb(F.lit(root)))
     return rows.select(F.concat(title, F.lit("<ul>"), F.array_join(F.transform("x", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"), F.size("x").alias("found"))
+
+
+SIDECAR = "path string, ftype binary, creator binary, flags int, x int, y int, ctime_ns long, mtime_ns long, locked boolean, comment string, fork_size long"
+
+
+def sidecars(c: Catalog) -> DataFrame:
+    """Metadata of every sidecar file (`._name`), wherever it comes from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for b in batches:
+            rows = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if (facts := sidecar_facts(data)) is not None:
+                    rows.append({"path": path} | facts)
+            if schema is None:
+                kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+                schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in SIDECAR.split(", "))])
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    wanted = c.entries.where("kind = 'file' and base like '.\\_%'").select("path")
+    return read(c, wanted).where("content is not null").select("path", "content").mapInArrow(run, SIDECAR)

@@ -168,6 +168,19 @@ WITH {RANGES_SQL}, o AS (SELECT user_id, coalesce(lo < lag(hi) OVER (PARTITION B
 SELECT user_id, CAST(sum(CAST(o AS INT)) AS BIGINT) AS overlaps FROM o GROUP BY user_id"""
 
 
+def cached_ranges(spark, sf_dir):
+    """For a point 40 minutes after each event, the merged range of its user that holds it."""
+    r = _ranges(spark, sf_dir)
+    points = _table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_seconds(F.col("ts").cast("timestamp")) + 2400).alias("at"))
+    got = kernels.covering_range(points, kernels.coalesce_intervals(r, ["user_id"], "lo", "hi"), "user_id", "at", "lo", "hi")
+    return got.select("event_id", F.coalesce("lo", F.lit(-1)).alias("lo"), F.coalesce("hi", F.lit(-1)).alias("hi"))
+
+
+CACHED_SQL = f"""
+WITH c AS ({COALESCE_SQL}), p AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) + 2400 AS x FROM events)
+SELECT event_id, coalesce(lo, -1) AS lo, coalesce(hi, -1) AS hi FROM p LEFT JOIN c ON c.user_id = p.user_id AND lo <= x AND x < hi"""
+
+
 def ordinal_names(spark, sf_dir):
     return kernels.ordinal_names(_table(spark, sf_dir, "part"), F.col("p_type"), ["p_partkey"]).select("p_partkey", "ordinal_name")
 
@@ -391,6 +404,7 @@ QUERIES = {
     "coalesce_ranges": (coalesce_ranges, COALESCE_SQL),
     "holes": (range_holes, HOLES_SQL),
     "range_overlaps": (range_overlaps, OVERLAPS_SQL),
+    "cached_ranges": (cached_ranges, CACHED_SQL),
     "ordinal_names": (ordinal_names, ORDINAL_SQL),
     "running_extents": (running_extents, RUNNING_SQL),
     "asof_forward": (asof_forward, ASOF_SQL),

@@ -838,3 +838,25 @@ def probe(base: str, head: bytes, whole: Callable[[], bytes] | None = None, size
         if m[:2] == b"BD" and m[0x7C:0x7E] != b"H+" and block >= 512 and block % 512 == 0:
             return "hfs" if (len(whole()) if size is None else size) >= 400 * 1024 else None
     return None
+
+
+def sidecar_facts(data: bytes) -> dict | None:
+    """Finder metadata, dates and comment of a sidecar file; None if it is none."""
+    try:
+        parts = read_apple_double(data)
+    except FormatError:
+        return None
+    out: dict = dict.fromkeys(("ftype", "creator", "flags", "x", "y", "ctime_ns", "mtime_ns", "locked", "comment", "fork_size"))
+    piece = lambda k, n: data[parts[k][0] : parts[k][0] + n] if k in parts and parts[k][1] >= n else b""
+    if len(info := piece(9, 16)) == 16:
+        out["ftype"], out["creator"] = info[:4], info[4:8]
+        out["flags"], out["y"], out["x"] = struct.unpack_from(">Hhh", info, 8)
+    if len(dates := piece(8, 16)) == 16:
+        stamp = lambda t: None if t == -(2**31) else (t + APPLE_DOUBLE_EPOCH) * NS
+        out["ctime_ns"], out["mtime_ns"] = map(stamp, struct.unpack_from(">ii", dates))
+    if len(flags := piece(10, 4)) == 4:
+        out["locked"] = bool(flags[3] & 1)
+    if 4 in parts:
+        out["comment"] = data[parts[4][0] : sum(parts[4])].decode("mac_roman")
+    out["fork_size"] = parts.get(2, (0, 0))[1]
+    return out

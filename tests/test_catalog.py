@@ -213,3 +213,10 @@ def test_tree_rules(members, want):
     rows = list(_rows("x◆", [M.Member(n, k, size=0) for n, k in members], b"", 1, 1 << 20))
     assert {r["name"]: r["kind"] for r in rows} == want
     assert [r["ord"] for r in rows] == list(range(len(rows)))
+
+
+def test_sidecars(cat):
+    got = {r.path: r for r in verbs.sidecars(cat).collect()}
+    f = got["v.hfs◆/Vol/Dir:x/._many"]
+    assert (bytes(f.ftype), bytes(f.creator), f.flags, f.mtime_ns, f.locked, f.fork_size) == (b"TEXT", b"ttxt", 0x100, 10**18, False, 600)
+    assert "old.sit◆/fold/._f" in got and "._res" in got and "a.zip◆/d/._deflated.txt" not in got
