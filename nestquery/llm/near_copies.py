@@ -1,0 +1,208 @@
+"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's dedup stage.
+
+Words are cut and lowered as in simhash_gph; a text's set holds the XXH64 values of its
+shingles.  Equal sets collapse to one node first.  Candidates share a band of ROWS
+minhashes; a pair at similarity s is missed by all of BANDS bands with probability
+(1 - s**ROWS)**BANDS, 6e-7 at 0.8.  Every candidate pair is verified on the whole sets.
+
+Two rounds keep a large group of copies cheap: first every node of a band's bucket is
+verified against the least node of the bucket, then, in buckets that still hold several
+components, a task compares the nodes of different components and leaves only joining edges.
+
+Defined cases: null and empty texts share the empty set; fewer words than a shingle make one
+shingle of them all; of a component the row of the smallest doc_id stays (null last), and of
+rows that repeat that id the one of the least text hash, so a row goes only for a row of its
+own component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, durable
+
+BANDS, ROWS = 20, 3
+#: Shingles minhashed at once.
+CHUNK = 1 << 14
+#: Nodes of a bucket compared in one task; larger buckets are split.
+BLOCK = 2048
+_SEEDS = np.random.default_rng(6).integers(0, 2**64, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int, xxh) -> np.ndarray:
+    """Sorted distinct XXH64 values of the shingles."""
+    words = text.lower().split() if text else []  # bytes: ASCII letters and spaces only
+    if len(words) <= shingle:
+        return np.array([xxh(b" ".join(words), 42)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    begin = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) + 1 for w in words], out=begin[1:])
+    spans = zip(begin[:-shingle].tolist(), (begin[shingle:] - 1).tolist())
+    return np.unique(np.array([xxh(joined[a:b], 42) for a, b in spans], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: equal if the band's minhashes are."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), CHUNK):
+        x = hashes[i : i + CHUNK, None] ^ _SEEDS
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, x.min(0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ least[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h, node, bands) for every row; node names the set, h the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xxh
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, xxh) for t in batch.column(2).cast(pa.binary())]
+            node = np.array([xxh(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+            keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands], names=["doc_id", "h", "node", "bands"])
+
+    return _named(docs).mapInArrow(run, "doc_id long, h long, node long, bands array<long>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xxh
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, xxh).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the similarity."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    sizes = F.size("ha") + F.size("hb")
+    long_enough = F.least(F.size("ha"), F.size("hb")) >= similarity * F.greatest(F.size("ha"), F.size("hb")) - 1e-9
+    same = F.size(F.array_intersect("ha", "hb"))
+    return both.where(F.when(long_enough, same >= similarity * (sizes - same) - 1e-9).otherwise(False)).select("a", "b")
+
+
+def _bucket_links(node: np.ndarray, c: np.ndarray, flat: np.ndarray, bounds: np.ndarray, similarity: float):
+    """Edges that join a bucket's components c; node k has the set flat[bounds[k]:bounds[k + 1]].
+    A pair that is connected already is not compared."""
+    label = np.unique(c, return_inverse=True)[1]
+    values, codes = np.unique(flat, return_inverse=True)
+    size = np.diff(bounds)
+    mark = np.zeros(len(values), np.int32)
+    a, b = [], []
+    for i in range(len(node) - 1):
+        apart = label[i + 1 :] != label[i]
+        if not apart.any():
+            continue
+        own = codes[bounds[i] : bounds[i + 1]]
+        mark[own] = 1
+        same = np.add.reduceat(mark[codes[bounds[i + 1] :]], bounds[i + 1 : -1] - bounds[i + 1])
+        mark[own] = 0
+        near = np.flatnonzero(apart & (same >= similarity * (size[i] + size[i + 1 :] - same) - 1e-9)) + i + 1
+        if len(near):
+            joined, first = np.unique(label[near], return_index=True)
+            a += [node[i]] * len(first)
+            b += node[near[first]].tolist()
+            label[np.isin(label, joined)] = label[i]
+    return a, b
+
+
+def _linked(rows: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): edges between components c of rows (g, node, c, n) with the same outcome as all
+    links within each bucket g of n nodes.  Pairs of blocks of a large bucket go to different tasks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(F.xxhash64("g", F.least(own, "x"), F.greatest(own, "x")).alias("g"), "node", "c")
+    rows = rows.join(sets, "node").select("g", "node", "c", "hashes").repartition("g").sortWithinPartitions("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                ready, held = held, None
+            else:
+                t = pa.Table.from_batches([batch])
+                t = t if held is None else pa.concat_tables([held, t])
+                g = t.column(0).to_numpy()
+                cut = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0
+                ready, held = t.slice(0, cut), t.slice(cut)
+            if ready is None or not len(ready):
+                continue
+            g, node, c = (ready.column(k).to_numpy() for k in range(3))
+            lists = ready.column(3).combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            flat = lists.flatten().to_numpy()
+            bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            start = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            for s, e in zip(start[:-1].tolist(), start[1:].tolist()):
+                own = bounds[s : e + 1]
+                a, b = _bucket_links(node[s:e], c[s:e], flat[own[0] : own[-1]], own - own[0], similarity)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, h, component) for every row of docs; h is the hash of its text."""
+    found = durable(signatures(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    nodes = found.groupBy("node").agg(first.alias("who"))
+    who = nodes.select("node", F.col("who.doc_id").alias("i"), F.col("who.h").alias("k"))
+    bands = found.dropDuplicates(["node"]).select("node", F.explode("bands").alias("g"))
+    least = bands.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("g", "low")
+    buckets = durable(bands.join(least, "g"))
+    used = buckets.select("node").distinct().join(who, "node")
+    owned = _named(docs).join(used, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")))
+    sets = durable(_sets(owned, shingle).dropDuplicates(["node"]))
+
+    star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    links = durable(_verified(star, sets, similarity))
+    parts = connected_components(links).withColumnRenamed("node", "n")
+    split = buckets.join(parts, F.col("node") == F.col("n"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    open_ = split.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("g", "n")
+    links = durable(links.unionByName(_linked(durable(split.join(open_, "g")), sets, similarity, block)))
+    parts = connected_components(links).withColumnRenamed("node", "n")
+    return found.join(parts, F.col("node") == F.col("n"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component."""
+    found = components(docs, shingle, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
+    best = found.groupBy("component").agg(first.alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.h").alias("__h"))
+    best = durable(best)
+    h = F.xxhash64(F.col("text").cast("string"))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (h == F.col("__h"))
+    again = durable(found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    if again.isEmpty():
+        return docs.join(best, mine, "left_semi")
+    # Whole rows that repeat id and text are told apart by nothing: one of them stays.
+    repeated = docs.join(again, mine, "left_semi").join(best, mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(again, mine, "left_anti").join(best, mine, "left_semi").unionByName(repeated)
