@@ -10,8 +10,9 @@ Mahalanobis distance exceeds the chi-squared quantile at 1 - `alpha`.  Variances
 floors, for statistics that most rows share exactly.
 
 Defined cases: null or empty text has no words and fails the base rule; rows that fail it
-take no part in the estimate; null lang or source form groups of their own; groups of
-fewer than `min_rows` passing rows reject nothing; repeated rows are judged each.
+take no part in the estimate; null lang or source form groups of their own; rows of groups
+of fewer than `min_rows` passing rows are judged by the estimate of all rows of their lang,
+or, if those are too few as well, of the whole table; repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -159,6 +160,26 @@ def _squared(x: list[Column], mean: Column, inverse: Column) -> Column:
     )
 
 
+def _pools(good: DataFrame, gs: list[str], min_rows: int) -> DataFrame:
+    """For each group __own, the number of leading keys that the pool which judges it shares
+    (all, unless it has too few rows), and __used, those of all pools that its rows take part in."""
+    from pyspark.sql import Window
+
+    sizes = good.groupBy(*gs).agg(F.count("*").alias("__n0"))  # windows over groups, not documents
+    levels = list(range(len(gs), -1, -1))
+    pool = {k: Window.partitionBy(*gs[:k]) if k else Window.partitionBy(F.lit(0)) for k in levels}
+    sizes = sizes.select(*gs, *[F.sum("__n0").over(pool[k]).alias(f"__n{k}") for k in levels])
+    own = F.coalesce(*[F.when(F.col(f"__n{k}") >= min_rows, k) for k in levels], F.lit(0))
+    sizes = sizes.withColumn("__own", own)
+    used = [F.when(F.max((F.col("__own") == k).cast("int")).over(pool[k]) == 1, k) for k in levels]
+    return sizes.select(*gs, "__own", F.array_compact(F.array(*used)).alias("__used"))
+
+
+def _shared(gs: list[str], ps: list[str]) -> list[Column]:
+    """The keys that a pool of level __k shares, the others null."""
+    return [F.when(F.col("__k") > i, F.col(g)).alias(p) for i, (g, p) in enumerate(zip(gs, ps[1:]))]
+
+
 def judge(
     docs: DataFrame,
     keys: tuple[str, str] = ("lang", "source"),
@@ -178,7 +199,13 @@ def judge(
     # The estimate reads the statistics again and again: without the texts.
     row = s.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{k}`").alias(g) for k, g in zip(keys, gs)], *STATS, "base_failed")
     row = durable(row.select("*", *[x.alias(n) for n, x in zip(xs, vector(row))]))
-    good = row.where(~F.col("base_failed")).select(*gs, *xs)
+    pools = durable(_pools(row.where(~F.col("base_failed")), gs, min_rows))
+    # From here on a group is a pool: the number of keys that its rows share, and those keys.
+    good = _with(row.where(~F.col("base_failed")), pools, gs).withColumn("__k", F.explode("__used"))
+    ps = ["__k", *[f"__p{i}" for i in range(len(keys))]]
+    good = good.select("__k", *_shared(gs, ps), *xs)
+    row = _with(row, pools.select(*gs, F.col("__own").alias("__k")), gs, "left").select("*", *_shared(gs, ps))
+    gs = ps
 
     tall = lambda df, cols: df.select(*gs, F.posexplode(F.array(*cols)).alias("__i", "__v"))
     bin_ = F.floor(F.col("__v") * BINS_PER_UNIT)
@@ -209,11 +236,10 @@ def judge(
             *gs, F.col("__n"), F.array(*[f"__a{i}" for i in range(p)]).alias("__mean"),
             _inverse(F.array(*[cell(i, j) for i in range(p) for j in range(p)]), p).alias("__inv"),
         ))
-    now = now.withColumn("__fit", F.col("__n") >= min_rows * support)
     cut = chi2_quantile(1 - alpha, p)
     out = _with(row, now, gs, "left").select(
         *[F.col(f"`{c}`") for c in keep], *STATS, "base_failed",
-        F.when(~F.col("base_failed") & F.col("__fit"), _squared([F.col(x) for x in xs], F.col("__mean"), F.col("__inv"))).alias("distance"),
+        F.when(~F.col("base_failed"), _squared([F.col(x) for x in xs], F.col("__mean"), F.col("__inv"))).alias("distance"),
     )
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cut, F.lit(False)))
 

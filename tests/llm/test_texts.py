@@ -94,6 +94,25 @@ def test_quality_outliers_equal_numpy(spark):
     assert quality_mcd.keep_good(df).columns == df.columns
 
 
+def test_quality_small_groups(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    rows, junk = [], set()
+    # (lang, rows, source): a large group, many small ones of the same lang, and a lang of few rows.
+    for lang, n, source in [("en", 120, "big"), *[("en", 9, f"s{k}") for k in range(12)], ("fr", 11, "t"), (None, 1, None)]:
+        for k in range(n):
+            w = [r.choice(words) for _ in range(r.randint(20, 200))]
+            if k == 3:
+                junk.add(len(rows))
+                w = [x + "###" for x in w]
+            rows.append((len(rows), " ".join(w), lang, source, 0, "s", "h", "k", "i"))
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    got = {x.doc_id: x for x in quality_mcd.judge(df).collect()}
+    assert all(got[i].base_failed or got[i].distance is not None for i in got)
+    assert {i for i in got if not got[i].kept} == junk and len(junk) == 14
+    assert len(rows) - len(junk) == quality_mcd.keep_good(df).count()
+
+
 def test_quality_empty(spark):
     assert quality_mcd.judge(docs(spark, [])).count() == 0 and quality_mcd.keep_good(docs(spark, [])).count() == 0
 
