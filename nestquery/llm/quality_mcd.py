@@ -185,7 +185,7 @@ def judge(
     keys: tuple[str, str] = ("lang", "source"),
     text: str = "text",
     support: float = 0.75,
-    alpha: float = 1e-9,
+    alpha: float = 1e-3,
     steps: int = 2,
     min_rows: int = 50,
     keep: list[str] | None = None,

@@ -113,6 +113,16 @@ def test_quality_small_groups(spark):
     assert len(rows) - len(junk) == quality_mcd.keep_good(df).count()
 
 
+def test_quality_rejects_at_one_in_a_thousand(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = lambda every: " ".join(r.choice(words) + ("|" if every and k % every == 0 else "") for k in range(100))
+    texts = [text(2 if i in (40, 41) else 0) for i in range(200)]
+    got = {x.doc_id: x for x in quality_mcd.judge(docs(spark, texts, ("a",))).collect()}
+    assert {i for i in got if not got[i].kept} == {40, 41}
+    assert all(20.6 < got[i].distance < 50 for i in (40, 41))
+
+
 def test_quality_empty(spark):
     assert quality_mcd.judge(docs(spark, [])).count() == 0 and quality_mcd.keep_good(docs(spark, [])).count() == 0
 
