@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application; a temporary one only where none is set."""
+    """The checkpoint folder of this application, below spark.checkpoint.dir.
+
+    Unset, it is a temporary folder where driver and executors are one process, and an
+    error on a cluster, whose machines don't share one.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "nestquery-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -51,6 +57,43 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def scan(values: Column, zero: Column, op, part: int = 256) -> Column:
+    """Exclusive running results of an associative op over an array, in parts: appending to
+    one array copies it every time, appending to parts of it copies a part."""
+    grown = lambda xs, first: F.aggregate(
+        xs, F.struct(first.alias("now"), F.slice(F.array(first), 1, 0).alias("out")),
+        lambda a, x: F.struct(op(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"],
+    )
+
+    def run(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / part).cast("int")), lambda i: F.slice(v, i * part + 1, F.lit(part)))
+        ends = lambda p: grown(F.transform(p, lambda x: F.aggregate(x, zero, op)), zero)
+        return let(parts, lambda p: F.flatten(F.zip_with(p, ends(p), grown)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.slice(F.array(zero), 1, 0)))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with a table of one row per key, `count` of rows each (dropped).
+
+    Keys with over four times a partition's fair share of the rows are joined by broadcast:
+    there are fewer of them than a quarter of the partitions, whatever the data.  The other
+    keys are shuffled, so no task gets more than those four shares for one key.  Keys that
+    are null match nothing.
+    """
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total is None:
+        total = table.agg(F.sum(count)).first()[0] or 0
+    limit = max(64, 4 * total // tasks)
+    facts = [c for c in table.columns if c not in (*keys, count)]
+    hot = table.where(F.col(count) > limit).select(*keys, F.struct(F.lit(1).alias("0"), *[F.col(f"`{c}`") for c in facts]).alias("\x01hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    cold = marked.where(F.col("\x01hot").isNull()).select(*own).join(table.drop(count), keys).select(*own, *[F.col(f"`{c}`") for c in facts])
+    warm = marked.where(F.col("\x01hot").isNotNull()).select(*own, *[F.col("\x01hot")[c].alias(c) for c in facts])
+    return cold.unionByName(warm)
+
+
 def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the smallest node reachable over the links a[i] - b[i]."""
     label = np.arange(n)
@@ -84,8 +127,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     component is the smallest node reachable.  Large-star and small-star rounds: every
     round is a minimum per node (partially aggregated before its shuffle) joined back to
-    the edges, so a hub with any number of links is never gathered in one task.  Rounds
-    grow with the logarithm of the longest path; each ends in a reliable checkpoint.
+    the edges by spread_join, so a hub with any number of links is never gathered in one
+    task.  Rounds grow with the logarithm of the longest path; each ends in a reliable
+    checkpoint.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -98,17 +142,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
             break
-        seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-            .join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        seen, n = now, now[0]
+        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        low = e.unionByName(back).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = low.select("u", F.least("u", "m").alias("m"), "n")
+        large = durable(spread_join(back, low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u")
+            spread_join(large, low, ["u"], "n", n)
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

@@ -85,6 +85,7 @@ def op7_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken by the copies in the blocks that the shards drew."""
     out = mixing_tree.taken(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
