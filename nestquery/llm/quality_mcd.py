@@ -183,7 +183,7 @@ def _key(parts: list[Column], level: Column) -> Column:
     return F.struct(level.alias("level"), *plain, *[g.isNull().alias(f"no{i}") for i, g in enumerate(shared)])
 
 
-def _starts(good: DataFrame, sizes: DataFrame, xs: list[str]) -> DataFrame:
+def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], rows: int) -> DataFrame:
     """(g, n, centre, starts): for each pool the medians, and inverse scatters to start from."""
     p = len(xs)
     tall = lambda df, cols: df.select("g", F.posexplode(F.array(*cols)).alias("i", "v")).groupBy(
@@ -192,12 +192,12 @@ def _starts(good: DataFrame, sizes: DataFrame, xs: list[str]) -> DataFrame:
         "g", F.transform("s", lambda e: (e["m"] + 0.5) / BINS_PER_UNIT).alias(name))
     centre = as_array(_order_statistic(tall(good, xs), ["g", "i"], 0.5), "centre")
     centre = durable(sizes.join(centre, "g").select("g", "n", "centre"))
-    off = spread_join(good, centre, ["g"], "n").select("g", *[F.abs(F.col(x) - F.get("centre", F.lit(i))).alias(x) for i, x in enumerate(xs)])
+    off = spread_join(good, centre, ["g"], "n", rows).select("g", *[F.abs(F.col(x) - F.get("centre", F.lit(i))).alias(x) for i, x in enumerate(xs)])
     mad = as_array(_order_statistic(tall(off, xs), ["g", "i"], 0.5), "mad")
     unit = F.array(*[F.lit(1.0) / (1.4826 * F.get("mad", F.lit(i)) + F.lit(f)) for i, f in enumerate(FLOORS)])
     scale = durable(centre.join(mad, "g").select("g", "n", "centre", unit.alias("unit")))
     z = [(F.col(x) - F.get("centre", F.lit(i))) * F.get("unit", F.lit(i)) for i, x in enumerate(xs)]
-    z = spread_join(good, scale, ["g"], "n").select("g", *[c.alias(x) for c, x in zip(z, xs)])
+    z = spread_join(good, scale, ["g"], "n", rows).select("g", *[c.alias(x) for c, x in zip(z, xs)])
     norm = F.sqrt(sum((F.col(x) * F.col(x) for x in xs), F.lit(1e-12)))
     kinds = [[F.tanh(x) for x in xs], [F.col(x) / norm for x in xs], [F.signum(x) for x in xs]]
     at = [(i, j) for i in range(p) for j in range(i, p)]
@@ -211,13 +211,13 @@ def _starts(good: DataFrame, sizes: DataFrame, xs: list[str]) -> DataFrame:
     return durable(scale.join(sums, "g").select("g", "n", "centre", F.array(*start).alias("starts")))
 
 
-def _step(good: DataFrame, now: DataFrame, xs: list[str], support: float) -> DataFrame:
+def _step(good: DataFrame, now: DataFrame, xs: list[str], rows: int, support: float) -> DataFrame:
     """(g, n, s, centre, mean, inv, logdet): one concentration step of each start s of now,
     which holds (g, n, centre, at array<struct<s, mean, inv>>)."""
     p = len(xs)
     q = chi2_quantile(support, p)
     factor = support / chi2_cdf(q, p + 2)  # makes the covariance of the nearest share that of all
-    near = spread_join(good, now, ["g"], "n").select("g", "centre", F.explode("at").alias("at"), *xs)
+    near = spread_join(good, now, ["g"], "n", rows).select("g", "centre", F.explode("at").alias("at"), *xs)
     d = _squared([F.col(x) for x in xs], F.col("at.mean"), F.col("at.inv"))
     y = [F.col(x) - F.get("centre", F.lit(i)) for i, x in enumerate(xs)]
     near = near.select("g", F.col("at.s").alias("s"), F.floor(BINS_PER_OCTAVE * F.log2(d + 1e-9)).alias("b"), *[c.alias(x) for c, x in zip(y, xs)])
@@ -234,10 +234,10 @@ def _step(good: DataFrame, now: DataFrame, xs: list[str], support: float) -> Dat
     cell = lambda i, j: factor * (F.col(f"c{min(i, j)}{max(i, j)}") / F.col("k") - mean(i) * mean(j)) + (FLOORS[i] ** 2 if i == j else 0.0)
     m = m.select("g", "s", F.array(*[mean(i) for i in range(p)]).alias("off"), _swept(F.array(*[cell(i, j) for i in range(p) for j in range(p)]), p).alias("inv"))
     out = now.select("g", "n", "centre").join(m, "g")
-    return durable(out.select(
+    return out.select(
         "g", "n", "s", "centre", F.zip_with("centre", "off", lambda a, b: a + b).alias("mean"),
         F.slice("inv", 1, p * p).alias("inv"), F.get("inv", F.lit(p * p)).alias("logdet"),
-    ))
+    )
 
 
 def _gathered(steps: DataFrame) -> DataFrame:
@@ -247,22 +247,23 @@ def _gathered(steps: DataFrame) -> DataFrame:
 def estimates(good: DataFrame, sizes: DataFrame, xs: list[str], support: float = 0.75, first: int = 2, most: int = 50) -> DataFrame:
     """(g, n, mean, inv, logdet) for each pool g of rows (g, xs), sizes being (g, n).
 
-    Steps end when no pool's determinant falls by more than a millionth; it never rises from
-    what is kept, so `most` only guards against a defect.
+    Steps end when no pool's determinant falls by more than its ten-thousandth part; it never
+    rises from what is kept, so `most` only guards against a defect.
     """
-    now = _starts(good, sizes, xs)
+    rows = good.count()
+    now = _starts(good, sizes, xs, rows)
     at = F.transform("starts", lambda inv, s: F.struct(s.alias("s"), F.col("centre").alias("mean"), inv.alias("inv")))
     now = now.select("g", "n", "centre", at.alias("at"))
     for _ in range(first):
-        steps = _step(good, now, xs, support)
+        steps = durable(_step(good, now, xs, rows, support))
         now = _gathered(steps)
     best = Window.partitionBy("g").orderBy("logdet", "s")
     open_ = durable(steps.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
     done = open_.limit(0)
     for _ in range(most):
-        new = _step(good, _gathered(open_), xs, support)
+        new = _step(good, _gathered(open_), xs, rows, support)
         old = open_.select("g", *[F.col(c).alias(f"{c}0") for c in ("mean", "inv", "logdet")])
-        both = durable(new.join(old, "g").withColumn("falls", F.col("logdet") < F.col("logdet0") - 1e-6))
+        both = durable(new.join(old, "g").withColumn("falls", F.col("logdet") < F.col("logdet0") - 1e-4))
         better = F.col("logdet") < F.col("logdet0")
         kept = [F.when(better, F.col(c)).otherwise(F.col(f"{c}0")).alias(c) for c in ("mean", "inv", "logdet")]
         both = both.select("g", "n", "s", "centre", *kept, "falls")
