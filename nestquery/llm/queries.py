@@ -158,35 +158,44 @@ FROM embeddings LEFT JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id
 """
 
 
+def _plain_sql(path: str) -> str:
+    kept = (
+        f"list_reduce(list_concat([''], string_split({path}, '/')[2:]), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '')"
+        f" WHEN x = '.' THEN a ELSE a || '/' || x END) || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END"
+    )
+    return f"CASE WHEN contains({path}, '/.') THEN {kept} ELSE {path} END"
+
+
 def _url_sql(url: str) -> tuple[str, str, str]:
-    """Host, path and alias of a url expression."""
+    """Host, path and query of a url expression."""
     rest = f"substr({url}, instr({url}, '://') + 3)"
     has = f"coalesce(contains({url}, '://'), false)"
     host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}')"
     path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
     query = f"regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1)"
-    return (
-        f"CASE WHEN {has} THEN {host} ELSE '' END",
-        f"CASE WHEN {has} THEN {path} ELSE '' END",
-        f"CASE WHEN {has} THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {query} END",
-    )
+    return f"CASE WHEN {has} THEN {host} ELSE '' END", f"CASE WHEN {has} THEN {path} ELSE '' END", f"CASE WHEN {has} THEN {query} END"
 
 
 def _op2_sql() -> str:
     q = lambda x: x.replace("'", "''")
-    h, p, a = _url_sql("url")
-    th, tp, ta = _url_sql("t")
+    h, p, k = _url_sql("url")
+    th, tp, tk = _url_sql("t")
+    alias = lambda host, path, plain, query: f"{host} || CASE WHEN {path} = '' THEN '/' ELSE {plain} END || {query}"
     rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
-    link = lambda tag, inner: f"regexp_extract(regexp_extract(html, '{q(tag)}'), '{q(inner)}', 1)"
-    folder = "regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '')"
+    link = lambda tag, inner: f"list_transform(regexp_extract_all(coalesce(html, ''), '{q(tag)}'), lambda g: regexp_extract(g, '{q(inner)}', 1))"
+    here = "CASE WHEN path = '' THEN '/' ELSE path END"
     return f"""
 WITH RECURSIVE rules(rh, rp, action) AS (VALUES {rules}),
-p AS (SELECT page_id, {h} AS host, {p} AS path, {a} AS alias, html FROM pages),
-l AS (SELECT host, path, alias, unnest([{link(url_filter.CANONICAL, url_filter.HREF)}, {link(url_filter.REFRESH, url_filter.GOAL)}]) AS l FROM p),
-r AS (SELECT host, path, alias, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l
-        WHEN starts_with(l, '/') THEN 'http://' || host || l WHEN regexp_matches(l, '^[#?]|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-        ELSE 'http://' || host || {folder} || l END AS t FROM l),
-e AS (SELECT DISTINCT host, path, alias, {th} AS th, {tp} AS tp, {ta} AS ta FROM r WHERE t IS NOT NULL AND alias IS NOT NULL),
+p0 AS (SELECT page_id, {h} AS host, {p} AS path, {k} AS query, html FROM pages),
+p AS (SELECT page_id, host, path, {alias("host", "path", _plain_sql("path"), "query")} AS alias, html FROM p0),
+l AS (SELECT host, path, alias, regexp_replace(l, '{url_filter.AMPERSAND}', '&', 'g') AS l FROM
+        (SELECT host, path, alias, unnest(list_concat({link(url_filter.CANONICAL, url_filter.HREF)}, {link(url_filter.REFRESH, url_filter.GOAL)})) AS l FROM p WHERE alias IS NOT NULL)),
+r AS (SELECT host, path, alias, CASE WHEN l = '' OR l[1] = '#' THEN NULL WHEN regexp_matches(l, '{url_filter.SCHEME}//') THEN l
+        WHEN regexp_matches(l, '{url_filter.SCHEME}') THEN NULL WHEN starts_with(l, '//') THEN 'http:' || l
+        WHEN starts_with(l, '/') THEN 'http://' || host || l WHEN starts_with(l, '?') THEN 'http://' || host || {here} || l
+        ELSE 'http://' || host || regexp_replace({here}, '[^/]*$', '') || l END AS t FROM l),
+e0 AS (SELECT DISTINCT host, path, alias, {th} AS th, {tp} AS tp, {tk} AS tk FROM r WHERE t IS NOT NULL),
+e AS (SELECT host, path, alias, th, CASE WHEN tp = '' THEN tp ELSE {_plain_sql("tp")} END AS tp, {alias("th", "tp", _plain_sql("tp"), "tk")} AS ta FROM e0),
 g AS (SELECT alias AS a, ta AS b FROM e WHERE ta IS NOT NULL UNION SELECT ta, alias FROM e WHERE ta IS NOT NULL),
 c AS (SELECT a AS x, a AS y FROM g UNION SELECT c.x, g.b FROM c JOIN g ON g.a = c.y),
 n AS (SELECT host, path, alias FROM p UNION SELECT th, tp, ta FROM e),
