@@ -2,38 +2,66 @@
 
 A text is brought to a canonical form (lower case, copyright lines out, equivalent
 spellings made one, punctuation and white space to single spaces), and the digest of the
-whole of it is looked up among the digests of known licences by a hash join.  Lines are
-looked up the same way, each as an entire text, for notices such as "Released under the MIT
-License."; lines that lack `licen` (either case) are no notices and don't go to the join.
+whole of it is looked up among the digests of known licences by a hash join.  Each line is
+looked up the same way, as an entire text, for notices such as "Released under the MIT
+License."; one pass over a text makes both forms.  Lines whose digest begins like none of
+the table's are left out before the join: the prefixes come from the table itself, so no
+match is lost, whatever the table holds.
+
+Known licences: texts and digests of texts in this module, and notices made by rule.  An
+argument replaces them by a table of any size; it is broadcast up to BROADCAST_KNOWN rows,
+and else joined through the distinct digests, spreading those that many rows share.
 
-The table of known licences is an argument of any size; Spark broadcasts it only if small.
 Defined cases: null or empty texts, and those of punctuation alone, have no digest and no
-licence; repeated rows are looked up each; an empty table gives an empty result; extra
-columns are not used.
+licence; a digest known under several names gets the first; repeated rows are looked up
+each; an empty table gives an empty result; extra columns are not used.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, let
+from .common import durable, let, spread_join
+
+#: Rows of the known table (under 100 bytes each) that are broadcast.
+BROADCAST_KNOWN = 100_000
 
 #: Lines that only name a holder: fixed patterns, also used in the SQL.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
+#: Equivalent spellings: words as they are, and then families of words as patterns.
 SPELLINGS = [
-    (r"licence", "license"),
-    (r"organisation", "organization"),
-    (r"authoris", "authoriz"),
-    (r"recognis", "recogniz"),
-    (r"favour", "favor"),
-    (r"behaviour", "behavior"),
-    (r"merchantibility", "merchantability"),
-    (r"noninfringement|non-infringement", "non infringement"),
-    (r"sub-license", "sublicense"),
-    (r"https://", "http://"),
+    ("licence", "license"),
+    ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
+    ("non-commercial", "noncommercial"),
+    ("non commercial", "noncommercial"),
+    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
+    ("merchantibility", "merchantability"),
+    ("copyright owner", "copyright holder"),
+    ("fulfilment", "fulfillment"),
+    ("wilful", "willful"),
+    ("artefact", "artifact"),
+    ("whilst", "while"),
+    ("practise", "practice"),
+    ("per cent", "percent"),
+    ("https://", "http://"),
+]
+FAMILIES = [
+    (r"(authori|organi|recogni|categori|capitali|initiali|maximi|minimi|optimi|utili|emphasi|reali|customi|summari|generali|analy)s(e|ing|ation)", 1, "z", 2),
+    (r"(fav|lab|behavi|hon|col)our", 1, "or", 0),
+    (r"(cent|calib)re([^a-z]|$)", 1, "er", 2),
+    (r"(cancel|label|model|signal)l(ed|ing)", 1, "", 2),
+    (r"(judg|acknowledg)ement", 1, "ment", 0),
+    (r"(catalog|analog)ue", 1, "", 0),
+    (r"(off|def)ence", 1, "ense", 0),
 ]
 GAP = r"[^\p{L}\p{N}]+"
+#: Whose name may not be used differs from copy to copy of a text.
+HOLDER = r"neither the names? of .{1,200}? nor the names? of "
+ANY_HOLDER = "neither the name of the holder nor the names of "
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -48,54 +76,216 @@ APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-#: (id, text): texts and notices known from the start.
-KNOWN = [
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE_MORE = "\n\nFor more information, please refer to <https://unlicense.org>"
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def _gnu_header(program: str, name: str, version: str) -> str:
+    return f"""{program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+{program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+
+You should have received a copy of the {name} along with this program. If not, see <http://www.gnu.org/licenses/>."""
+
+
+#: (id, text): texts known from the start; those of MIT, ISC, Apache-2.0, BSD, Zlib, Boost,
+#: Unlicense, 0BSD, MPL and GNU headers are fixed values.
+TEXTS = [
     ("MIT", MIT),
     ("MIT", "The MIT License\n\n" + MIT),
     ("MIT", "MIT License\n\n" + MIT),
     ("MIT", "The MIT License (MIT)\n\n" + MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
     ("ISC", ISC),
     ("ISC", "ISC License\n\n" + ISC),
-    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "The ISC License\n\n" + ISC),
     ("Apache-2.0", APACHE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("BSD-2-Clause", BSD_2 + BSD_END),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + BSD_2 + BSD_END),
+    ("BSD-3-Clause", BSD_2 + BSD_NAME + BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_2 + BSD_NAME + BSD_END),
+    ("Zlib", ZLIB),
+    ("Zlib", "zlib License\n\n" + ZLIB),
+    ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE + UNLICENSE_MORE),
+    ("BSL-1.0", BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BOOST),
+    ("0BSD", ZERO_BSD),
+    ("0BSD", "BSD Zero Clause License\n\n" + ZERO_BSD),
+    ("MPL-2.0", MPL_HEADER),
+    *[(i, _gnu_header(p, n, v)) for p in ("This program", "This library", "This file") for i, n, v in (
+        ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+        ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+        ("AGPL-3.0", "GNU Affero General Public License", "3"),
+    )],
+]
+#: (id, names) that notices use; a notice is made of each with each of FRAMES.
+NAMES = [
+    ("MIT", ["MIT License", "MIT", "Expat License"]),
+    ("ISC", ["ISC License"]),
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause"]),
+    ("GPL-2.0", ["GNU General Public License, version 2", "GNU General Public License version 2", "GNU GPL v2", "GPLv2", "GPL-2.0"]),
+    ("GPL-3.0", ["GNU General Public License, version 3", "GNU General Public License version 3", "GNU GPL v3", "GPLv3", "GPL-3.0"]),
+    ("LGPL-2.1", ["GNU Lesser General Public License, version 2.1", "LGPLv2.1", "LGPL-2.1"]),
+    ("LGPL-3.0", ["GNU Lesser General Public License, version 3", "LGPLv3", "LGPL-3.0"]),
+    ("AGPL-3.0", ["GNU Affero General Public License, version 3", "AGPLv3", "AGPL-3.0"]),
+    ("MPL-2.0", ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"]),
+    ("EPL-2.0", ["Eclipse Public License 2.0", "EPL-2.0"]),
+    ("Unlicense", ["Unlicense"]),
+    ("Zlib", ["zlib License"]),
+    ("BSL-1.0", ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"]),
+    ("CC0-1.0", ["CC0 1.0 Universal", "CC0 1.0", "CC0"]),
+    *[(f"CC-{short}-{v}", [f"CC {short} {v}", f"CC-{short}-{v}", f"Creative Commons {long} {v} International License", f"Creative Commons {long} {v} License"])
+      for v in ("4.0", "3.0") for short, long in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )],
+]
+FRAMES = [
+    "Released under {}.", "Licensed under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.",
+    "This software is licensed under {}.", "SPDX-License-Identifier: {}", "License: {}",
+]
+NOTICES = [(i, f.format(a + n)) for i, names in NAMES for n in names for f in FRAMES for a in ("", "a " if n.startswith("Creative") else "the ")]
+KNOWN = [*TEXTS, *NOTICES]
+#: (id, digest) of long texts, whole and without what follows their terms: MD5 of the
+#: canonical form; digest_of() gives it for further texts.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "0b86eecc1e7d2e8a032c6949313ee428"),
+    ("Apache-2.0", "8f86909a6dbf3a124c7a7d11b3aaf31f"),
+    ("Apache-2.0", "c13f45eb6f6ea48b718436651bf73c9a"),
+    ("Artistic-1.0-Perl", "a8b0fb0c6e43a3b36bdc159e59dbfd1e"),
+    ("BSD-2-Clause", "6222f053df59426503c9f9be59942726"),
+    ("BSD-2-Clause", "8c19b192342f336853fe3904a8a03dc0"),
+    ("BSD-3-Clause", "2681913e27ec34f5cd620cbb3c99f342"),
+    ("BSD-3-Clause", "928e519359f661b5a3e212e473d96024"),
+    ("BSD-3-Clause", "fdb383b3eecb3b123b67662db2dd4a6e"),
+    ("BSD-3-Clause", "fdf5429cffc2b44cdbda35e51ff5ff40"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "49ffacd2fea52c0c124f0d16bc990c74"),
+    ("GFDL-1.3", "2d7ce083c264cf7f093acc742260e501"),
+    ("GPL-1.0", "21fa8693acc5194a648fe02e11f65a72"),
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"),
+    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),
+    ("GPL-2.0", "f2c06efe640b4a281cbe5337cdde80ab"),
+    ("GPL-3.0", "17e434cc6db7003444b088cb4cc81e91"),
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("GPL-3.0", "b79359b5e391fd47146ff34ae3db7ec0"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "9fa8ae3e869a929215034d82982372b5"),
+    ("MPL-2.0", "310bebfffc41fb4428c07a91abbe6c86"),
+    ("MPL-2.0", "530f3f9c84e8aa36d5829de4a17e9639"),
+    ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6"),
 ]
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """Canonical forms of the lines that have one."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for a, b in SPELLINGS:
-        t = F.regexp_replace(t, a, b)
-    return F.trim(F.regexp_replace(t, GAP, " "))
+        t = F.replace(t, F.lit(a), F.lit(b))
+    for a, i, b, j in FAMILIES:
+        t = F.regexp_replace(t, a, f"${i}{b}" + (f"${j}" if j else ""))
+    lines = F.transform(F.split(t, "\n"), lambda s: F.trim(F.regexp_replace(s, GAP, " ")))
+    return F.filter(lines, lambda s: s != "")
+
+
+def whole(lines: Column) -> Column:
+    """The canonical form of an entire text from its lines'."""
+    t = F.array_join(lines, " ")
+    return F.when(F.contains(t, F.lit("neither the name")), F.regexp_replace(t, HOLDER, ANY_HOLDER)).otherwise(t)
+
+
+def canonical(text: Column) -> Column:
+    return whole(canonical_lines(text))
+
+
+def digest_of(text: Column) -> Column:
+    """The digest of a text's canonical form; null if nothing is left of it."""
+    return let(canonical(text), lambda c: F.when(c != "", F.md5(c)))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    """(license, digest) of the built-in table."""
+    texts = spark.createDataFrame(KNOWN, "license string, text string").select("license", digest_of(F.col("text")).alias("digest"))
+    return texts.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """rows (with d, a digest or null) with license, null for none."""
+    if small:
+        return rows.join(F.broadcast(table), "d", "left")
+    asked = durable(rows.where("d is not null").groupBy("d").agg(F.count("*").alias("n")).join(table, "d", "left"))
+    none = rows.where("d is null").withColumn("license", F.lit(None).cast("string"))
+    return spread_join(rows, asked, ["d"], "n").unionByName(none)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, license, notices): the licence that the whole text is, and the sorted
-    licences that lines of it name."""
+    licences that lines of it name.  known has (license, text) or (license, digest)."""
     known = known_licenses(docs.sparkSession) if known is None else known
-    table = known.select(F.md5(canonical(F.col("text"))).alias("__d"), "license").groupBy("__d").agg(F.min("license").alias("__l"))
-    form = canonical(F.col(text).cast("string"))
-    lines = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda s: F.lower(s).rlike("licen"))
-    digests = F.transform(lines, lambda s: F.md5(canonical(s)))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        let(form, lambda c: F.when(c != "", F.md5(c))).alias("digest"),
-        F.when(F.col(text).rlike("(?i)licen"), F.array_distinct(digests)).otherwise(F.array().cast("array<string>")).alias("__n"),
-    )
+    if "digest" not in known.columns:
+        known = known.select("license", digest_of(F.col("text")).alias("digest"))
+    table = durable(known.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(F.min("license").alias("license")))
+    small = table.count() <= BROADCAST_KNOWN
+    start = lambda d: F.conv(F.substring(d, 1, 4), 16, 10).cast("int")
+    begins = np.zeros(1 << 16, np.int32)
+    begins[[r.b for r in table.select(start(F.col("d")).alias("b")).distinct().collect()]] = 1  # 65,536 rows at most
+    seen = F.lit(begins)
+
+    def forms(lines: Column) -> Column:
+        near = F.filter(F.transform(lines, lambda s: F.md5(s)), lambda d: F.get(seen, start(d)) == 1)
+        digest = let(whole(lines), lambda c: F.when(c != "", F.md5(c)))
+        return F.struct(digest.alias("d"), F.array_distinct(near).alias("near"))
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), let(canonical_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), forms).alias("f"))
     # One row per digest to look up, then one per document again: only ids and digests move.
-    rows = durable(rows.withColumn("__row", F.monotonically_increasing_id()))
-    rows = rows.join(table, F.col("digest") == F.col("__d"), "left").drop("__d").withColumnRenamed("__l", "license")
-    plain = rows.where(F.size(F.coalesce("__n", F.array())) == 0).select("doc_id", "digest", "license", F.array().cast("array<string>").alias("notices"))
-    some = rows.where(F.size("__n") > 0).withColumn("__n", F.explode("__n")).join(table, F.col("__n") == F.col("__d"), "left")
-    some = some.groupBy("doc_id", "__row", "digest", "license").agg(F.sort_array(F.collect_set("__l")).alias("notices")).drop("__row")
-    return plain.unionByName(some)
+    rows = durable(rows.select("doc_id", "f.d", "f.near").withColumn("row", F.monotonically_increasing_id()))
+    rows = _looked_up(rows, table, small).withColumnRenamed("d", "digest")
+    plain = rows.where(F.size("near") == 0).select("doc_id", "digest", "license", F.array().cast("array<string>").alias("notices"))
+    some = rows.where(F.size("near") > 0).select("row", "doc_id", "digest", F.col("license").alias("own"), F.explode("near").alias("d"))
+    some = _looked_up(some, table, small).groupBy("row", "doc_id", "digest", "own").agg(F.sort_array(F.collect_set("license")).alias("notices"))
+    return plain.unionByName(some.select("doc_id", "digest", F.col("own").alias("license"), "notices"))

@@ -220,18 +220,21 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_cha
 def _op4_sql() -> str:
     q = lambda x: x.replace("'", "''")
 
-    def canonical(x: str) -> str:
-        x = f"regexp_replace(lower({x}), '{q(license_scan.COPYRIGHT_LINE)}', '', 'g')"
+    def lines(x: str) -> str:
+        x = f"regexp_replace(lower(coalesce({x}, '')), '{q(license_scan.COPYRIGHT_LINE)}', '', 'g')"
         for a, b in license_scan.SPELLINGS:
-            x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-        return f"trim(regexp_replace({x}, '{q(license_scan.GAP)}', ' ', 'g'))"
+            x = f"replace({x}, '{a}', '{b}')"
+        for a, i, b, j in license_scan.FAMILIES:
+            x = f"regexp_replace({x}, '{a}', '\\{i}{b}" + (f"\\{j}" if j else "") + "', 'g')"
+        return f"list_filter(list_transform(string_split({x}, chr(10)), lambda s: trim(regexp_replace(s, '{q(license_scan.GAP)}', ' ', 'g'))), lambda s: s <> '')"
 
+    whole = lambda x: f"regexp_replace(array_to_string({x}, ' '), '{license_scan.HOLDER}', '{license_scan.ANY_HOLDER}', 'g')"
     known = ", ".join(f"('{a}', '{q(t)}')" for a, t in license_scan.KNOWN)
+    digests = ", ".join(f"('{a}', '{d}')" for a, d in license_scan.DIGESTS)
     return f"""
-WITH k AS (SELECT md5({canonical("t")}) AS kd, min(l) AS l FROM (VALUES {known}) k(l, t) GROUP BY 1),
-d AS (SELECT doc_id, text, {canonical("text")} AS c FROM documents),
-s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents),
-n AS (SELECT doc_id, string_agg(DISTINCT l, ',' ORDER BY l) AS notices FROM s JOIN k ON kd = md5({canonical("s")}) WHERE contains(lower(s), 'licen') GROUP BY doc_id)
+WITH k AS (SELECT kd, min(l) AS l FROM (SELECT md5({whole(lines("t"))}) AS kd, l FROM (VALUES {known}) k(l, t) UNION ALL SELECT d, l FROM (VALUES {digests}) v(l, d)) GROUP BY kd),
+d0 AS (SELECT doc_id, {lines("text")} AS s FROM documents), d AS (SELECT doc_id, s, {whole("s")} AS c FROM d0),
+n AS (SELECT doc_id, string_agg(DISTINCT l, ',' ORDER BY l) AS notices FROM (SELECT doc_id, unnest(s) AS s FROM d) JOIN k ON kd = md5(s) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN c <> '' THEN md5(c) END AS digest, l AS license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k ON kd = md5(c) AND c <> '' LEFT JOIN n USING (doc_id)
 """
