@@ -14,8 +14,10 @@ distance d(x, code(y)) from table lookups bounds the true one from below by d -
 survivors get the exact cosine.  Both tests keep every link, so recall is 1 by design.
 
 Equal vectors of a label collapse to one first, with a weight.  Lists over BLOCK rows are
-split into blocks, and pairs of blocks go to different tasks, which return link counts per
-vector and spanning edges, never pairs.
+split into blocks, and pairs of blocks go to different tasks; probes of a list are dealt
+over chunks of BLOCK as well, so no task holds more than two blocks and a chunk.  Tasks
+return link counts per vector and spanning edges, never pairs.  Dimensions with no more
+than BLOCK distinct vectors are one block and need no quantiser; all others have their own.
 
 Defined cases: null, zero, empty or non-finite vectors, and rows with a null label, link
 with nothing and are components of their own; rows with one vec_id are one node of the
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, smallest_labels
+from .common import connected_components, durable, smallest_labels, spread_join
 
 SAMPLE, SUBSPACES, CODES, BLOCK = 16_384, 8, 64, 2048
 SAMPLE_BYTES = 64 << 20
@@ -103,7 +105,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(rep, label, dim, raw binary, weight): usable vectors, equal ones of a label once."""
+    """(label, raw binary, rep, weight): usable vectors, equal ones of a label once."""
     v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("label").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -126,13 +128,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
     r = float(np.sqrt(2 - 2 * threshold)) + 1e-7  # what rounding of distances could hide
-    classes = durable(_classes(vectors).select(F.xxhash64("label", "raw").alias("class"), "*"))
-    dims = {d: n for d, n in classes.groupBy(F.length("raw")).count().orderBy(F.desc("count")).limit(64).collect()}
+    # Classes are numbered, so that no two are taken for one.
+    classes = durable(_classes(vectors).withColumn("class", F.monotonically_increasing_id()))
     quantisers = {}
-    for d, n in dims.items():
-        rows = min(SAMPLE, SAMPLE_BYTES // d)
-        sample = classes.where(F.length("raw") == d).select("class", "raw").orderBy("class").limit(rows).collect()
-        quantisers[d] = Quantiser(_unit(_matrix([bytes(x.raw) for x in sample])), int(np.clip(n // list_rows, 1, MOST_LISTS)))
+    for d, n in classes.groupBy(F.length("raw")).count().where(F.col("count") > block).orderBy(F.length("raw")).collect():
+        rows = min(SAMPLE, max(SAMPLE_BYTES // d, CODES))
+        least = classes.where(F.length("raw") == d).select(F.xxhash64("label", "raw").alias("h"), "raw").orderBy("h").limit(rows).collect()
+        quantisers[d] = Quantiser(_unit(_matrix([bytes(x.raw) for x in least])), int(np.clip(n // list_rows, 1, MOST_LISTS)))
     held = vectors.sparkSession.sparkContext.broadcast(quantisers)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,27 +158,34 @@ def near_duplicates(
     )
     key = [F.col("label"), F.length("raw").alias("dim"), F.col("list")]
     routed = routed.select(*key, "class", "raw", "weight", "probe")
-    large = routed.where("not probe").groupBy("label", "dim", "list").count().where(F.col("count") > block)
-    routed = routed.join(large, ["label", "dim", "list"], "left").withColumn(
-        "blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    )
-    # Stored rows of block c meet blocks >= c; probes meet each block, dealt over the tasks.
+    lists = routed.groupBy("label", "dim", "list").agg(
+        F.sum((~F.col("probe")).cast("long")).alias("stored"), F.sum(F.col("probe").cast("long")).alias("asking"), F.count("*").alias("rows")
+    ).where((F.col("stored") > block) | (F.col("asking") > block))
+    routed = routed.join(F.broadcast(lists), ["label", "dim", "list"], "left")
+    parts_of = lambda n: F.greatest(F.coalesce(F.ceil(F.col(n) / block), F.lit(1)), F.lit(1)).cast("int")
+    routed = routed.withColumn("blocks", parts_of("stored")).withColumn("chunks", parts_of("asking"))
+    # Stored rows of block c meet blocks >= c (z = 0) and every chunk of probes (z); a chunk of
+    # probes meets each block.  Chunk 0 comes along where a block meets itself.
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    routed = routed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dim", "list", "class", "raw", "weight", "probe",
-        F.when(F.col("probe"), F.col("t")).otherwise(F.least(own, "t")).alias("x"),
-        F.when(F.col("probe"), F.col("t")).otherwise(F.greatest(own, "t")).alias("y"),
-        F.when(F.col("probe"), -1).otherwise(own).alias("own"),
-    )
+    chunk = F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")
+    task = lambda x, y, z: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"))
+    blocks, first = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
+    pairs = F.transform(blocks, lambda t: task(F.least(own, t), F.greatest(own, t), first))
+    more = F.when(F.col("chunks") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("chunks") - 1, F.lit(1))), lambda z: task(own, own, z)))
+    asked = F.transform(blocks, lambda t: task(t, t, chunk))
+    tasks = F.when(F.col("probe"), asked).otherwise(F.concat(pairs, F.coalesce(more, F.slice(pairs, 1, 0))))
+    routed = routed.select(
+        "label", "dim", "list", "class", "raw", "weight", F.explode(tasks).alias("t"), F.when(F.col("probe"), -1).otherwise(own).alias("own")
+    ).select("label", "dim", "list", "class", "raw", "weight", "t.x", "t.y", "t.z", "own")
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         q = held.value.get(int(g["dim"].iloc[0]))
-        x, y, lst = int(g["x"].iloc[0]), int(g["y"].iloc[0]), int(g["list"].iloc[0])
+        x, y, z, lst = (int(g[c].iloc[0]) for c in ("x", "y", "z", "list"))
         own, cls, weight = g["own"].to_numpy(), g["class"].to_numpy(), g["weight"].to_numpy()
         plain = _matrix(g["raw"])
         unit = _unit(plain)
         stored = np.flatnonzero(own == y)
-        asking = np.flatnonzero(own == x) if x != y else np.arange(len(g))
+        asking = np.flatnonzero(own == x) if x != y else np.arange(len(g)) if z == 0 else np.flatnonzero(own == -1)
         links = np.zeros(len(g), np.int64)
         a_all, b_all = [], []
         if q:
@@ -214,29 +223,31 @@ def near_duplicates(
         some = np.flatnonzero(links > 0)
         return pd.DataFrame({"a": cls[some], "b": cls[label[some]], "n": links[some]})
 
-    found = durable(routed.groupBy("label", "dim", "list", "x", "y").applyInPandas(search, "a long, b long, n long"))
-    rep = classes.select("class", "rep", "weight")
+    found = durable(routed.groupBy("label", "dim", "list", "x", "y", "z").applyInPandas(search, "a long, b long, n long"))
+    rep = classes.select("label", "raw", "class", "rep", "weight")
     parts = connected_components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     rep = rep.join(counts, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
-    rep = durable(rep.select("class", "rep", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "class").alias("part")))
-    least = rep.groupBy("part").agg(F.min("rep").alias("component_id"))
-    rep = rep.join(least, "part").select("class", "component_id", (F.col("n") + F.col("weight") - 1).alias("n_links"))
+    rep = rep.select("label", F.md5("raw").alias("digest"), "rep", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "class").alias("part"))
+    rep = durable(rep)
+    least = rep.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    rep = spread_join(rep, least, ["part"], "k")
+    rep = durable(rep.select("label", "digest", "component_id", "weight", (F.col("n") + F.col("weight") - 1).alias("n_links")))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = []
             for x in b.column(2):
                 x = x.as_py()
-                raw.append(None if not x or None in x else (np.asarray(x, np.float64) + 0.0).tobytes())
+                v = None if not x or None in x else np.asarray(x, np.float64) + 0.0
+                raw.append(None if v is None or not np.isfinite(v).all() or not v.any() else v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(name, "vec_id long, label string, raw binary")
-    rows = rows.select("vec_id", F.when(F.col("label").isNotNull() & F.col("raw").isNotNull(), F.xxhash64("label", "raw")).alias("class"))
-    out = rows.join(rep, "class", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
-    )
+    rows = rows.mapInArrow(name, "vec_id long, label string, raw binary").select("vec_id", "label", F.md5("raw").alias("digest"))
+    rows = durable(rows)
+    usable = F.col("label").isNotNull() & F.col("digest").isNotNull()
+    linked = spread_join(rows.where(usable), rep, ["label", "digest"], "weight").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, spanning_edges
+from .common import connected_components, durable, spanning_edges, spread_join
 
 BITS = 64
 #: Rows of a bucket compared in one task; larger buckets are split.
@@ -255,13 +255,12 @@ def links(reps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of docs."""
     fps = durable(fingerprints(docs, shingle))
-    reps = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     parts = connected_components(links(reps, distance, block))
-    named = reps.join(parts, reps.fp == parts.node).select("fp", "rep", "component")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("fp", "least")
-    per_fp = reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    named = durable(reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component")))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    per_fp = durable(spread_join(named, least, ["component"], "k").select("fp", "component_id", "n"))
+    return spread_join(fps, per_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
