@@ -76,22 +76,23 @@ def scan(values: Column, zero: Column, op, part: int = 256) -> Column:
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with a table of one row per key, `count` of rows each (dropped).
 
-    Keys with over four times a partition's fair share of the rows are joined by broadcast:
-    there are fewer of them than a quarter of the partitions, whatever the data.  The other
-    keys are shuffled, so no task gets more than those four shares for one key.  Keys that
-    are null match nothing.
+    Rows of a key with over twice a partition's fair share are dealt over several salts by
+    their hash, and the table's row is repeated for each: no task gets much more than a fair
+    share for one key.  Only the names of such keys are broadcast; whatever the data, there
+    are fewer of them than half the partitions.  Keys that are null match nothing.
     """
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if total is None:
         total = table.agg(F.sum(count)).first()[0] or 0
-    limit = max(64, 4 * total // tasks)
-    facts = [c for c in table.columns if c not in (*keys, count)]
-    hot = table.where(F.col(count) > limit).select(*keys, F.struct(F.lit(1).alias("0"), *[F.col(f"`{c}`") for c in facts]).alias("\x01hot"))
-    marked = rows.join(F.broadcast(hot), keys, "left")
+    fair = max(64, total // tasks)
+    salts = F.when(F.col(count) > 2 * fair, F.ceil(F.col(count) / fair)).otherwise(1).cast("int").alias("\x01salts")
+    hot = table.where(F.col(count) > 2 * fair).select(*keys, salts)
     own = [F.col(f"`{c}`") for c in rows.columns]
-    cold = marked.where(F.col("\x01hot").isNull()).select(*own).join(table.drop(count), keys).select(*own, *[F.col(f"`{c}`") for c in facts])
-    warm = marked.where(F.col("\x01hot").isNotNull()).select(*own, *[F.col("\x01hot")[c].alias(c) for c in facts])
-    return cold.unionByName(warm)
+    salt = F.coalesce(F.pmod(F.xxhash64(*own), F.col("\x01salts")), F.lit(0)).cast("int").alias("\x01salt")
+    dealt = rows.join(F.broadcast(hot), keys, "left").select(*own, salt)
+    facts = [F.col(f"`{c}`") for c in table.columns if c != count]
+    held = table.select(*facts, F.explode(F.sequence(F.lit(0), salts - 1)).alias("\x01salt"))
+    return dealt.join(held, [*keys, "\x01salt"]).drop("\x01salt")
 
 
 def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -38,7 +38,10 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FLOORS = [0.5, 0.25, 0.05, 0.15, 0.05]
 #: Counts that pull rates of short texts to the usual value.
 PRIOR = 50.0
-BINS_PER_UNIT, BINS_PER_OCTAVE = 256, 256
+BINS_PER_UNIT, BINS_PER_OCTAVE = 256, 64
+#: Groups whose estimates (under 2 KB each) are broadcast; those of more are joined by
+#: spread_join.
+BROADCAST_GROUPS = 4096
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -183,7 +186,14 @@ def _key(parts: list[Column], level: Column) -> Column:
     return F.struct(level.alias("level"), *plain, *[g.isNull().alias(f"no{i}") for i, g in enumerate(shared)])
 
 
-def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], rows: int) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, size: tuple[int, int]) -> DataFrame:
+    """rows with the facts of their group; size is the number of rows and that of groups."""
+    if size[1] <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table.drop(count)), key)
+    return spread_join(rows, table, [key], count, size[0])
+
+
+def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], size: tuple[int, int]) -> DataFrame:
     """(g, n, centre, starts): for each pool the medians, and inverse scatters to start from."""
     p = len(xs)
     tall = lambda df, cols: df.select("g", F.posexplode(F.array(*cols)).alias("i", "v")).groupBy(
@@ -192,12 +202,12 @@ def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], rows: int) -> Data
         "g", F.transform("s", lambda e: (e["m"] + 0.5) / BINS_PER_UNIT).alias(name))
     centre = as_array(_order_statistic(tall(good, xs), ["g", "i"], 0.5), "centre")
     centre = durable(sizes.join(centre, "g").select("g", "n", "centre"))
-    off = spread_join(good, centre, ["g"], "n", rows).select("g", *[F.abs(F.col(x) - F.get("centre", F.lit(i))).alias(x) for i, x in enumerate(xs)])
+    off = _joined(good, centre, "g", "n", size).select("g", *[F.abs(F.col(x) - F.get("centre", F.lit(i))).alias(x) for i, x in enumerate(xs)])
     mad = as_array(_order_statistic(tall(off, xs), ["g", "i"], 0.5), "mad")
     unit = F.array(*[F.lit(1.0) / (1.4826 * F.get("mad", F.lit(i)) + F.lit(f)) for i, f in enumerate(FLOORS)])
     scale = durable(centre.join(mad, "g").select("g", "n", "centre", unit.alias("unit")))
     z = [(F.col(x) - F.get("centre", F.lit(i))) * F.get("unit", F.lit(i)) for i, x in enumerate(xs)]
-    z = spread_join(good, scale, ["g"], "n", rows).select("g", *[c.alias(x) for c, x in zip(z, xs)])
+    z = _joined(good, scale, "g", "n", size).select("g", *[c.alias(x) for c, x in zip(z, xs)])
     norm = F.sqrt(sum((F.col(x) * F.col(x) for x in xs), F.lit(1e-12)))
     kinds = [[F.tanh(x) for x in xs], [F.col(x) / norm for x in xs], [F.signum(x) for x in xs]]
     at = [(i, j) for i in range(p) for j in range(i, p)]
@@ -211,13 +221,13 @@ def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], rows: int) -> Data
     return durable(scale.join(sums, "g").select("g", "n", "centre", F.array(*start).alias("starts")))
 
 
-def _step(good: DataFrame, now: DataFrame, xs: list[str], rows: int, support: float) -> DataFrame:
+def _step(good: DataFrame, now: DataFrame, xs: list[str], size: tuple[int, int], support: float) -> DataFrame:
     """(g, n, s, centre, mean, inv, logdet): one concentration step of each start s of now,
     which holds (g, n, centre, at array<struct<s, mean, inv>>)."""
     p = len(xs)
     q = chi2_quantile(support, p)
     factor = support / chi2_cdf(q, p + 2)  # makes the covariance of the nearest share that of all
-    near = spread_join(good, now, ["g"], "n", rows).select("g", "centre", F.explode("at").alias("at"), *xs)
+    near = _joined(good, now, "g", "n", size).select("g", "centre", F.explode("at").alias("at"), *xs)
     d = _squared([F.col(x) for x in xs], F.col("at.mean"), F.col("at.inv"))
     y = [F.col(x) - F.get("centre", F.lit(i)) for i, x in enumerate(xs)]
     near = near.select("g", F.col("at.s").alias("s"), F.floor(BINS_PER_OCTAVE * F.log2(d + 1e-9)).alias("b"), *[c.alias(x) for c, x in zip(y, xs)])
@@ -250,18 +260,18 @@ def estimates(good: DataFrame, sizes: DataFrame, xs: list[str], support: float =
     Steps end when no pool's determinant falls by more than its ten-thousandth part; it never
     rises from what is kept, so `most` only guards against a defect.
     """
-    rows = good.count()
-    now = _starts(good, sizes, xs, rows)
+    size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    now = _starts(good, sizes, xs, size)
     at = F.transform("starts", lambda inv, s: F.struct(s.alias("s"), F.col("centre").alias("mean"), inv.alias("inv")))
     now = now.select("g", "n", "centre", at.alias("at"))
     for _ in range(first):
-        steps = durable(_step(good, now, xs, rows, support))
+        steps = durable(_step(good, now, xs, size, support))
         now = _gathered(steps)
     best = Window.partitionBy("g").orderBy("logdet", "s")
     open_ = durable(steps.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
     done = open_.limit(0)
     for _ in range(most):
-        new = _step(good, _gathered(open_), xs, rows, support)
+        new = _step(good, _gathered(open_), xs, size, support)
         old = open_.select("g", *[F.col(c).alias(f"{c}0") for c in ("mean", "inv", "logdet")])
         both = durable(new.join(old, "g").withColumn("falls", F.col("logdet") < F.col("logdet0") - 1e-4))
         better = F.col("logdet") < F.col("logdet0")
@@ -294,18 +304,20 @@ def judge(
     row = durable(row.select("*", *[x.alias(n) for n, x in zip(xs, vector(row))]))
     group = lambda of, level: _key([F.col(of + g) for g in gs], level)
     good = row.where(~F.col("base_failed")).select("\x01own.*", *xs)
-    of = durable(_pools(good, gs, min_rows)).select(
+    pools = durable(_pools(good, gs, min_rows))
+    size = pools.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    of = pools.select(
         group("", F.lit(len(gs))).alias("\x01group"), "n", F.transform("used", lambda k: group("", k)).alias("in"), group("", F.col("own")).alias("g")
     )
     sizes = of.select("n", F.explode("in").alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
     good = good.select(group("", F.lit(len(gs))).alias("\x01group"), *xs)
-    good = spread_join(good, of.drop("g"), ["\x01group"], "n").select(F.explode("in").alias("g"), *xs)
+    good = _joined(good, of.drop("g"), "\x01group", "n", size).select(F.explode("in").alias("g"), *xs)
     found = estimates(durable(good), durable(sizes), xs, support)
     judged = durable(of.select("\x01group", F.col("n").alias("\x01n"), "g").join(found, "g").select("\x01group", "\x01n", F.struct("mean", "inv").alias("\x01e")))
     cut = chi2_quantile(1 - alpha, len(xs))
     plain = [*[F.col(f"`{c}`") for c in keep], *STATS, "base_failed"]
     passed = row.where(~F.col("base_failed")).withColumn("\x01group", group("\x01own.", F.lit(len(gs))))
-    passed = spread_join(passed, judged, ["\x01group"], "\x01n")
+    passed = _joined(passed, judged, "\x01group", "\x01n", size)
     passed = passed.select(*plain, _squared([F.col(x) for x in xs], F.col("\x01e.mean"), F.col("\x01e.inv")).alias("distance"))
     failed = row.where("base_failed").select(*plain, F.lit(None).cast("double").alias("distance"))
     return passed.unionByName(failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cut, F.lit(False)))

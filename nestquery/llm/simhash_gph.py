@@ -14,9 +14,15 @@ probes all values within t_i bits; candidates are verified on all 64 bits.
 Buckets over BLOCK rows are split into blocks, and pairs of blocks go to different tasks;
 only spanning edges of the links found leave a task, never all pairs.
 
-Defined cases: null or empty text has no words and fingerprint zero, linked like any
-other; fewer words than a shingle make one shingle of them all; rows with equal doc_id
-stay apart rows; a null doc_id is kept with its fingerprint, and is no candidate for
+similar() and keep_one() link documents by the exact Jaccard similarity of their shingle
+sets.  The search above finds the close candidates.  64 bits don't reach further: texts at
+similarity 0.8 differ in 9.7 bits on average, and a distance that holds them all (18) has
+partitions so selective that candidates grow with the square of the corpus.  So bands of
+minhashes add the candidates between, and every candidate is verified on whole sets.
+
+Defined cases: null or empty text has no words and fingerprint zero (an empty set), linked
+like any other; fewer words than a shingle make one shingle of them all; rows with equal
+doc_id stay apart rows; a null doc_id is kept with its fingerprint, and is no candidate for
 component_id (null if a component has no other).  Extra columns are not used.
 """
 
@@ -30,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, durable, spanning_edges, spread_join
+from .shingle_sets import BANDS, band_keys, linked, sets_of, shingle_hashes, verified
+from .shingle_sets import BLOCK as BUCKET
 
 BITS = 64
 #: Rows of a bucket compared in one task; larger buckets are split.
@@ -40,36 +48,26 @@ SLAB = 1 << 21
 ROW_COST, PAIR_COST = 60.0, 1.0
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits set in over half of the shingles' hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row."""
 
-    def one(text: bytes | None, xxh) -> int:
-        words = text.lower().split() if text else []  # bytes: ASCII letters and spaces only
-        if not words:
-            return 0
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            return xxh(joined, 42)
-        begin = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(w) + 1 for w in words], out=begin[1:])
-        h = np.array(
-            [xxh(joined[a:b], 42) for a, b in zip(begin[: 1 - shingle - 1].tolist(), (begin[shingle:] - 1).tolist())],
-            np.uint64,
-        )
-        ones = np.zeros(BITS, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
-        return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh64_intdigest as xxh
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fps = np.fromiter((one(t.as_py(), xxh64_intdigest) for t in texts), np.uint64, len(texts))
+            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle, xxh)) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
 
@@ -263,18 +261,79 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block:
     return spread_join(fps, per_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id.
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h, key, fp, bands) for every row; key (128 bits) names the shingle set, h the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py(), shingle, xxh64_intdigest) for t in batch.column(2).cast(pa.binary())]
+            sets = [np.unique(x) for x in hashes]
+            fps = np.fromiter(map(fingerprint, hashes), np.uint64, len(hashes)).view(np.int64)
+            keys = np.concatenate([band_keys(x) for x in sets]) if sets else np.zeros(0, np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+            named = pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array(fps), bands], names=["doc_id", "h", "key", "fp", "bands"])
+
+    return _named(docs).mapInArrow(run, "doc_id long, h long, key binary, fp long, bands array<long>")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, block: int = BUCKET) -> DataFrame:
+    """(key, doc_id, h, n, component) for every shingle set of docs: its n rows are equal but for
+    repeated words; doc_id and h (hash of the text) name the first of them.
 
-    Of rows that repeat that id one stays.  Rows without an id cannot be named; of those
-    with equal texts one stays.
+    Rounds keep a large group of copies cheap: first the links between fingerprints and every
+    node of a band's bucket against its least one are verified, then, in buckets that still
+    hold several components, a task compares nodes of different components alone.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    best = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), "n"))
-    out = docs.join(best, F.col("doc_id") == F.col("__id"), "left_semi")
-    if not best.where("n > 1").isEmpty():
-        again = best.where("n > 1")
-        repeated = docs.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        out = docs.join(best.where("n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(repeated)
-    nameless = docs.where("doc_id is null")
-    return out if nameless.isEmpty() else out.unionByName(nameless.dropDuplicates(["text"]))
+    found = durable(_signatures(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
+    nodes = found.groupBy("key").agg(first.alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    same = durable(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")))
+    name = lambda c, to: same.select(F.col("fp").alias(c), F.col("low").alias(to))
+    tight = links(same, distance).join(name("a", "u"), "a").join(name("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    equal = spread_join(nodes.select("node", "fp"), same.where("n > 1"), ["fp"], "n").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+
+    bands = nodes.select("node", F.explode("bands").alias("g"))
+    least = bands.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+    buckets = durable(spread_join(bands, least.select("g", "low", "n"), ["g"], "n"))
+    star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = durable(star.unionByName(tight).unionByName(equal).distinct())
+    used = buckets.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    used = used.join(nodes.select("node", "who"), "node").select("node", F.col("who.doc_id").alias("i"), F.col("who.h").alias("k"))
+    owned = _named(docs).join(used, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")))
+    sets = durable(sets_of(owned, shingle).dropDuplicates(["node"]))
+
+    near = durable(verified(pairs, sets, similarity))
+    parts = connected_components(near).withColumnRenamed("node", "m")
+    split = buckets.join(parts, F.col("node") == F.col("m"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    open_ = split.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("g", "n", F.col("n").alias("rows"))
+    left = spread_join(durable(split), open_, ["g"], "rows")
+    near = durable(near.unionByName(linked(durable(left), sets, similarity, block)))
+    parts = connected_components(near).withColumnRenamed("node", "m")
+    out = nodes.join(parts, F.col("node") == F.col("m"), "left")
+    return out.select("key", "who.doc_id", "who.h", "n", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
+    """docs with one row of each component of similar(): that of the smallest doc_id (null
+    last), and of rows that repeat it that of the least text hash, so a row goes only for a
+    row of its own component.  Rows that repeat id and text are one."""
+    found = similar(docs, shingle, similarity, distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("w")
+    best = durable(found.groupBy("component").agg(first).select(F.col("w.doc_id").alias("\x01i"), F.col("w.h").alias("\x01h")))
+    text = F.col("text").cast("string")
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("\x01i")) & (F.xxhash64(text) == F.col("\x01h"))
+    again = durable(docs.select(F.col("doc_id").cast("long").alias("\x01i"), F.xxhash64(text).alias("\x01h")).groupBy("\x01i", "\x01h").count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return docs.join(best, mine, "left_semi")
+    # Rows that repeat id and text: one of them stays.
+    repeated = docs.join(again, mine, "left_semi").join(best, mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(again, mine, "left_anti").join(best, mine, "left_semi").unionByName(repeated)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from nestquery.llm import near_copies
+from nestquery.llm import simhash_gph
 from nestquery.llm.common import smallest_labels
 
 DOC = "doc_id long, text string"
@@ -44,9 +44,9 @@ def test_stage_equals_brute_force(spark):
 def test_ids_that_repeat(spark):
     a, b, c = "a b c d e f g", "something else entirely here", "alone in the world it is"
     rows = [(7, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b), (3, c)]
-    kept = near_copies.keep_one(spark.createDataFrame(rows, DOC)).collect()
+    kept = simhash_gph.keep_one(spark.createDataFrame(rows, DOC)).collect()
     assert sorted((x.doc_id, x.text) for x in kept) == [(3, c), (7, a), (7, b)]
-    assert near_copies.keep_one(spark.createDataFrame([], DOC)).count() == 0
+    assert simhash_gph.keep_one(spark.createDataFrame([], DOC)).count() == 0
 
 
 def test_blocks_of_a_large_group(spark):
@@ -61,5 +61,5 @@ def test_blocks_of_a_large_group(spark):
     a, b = np.nonzero(np.array([[same(x, y) for y in sets] for x in sets]))
     want = len(set(smallest_labels(a, b, len(rows)).tolist()))
     for block in (2048, 7):
-        got = near_copies.components(spark.createDataFrame(rows, DOC), block=block)
+        got = simhash_gph.similar(spark.createDataFrame(rows, DOC), block=block)
         assert got.select("component").distinct().count() == want
