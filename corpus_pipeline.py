@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestquery.llm import mixing_tree, near_copies, quality_mcd, secret_markov, sentencepiece_bpe
+from nestquery.llm import mixing_tree, quality_mcd, secret_markov, sentencepiece_bpe, simhash_gph
 from nestquery.llm.common import durable_table, table
 
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, Jaccard >= 0.8."""
-    return near_copies.keep_one(docs, shingle=5, similarity=0.8)
+    return simhash_gph.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
