@@ -19,7 +19,6 @@ each; an empty table gives an empty result; extra columns are not used.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,8 @@ BROADCAST_KNOWN = 100_000
 
 #: Lines that only name a holder: fixed patterns, also used in the SQL.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
-#: Equivalent spellings: words as they are, and then families of words as patterns.
+#: Equivalent spellings: parts of words, replaced one after another.  Some also change other
+#: words ("promise"), in known texts and scanned ones alike.
 SPELLINGS = [
     ("licence", "license"),
     ("sub-license", "sublicense"),
@@ -41,23 +41,34 @@ SPELLINGS = [
     ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
+    ("isation", "ization"),
+    ("ising", "izing"),
+    ("ise", "ize"),
+    ("alys", "alyz"),
+    ("avour", "avor"),
+    ("aviour", "avior"),
+    ("abour", "abor"),
+    ("honour", "honor"),
+    ("colour", "color"),
+    ("centre", "center"),
+    ("calibre", "caliber"),
+    ("cancell", "cancel"),
+    ("labell", "label"),
+    ("modell", "model"),
+    ("signall", "signal"),
+    ("dgement", "dgment"),
+    ("catalogue", "catalog"),
+    ("analogue", "analog"),
+    ("offence", "offense"),
+    ("defence", "defense"),
     ("fulfilment", "fulfillment"),
     ("wilful", "willful"),
     ("artefact", "artifact"),
     ("whilst", "while"),
-    ("practise", "practice"),
+    ("practize", "practice"),
     ("per cent", "percent"),
     ("https://", "http://"),
 ]
-FAMILIES = [
-    (r"(authori|organi|recogni|categori|capitali|initiali|maximi|minimi|optimi|utili|emphasi|reali|customi|summari|generali|analy)s(e|ing|ation)", 1, "z", 2),
-    (r"(fav|lab|behavi|hon|col)our", 1, "or", 0),
-    (r"(cent|calib)re([^a-z]|$)", 1, "er", 2),
-    (r"(cancel|label|model|signal)l(ed|ing)", 1, "", 2),
-    (r"(judg|acknowledg)ement", 1, "ment", 0),
-    (r"(catalog|analog)ue", 1, "", 0),
-    (r"(off|def)ence", 1, "ense", 0),
-]
 GAP = r"[^\p{L}\p{N}]+"
 #: Whose name may not be used differs from copy to copy of a text.
 HOLDER = r"neither the names? of .{1,200}? nor the names? of "
@@ -186,39 +197,38 @@ KNOWN = [*TEXTS, *NOTICES]
 #: (id, digest) of long texts, whole and without what follows their terms: MD5 of the
 #: canonical form; digest_of() gives it for further texts.
 DIGESTS: list[tuple[str, str]] = [
-    ("Apache-2.0", "0b86eecc1e7d2e8a032c6949313ee428"),
-    ("Apache-2.0", "8f86909a6dbf3a124c7a7d11b3aaf31f"),
-    ("Apache-2.0", "c13f45eb6f6ea48b718436651bf73c9a"),
-    ("Artistic-1.0-Perl", "a8b0fb0c6e43a3b36bdc159e59dbfd1e"),
-    ("BSD-2-Clause", "6222f053df59426503c9f9be59942726"),
-    ("BSD-2-Clause", "8c19b192342f336853fe3904a8a03dc0"),
-    ("BSD-3-Clause", "2681913e27ec34f5cd620cbb3c99f342"),
-    ("BSD-3-Clause", "928e519359f661b5a3e212e473d96024"),
-    ("BSD-3-Clause", "fdb383b3eecb3b123b67662db2dd4a6e"),
-    ("BSD-3-Clause", "fdf5429cffc2b44cdbda35e51ff5ff40"),
-    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
-    ("GFDL-1.2", "49ffacd2fea52c0c124f0d16bc990c74"),
-    ("GFDL-1.3", "2d7ce083c264cf7f093acc742260e501"),
-    ("GPL-1.0", "21fa8693acc5194a648fe02e11f65a72"),
-    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),
-    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),
-    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"),
-    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),
-    ("GPL-2.0", "f2c06efe640b4a281cbe5337cdde80ab"),
-    ("GPL-3.0", "17e434cc6db7003444b088cb4cc81e91"),
-    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
-    ("GPL-3.0", "b79359b5e391fd47146ff34ae3db7ec0"),
-    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
-    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),
-    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
-    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
-    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),
-    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
-    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
-    ("MPL-1.1", "9fa8ae3e869a929215034d82982372b5"),
-    ("MPL-2.0", "310bebfffc41fb4428c07a91abbe6c86"),
-    ("MPL-2.0", "530f3f9c84e8aa36d5829de4a17e9639"),
-    ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6"),
+    ("Apache-2.0", "1bf614f143a18fd0019d5a898aef134d"),
+    ("Apache-2.0", "60843f5dabae20856f816de9fa144d83"),
+    ("Apache-2.0", "a0d27e3b224a388011d1f42908f0ce97"),
+    ("Artistic-1.0-Perl", "7bc7316d56ed232ebaad64d6e776df0e"),
+    ("BSD-2-Clause", "1ccf87ef559eb09bcb6202d76aeeffed"),
+    ("BSD-2-Clause", "31ee69d4c498db169543287898787329"),
+    ("BSD-3-Clause", "1ec0e9fa5f8821554bdf12586e29c81d"),
+    ("BSD-3-Clause", "20be2f5c4d1197d6a4a91371f100cd5a"),
+    ("BSD-3-Clause", "4eedf7a9c184d447bbef86f5cf514bfc"),
+    ("BSD-3-Clause", "9c6d0ba55740d758861e326d5b296f13"),
+    ("CC0-1.0", "884325594650b204d94a7be714f6f6f7"),
+    ("GFDL-1.2", "5076e5dcda77907ce6cc1a72232bd2f6"),
+    ("GFDL-1.3", "2d996439289fbe3f28c657fb08963eda"),
+    ("GPL-1.0", "b560fb6baf8ffb29f41d2650afac0ad9"),
+    ("GPL-1.0", "d15cd18b7065fe7f51a7cd5573a77001"),
+    ("GPL-1.0", "e984694009ec683b9400f092d323790e"),
+    ("GPL-2.0", "37b88906891ab2488ca8bb0ce356420d"),
+    ("GPL-2.0", "56a59efda7c2db4f568d489ec70e4d06"),
+    ("GPL-2.0", "95b38e7520571bd5e63ebb7fca55dfd0"),
+    ("GPL-3.0", "9ab09e42866d374928960c855bb9a912"),
+    ("GPL-3.0", "9f8bacafa6a3b73e5541a2a72778754d"),
+    ("GPL-3.0", "a96d3255c0b56541297e207d137110c5"),
+    ("LGPL-2.0", "4878bd79f8c9efe6b903efba016cfdb5"),
+    ("LGPL-2.0", "7479f36e8321bfacf0d5dcc9226c09d7"),
+    ("LGPL-2.0", "7d5d6ed30a5e77e3322ac446176c7d87"),
+    ("LGPL-2.1", "1d8ad21fa806cf8924adf8b808149ef4"),
+    ("LGPL-2.1", "2cdb4b5020f82c55adb6967ead8e8890"),
+    ("LGPL-2.1", "e70886427357cb3df23b0b14be000405"),
+    ("LGPL-3.0", "d17abc7fa5e5b496ebefcb5788c4317d"),
+    ("MPL-1.1", "6a7d12967f0784b610d7b6d5c8618feb"),
+    ("MPL-2.0", "4dd59a3dc3fa960db55f3aa7bd0a383e"),
+    ("MPL-2.0", "5b16c2d224235e7bca6641e70273179c"),
 ]
 
 
@@ -227,16 +237,14 @@ def canonical_lines(text: Column) -> Column:
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    for a, i, b, j in FAMILIES:
-        t = F.regexp_replace(t, a, f"${i}{b}" + (f"${j}" if j else ""))
     lines = F.transform(F.split(t, "\n"), lambda s: F.trim(F.regexp_replace(s, GAP, " ")))
     return F.filter(lines, lambda s: s != "")
 
 
 def whole(lines: Column) -> Column:
     """The canonical form of an entire text from its lines'."""
-    t = F.array_join(lines, " ")
-    return F.when(F.contains(t, F.lit("neither the name")), F.regexp_replace(t, HOLDER, ANY_HOLDER)).otherwise(t)
+    named = lambda t: F.when(F.contains(t, F.lit("neither the name")), F.regexp_replace(t, HOLDER, ANY_HOLDER)).otherwise(t)
+    return let(F.array_join(lines, " "), named)
 
 
 def canonical(text: Column) -> Column:
@@ -272,12 +280,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     table = durable(known.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(F.min("license").alias("license")))
     small = table.count() <= BROADCAST_KNOWN
     start = lambda d: F.conv(F.substring(d, 1, 4), 16, 10).cast("int")
-    begins = np.zeros(1 << 16, np.int32)
-    begins[[r.b for r in table.select(start(F.col("d")).alias("b")).distinct().collect()]] = 1  # 65,536 rows at most
-    seen = F.lit(begins)
+    begins = bytearray(1 << 16)
+    for r in table.select(start(F.col("d")).alias("b")).distinct().collect():  # 65,536 rows at most
+        begins[r.b] = 1
+    seen = lambda d: F.substring(F.lit(begins), start(d) + 1, F.lit(1)) == F.lit(b"\1")
 
     def forms(lines: Column) -> Column:
-        near = F.filter(F.transform(lines, lambda s: F.md5(s)), lambda d: F.get(seen, start(d)) == 1)
+        near = F.filter(F.transform(lines, lambda s: F.md5(s)), seen)
         digest = let(whole(lines), lambda c: F.when(c != "", F.md5(c)))
         return F.struct(digest.alias("d"), F.array_distinct(near).alias("near"))
 

@@ -224,8 +224,6 @@ def _op4_sql() -> str:
         x = f"regexp_replace(lower(coalesce({x}, '')), '{q(license_scan.COPYRIGHT_LINE)}', '', 'g')"
         for a, b in license_scan.SPELLINGS:
             x = f"replace({x}, '{a}', '{b}')"
-        for a, i, b, j in license_scan.FAMILIES:
-            x = f"regexp_replace({x}, '{a}', '\\{i}{b}" + (f"\\{j}" if j else "") + "', 'g')"
         return f"list_filter(list_transform(string_split({x}, chr(10)), lambda s: trim(regexp_replace(s, '{q(license_scan.GAP)}', ' ', 'g'))), lambda s: s <> '')"
 
     whole = lambda x: f"regexp_replace(array_to_string({x}, ' '), '{license_scan.HOLDER}', '{license_scan.ANY_HOLDER}', 'g')"
