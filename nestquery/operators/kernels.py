@@ -1,9 +1,20 @@
-"""Set-oriented kernels: intervals, ordinals, closures, as-of look-ups, prefixes."""
+"""Set-oriented kernels: intervals, ordinals, closures, as-of look-ups, prefixes, links.
+
+Ordered kernels cut the keys into zones of the ordering column once a key has more than
+HOT_ROWS rows, so that such a key spreads over tasks; only a bounded number of facts per key
+and zone passes from zone to zone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from nestquery.plans.durable import durable
+
+#: Rows of a key that one task may order.
+HOT_ROWS = 1_000_000
 
 
 def _zone_count(df: DataFrame) -> int:
@@ -23,29 +34,45 @@ def _zone(cuts: list[float], c: Column) -> Column:
     return tree(0, len(cuts))
 
 
-def _before(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """df with __z and __h: the greatest hi of a key's ranges before this one (null: none).
+def _zoned(df: DataFrame, keys: list[str], order: str, hot_rows: int) -> DataFrame:
+    """df with __z, the zone of the ordering column; one zone if no key is large or the column
+    is no number."""
+    one = df.withColumn("__z", F.lit(0))
+    if not isinstance(df.schema[order].dataType, NumericType):
+        return one
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
+    if (most or 0) <= hot_rows:
+        return one
+    cuts = df.approxQuantile(order, [i / _zone_count(df) for i in range(1, _zone_count(df))], 0.002)
+    return df.withColumn("__z", _zone(cuts, F.col(order)))
 
-    A key's ranges are cut into zones of lo; only the zones' maxima, a bounded number per
-    key, pass from zone to zone, so that a key with most of the rows is not one task's.
-    """
-    cuts = df.approxQuantile(lo, [i / _zone_count(df) for i in range(1, _zone_count(df))], 0.002)
-    z = df.withColumn("__z", _zone(cuts, F.col(lo)))
-    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    heads = z.groupBy(*keys, "__z").agg(F.max(hi).alias("__t"))
-    past = Window.partitionBy(*keys).orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__z").alias("__zz"), F.max("__t").over(past).alias("__c"))
-    z = z.withColumn("__h", F.max(hi).over(own))
+
+def _on_zone(z: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the facts of their key and zone (null keys are keys)."""
+    facts = [c for c in heads.columns if c not in (*keys, "__z")]
+    heads = heads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__z").alias("__zz"), *facts)
     on = F.col("__z") == F.col("__zz")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    z = z.join(heads, on).drop("__zz", *[f"__k{i}" for i in range(len(keys))])
+    return z.join(heads, on).drop("__zz", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _earlier(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("__z").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _before(df: DataFrame, keys: list[str], lo: str, hi: str, hot_rows: int) -> DataFrame:
+    """df with __z and __h: the greatest hi of a key's ranges before this one (null: none)."""
+    z = _zoned(df, keys, lo, hot_rows)
+    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    heads = z.groupBy(*keys, "__z").agg(F.max(hi).alias("__t")).withColumn("__c", F.max("__t").over(_earlier(keys))).drop("__t")
+    z = _on_zone(z.withColumn("__h", F.max(hi).over(own)), heads, keys)
     return z.withColumn("__h", F.greatest("__h", "__c")).drop("__c")
 
 
-def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, lo, hi, n): overlapping and touching [lo, hi) ranges of a key made one."""
-    z = _before(df.select(*keys, lo, hi), keys, lo, hi)
+    z = _before(df.select(*keys, lo, hi), keys, lo, hi, hot_rows)
     z = z.withColumn("__new", F.col("__h").isNull() | (F.col(lo) > F.col("__h")))
     own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)
     # Runs within a zone; the first may go on one of an earlier zone.
@@ -66,29 +93,46 @@ def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str) -> Data
     return parts.groupBy(*keys, "__run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.sum("n").alias("n")).drop("__run")
 
 
-def holes(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """(keys, lo, hi): the gaps between the merged ranges of a key."""
-    z = _before(df.select(*keys, lo, hi), keys, lo, hi).where(F.col("__h") < F.col(lo))
+def holes(df: DataFrame, keys: list[str], lo: str, hi: str, sizes: DataFrame | None = None, size: str = "size", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, lo, hi): the gaps between the merged ranges of a key; with sizes (keys, size) also
+    those from 0 to the first range and from the last one to the key's size."""
+    r = df.select(*keys, lo, hi)
+    if sizes is not None:
+        kind = df.schema[lo].dataType
+        edge = lambda c: sizes.select(*keys, c.cast(kind).alias(lo), c.cast(kind).alias(hi))
+        r = r.unionByName(edge(F.lit(0))).unionByName(edge(F.col(size)))
+    z = _before(r, keys, lo, hi, hot_rows).where(F.col("__h") < F.col(lo))
     return z.select(*keys, F.col("__h").alias("__a"), F.col(lo).alias("__b")).select(*keys, F.col("__a").alias(lo), F.col("__b").alias(hi))
 
 
-def running_extents(df: DataFrame, keys: list[str], order: list[str], length: str, name: str = "log") -> DataFrame:
+def running_extents(df: DataFrame, keys: list[str], order: list[str], length: str, name: str = "log", hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with the logical offset of each part in its key's concatenation."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)))
+    z = _zoned(df, keys, order[0], hot_rows)
+    w = Window.partitionBy(*keys, "__z").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    heads = z.groupBy(*keys, "__z").agg(F.sum(length).alias("__t")).withColumn("__c", F.sum("__t").over(_earlier(keys))).drop("__t")
+    z = _on_zone(z.withColumn("__s", F.sum(length).over(w)), heads, keys)
+    return z.withColumn(name, F.coalesce("__s", F.lit(0)) + F.coalesce("__c", F.lit(0))).drop("__s", "__c", "__z")
 
 
-def previous_overlap(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+def previous_overlap(df: DataFrame, keys: list[str], lo: str, hi: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with `overlaps`: whether a range begins before the one before it ends."""
-    last = F.lag(hi).over(Window.partitionBy(*keys).orderBy(lo, hi))
-    return df.withColumn("overlaps", F.coalesce(F.col(lo) < last, F.lit(False)))
+    z = _zoned(df, keys, lo, hot_rows)
+    last = F.lag(F.struct(hi)).over(Window.partitionBy(*keys, "__z").orderBy(lo, hi))
+    heads = z.groupBy(*keys, "__z").agg(F.max(F.struct(F.col(lo).alias("a"), F.col(hi).alias("b"))).alias("__t"))
+    heads = heads.withColumn("__c", F.last("__t").over(_earlier(keys))["b"]).drop("__t")
+    z = _on_zone(z.withColumn("__l", last), heads, keys)
+    end = F.when(F.col("__l").isNotNull(), F.col("__l")[hi]).otherwise(F.col("__c"))
+    return z.withColumn("overlaps", F.coalesce(F.col(lo) < end, F.lit(False))).drop("__l", "__c", "__z")
 
 
-def ordinal_names(df: DataFrame, kind: Column, order: list[str], name: str = "ordinal_name") -> DataFrame:
+def ordinal_names(df: DataFrame, kind: Column, order: list[str], name: str = "ordinal_name", hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with type-1, type-2 ... per lower-cased kind in order."""
-    k = F.lower(kind)
-    n = F.row_number().over(Window.partitionBy(k).orderBy(*order))
-    return df.withColumn(name, F.concat(k, F.lit("-"), n.cast("string")))
+    z = _zoned(df.withColumn("__kind", F.lower(kind)), ["__kind"], order[0], hot_rows)
+    n = F.row_number().over(Window.partitionBy("__kind", "__z").orderBy(*order))
+    heads = z.groupBy("__kind", "__z").agg(F.count("*").alias("__t")).withColumn("__c", F.sum("__t").over(_earlier(["__kind"]))).drop("__t")
+    z = _on_zone(z.withColumn("__n", n), heads, ["__kind"])
+    number = (F.col("__n") + F.coalesce("__c", F.lit(0))).cast("string")
+    return z.withColumn(name, F.concat("__kind", F.lit("-"), number)).drop("__n", "__c", "__z", "__kind")
 
 
 def asof_forward(left: DataFrame, right: DataFrame, at: str, value: str, carry: list[str], by: str | None = None) -> DataFrame:
@@ -134,33 +178,87 @@ def implicit_dirs(paths: DataFrame, path: str) -> DataFrame:
     return each.groupBy("path", "depth").agg(F.max("d").alias("is_dir"))
 
 
-def path_closure(nodes: DataFrame, node: str, above: str, name: str, rounds: int = 32) -> DataFrame:
+def path_closure(nodes: DataFrame, node: str, above: str, name: str) -> DataFrame:
     """(node, path) by parent pointers; nodes whose chain does not end at a null parent are
-    left out.  Pointer doubling: 2^k steps up after k joins, so depth costs its logarithm."""
-    t = nodes.select(F.col(node).alias("n"), F.col(above).alias("up"), F.col(name).alias("path"))
-    for _ in range(rounds):
-        if t.where("up is not null").isEmpty():
-            break
+    left out.  Pointer doubling: 2^k steps up after k joins, so depth costs its logarithm,
+    and nodes whose chain is longer than there are nodes are in circles."""
+    t = durable(nodes.select(F.col(node).alias("n"), F.col(above).alias("up"), F.col(name).alias("path")))
+    steps, most = 1, t.count()
+    while steps <= most and not t.where("up is not null").isEmpty():
+        steps *= 2
         u = t.select(F.col("n").alias("m"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        t = t.join(u, F.col("up") == F.col("m"), "left").where("up is null or m is not null").select(
+        t = durable(t.join(u, F.col("up") == F.col("m"), "left").where("up is null or m is not null").select(
             "n", F.when(F.col("up").isNull(), None).otherwise(F.col("up2")).alias("up"),
             F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("head", F.lit("/"), "path")).alias("path"),
-        )
-        t = t.checkpoint() if t.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else t
+        ))
     return t.where("up is null").select(F.col("n").alias(node), "path")
 
 
-def resolve_links(links: DataFrame, source: str, target: str, rounds: int = 40) -> DataFrame:
-    """(source, target, resolved): chains followed to their end; null in a circle."""
-    start = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.array(F.col(source)).alias("seen"), F.col(target).alias("at"), F.lit(False).alias("loop"))
-    step = links.select(F.col(source).alias("__s"), F.col(target).alias("__t"))
-    done, now = None, start
-    for _ in range(rounds):
-        j = now.join(step, F.col("at") == F.col("__s"), "left")
-        circle = F.array_contains("seen", F.col("at"))
-        ended = j.where(F.col("__s").isNull() | circle).select("s", "t", F.when(~circle, F.col("at")).alias("resolved"))
-        done = ended if done is None else done.unionByName(ended)
-        now = j.where(F.col("__s").isNotNull() & ~circle).select("s", "t", F.concat("seen", F.array("at")).alias("seen"), F.col("__t").alias("at"), "loop")
-        if now.isEmpty():
-            break
-    return done.select(F.col("s").alias(source), F.col("t").alias(target), "resolved")
+def resolve_links(links: DataFrame, source: str, target: str) -> DataFrame:
+    """(source, target, resolved): chains of any length followed to their end, by pointer
+    doubling; null for what leads into a circle, which no number of steps gets out of.
+
+    Of rows with one source the least target counts for those that lead there.
+    """
+    start = durable(links.select(F.col(source).alias("s"), F.col(target).alias("t")))
+    step = durable(start.groupBy("s").agg(F.min("t").alias("at")).where("s is not null"))
+    steps, most = 1, step.count()
+    ends = step.join(step.select(F.col("s").alias("x")), F.col("at") == F.col("x"), "left").select("s", "at", F.col("x").isNotNull().alias("open"))
+    ends = durable(ends)
+    while steps <= most and not ends.where("open").isEmpty():
+        steps *= 2
+        on = ends.select(F.col("s").alias("x"), F.col("at").alias("at2"), F.col("open").alias("open2"))
+        moved = ends.where("open").join(on, F.col("at") == F.col("x")).select("s", F.col("at2").alias("at"), F.col("open2").alias("open"))
+        ends = durable(ends.where("not open").unionByName(moved))
+    on = ends.select(F.col("s").alias("x"), F.col("at").alias("end"), "open")
+    out = start.join(on, F.col("t") == F.col("x"), "left")
+    found = F.when(F.col("x").isNull(), F.col("t")).when(~F.col("open"), F.col("end"))
+    return out.select(F.col("s").alias(source), F.col("t").alias(target), found.alias("resolved"))
+
+
+def _follow_once(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """One step of resolve_paths: of each row (name, at, seen) the first prefix of `at` that is
+    a link gives way to where that link (key, to, via, ended) has got so far.
+
+    Columns more: hit (a link was there), lost (a link is met again), ended.
+    """
+    parts = F.split("at", "/")
+    prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("key")))
+    each = open_.select("name", F.explode(prefix).alias("p")).select("name", "p.depth", "p.key")
+    first = each.join(links, "key").groupBy("name").agg(F.min(F.struct("depth", "key", "to", "via", "ended", "lost")).alias("l"))
+    both = open_.join(first, "name", "left")
+    hit = F.col("l").isNotNull()
+    rest = F.slice(parts, F.col("l.depth") + 1, F.greatest(F.size(parts) - F.col("l.depth"), F.lit(0)))
+    at = F.concat_ws("/", F.col("l.to"), F.when(F.size(rest) > 0, F.array_join(rest, "/")))
+    lost = F.col("l.lost") | F.arrays_overlap("seen", "l.via")
+    return both.select(
+        "name", F.when(hit, F.regexp_replace(at, r"^\./", "")).otherwise(F.col("at")).alias("at"),
+        F.when(hit, F.array_union("seen", "l.via")).otherwise(F.col("seen")).alias("seen"),
+        F.coalesce(lost, F.lit(False)).alias("lost"), F.when(hit, F.col("l.ended") & (F.size(rest) == 0)).otherwise(True).alias("ended"),
+    )
+
+
+def resolve_paths(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(path, resolved): links (path, target) followed component by component, the last one too;
+    null where a look-up meets a link a second time.
+
+    Links are resolved first, each round through what the others have got to, so a chain costs
+    the logarithm of its length; then each path takes a round for each link that it passes.
+    """
+    own = durable(links.groupBy("path").agg(F.min("target").alias("target")).withColumn("id", F.monotonically_increasing_id()))
+    state = durable(own.select(F.col("path").alias("name"), F.col("target").alias("at"), F.array("id").alias("seen"), F.lit(False).alias("lost"), F.lit(False).alias("ended")))
+    as_link = lambda s: s.select(F.col("name").alias("key"), F.col("at").alias("to"), F.col("seen").alias("via"), "ended", "lost")
+
+    def run(rows: DataFrame, against) -> DataFrame:
+        done = rows.limit(0)
+        while not (open_ := rows.where("not ended and not lost")).isEmpty():
+            done = done.unionByName(rows.where("ended or lost"))
+            rows = durable(_follow_once(open_.select("name", "at", "seen"), as_link(against(done, rows))))
+        return done.unionByName(rows)
+
+    state = durable(run(state, lambda done, rows: done.unionByName(rows)))
+    empty = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
+    asked = durable(paths.select(F.col("path").alias("name")).where("name is not null").distinct())
+    asked = asked.select("name", F.col("name").alias("at"), empty.alias("seen"), F.lit(False).alias("lost"), F.lit(False).alias("ended"))
+    out = run(asked, lambda done, rows: state)
+    return out.select(F.col("name").alias("path"), F.when(~F.col("lost"), F.col("at")).alias("resolved"))

@@ -1,7 +1,12 @@
-"""Query verbs over a catalog: walk, glob, readdir, stat, readlink, read, read_at, propfind."""
+"""Query verbs over a catalog: walk, glob, readdir, stat, readlink, read, read_at, propfind.
+
+Paths may lead through symbolic links: stat, readdir, read and read_at follow them, component
+by component and within their file system; readlink, walk and glob don't.
+"""
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,13 +15,14 @@ from pyspark.sql import functions as F
 
 from nestquery.functions import text
 from nestquery.functions.glob import glob_to_regex
-from nestquery.operators.kernels import resolve_links
+from nestquery.operators.kernels import resolve_paths
+from nestquery.plans.durable import durable
 from nestquery.plans.expand import Catalog
-from nestquery.sources.codecs import DecodeError, materialise
+from nestquery.sources.codecs import DecodeError, materialise, slice_of
 from nestquery.sources.members import sidecar_facts
 
 SEARCH_LIMIT, PAGE = 2000, 100
-MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 4096, 1024, 16 << 20, 50_000
+MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 32_768, 1024, 16 << 20, 50_000
 PROPS = ["resourcetype", "displayname", "getcontentlength", "getlastmodified", "getcontenttype", "getetag"]
 FILE_PROPS = {"getcontentlength", "getcontenttype", "getetag"}
 
@@ -69,43 +75,88 @@ def glob(c: Catalog, pattern: str, root: str = ".", limit: int | None = SEARCH_L
     return t if limit is None else t.orderBy("path").limit(limit)
 
 
+def links(c: Catalog) -> DataFrame:
+    """(path, target) of all symbolic links, targets as paths of the catalog."""
+    top = F.col("fs_id") == "."
+    target = F.when(top, F.col("link_target")).when(F.col("link_target") == ".", F.col("fs_id")).otherwise(F.concat("fs_id", F.lit("/"), "link_target"))
+    return c.entries.where("kind = 'symlink'").select("path", target.alias("target"))
+
+
+def follow(c: Catalog, paths: DataFrame) -> DataFrame:
+    """(path, resolved): where paths lead through links; null in circles.  What they lead to
+    need not exist."""
+    l = links(c)
+    if l.isEmpty():
+        return paths.select("path").distinct().withColumn("resolved", F.col("path"))
+    return resolve_paths(paths.select("path"), l)
+
+
+def _one(c: Catalog, path: str) -> str | None:
+    """Where one path leads: only the links among its prefixes start a look-up."""
+    parts = path.split("/")
+    above = ["/".join(parts[: i + 1]) for i in range(len(parts))]
+    if c.entries.where((F.col("kind") == "symlink") & F.col("path").isin(above)).isEmpty():
+        return path
+    return follow(c, c.entries.sparkSession.createDataFrame([(path,)], "path string")).first().resolved
+
+
 def readdir(c: Catalog, path: str, count: int | None = None, after: str | None = None) -> DataFrame:
     """Children by name in byte order; pages by the last name seen."""
-    t = tree(c).where(F.col("parent") == path)
+    t = tree(c).where(F.col("parent") == _one(c, path))
     if after is not None:
         t = t.where(F.col("base") > after)
     t = t.orderBy("base")
     return t if count is None else t.limit(count)
 
 
-def stat(c: Catalog, path: str) -> DataFrame:
-    return tree(c).where(F.col("path") == path)
+def stat(c: Catalog, path: str, follow_last: bool = True) -> DataFrame:
+    """The row of what a path leads to; the link's own (lstat) unless the last one is followed."""
+    folder, _, base = path.rpartition("/")
+    to = _one(c, path) if follow_last else f"{_one(c, folder)}/{base}" if folder else path
+    return tree(c).where(F.col("path") == to)
 
 
 def readlink(c: Catalog, path: str) -> DataFrame:
-    return c.entries.where((F.col("path") == path) & (F.col("kind") == "symlink")).select("path", "link_target")
+    return stat(c, path, follow_last=False).where("kind = 'symlink'").select("path", "link_target")
 
 
 def resolve_symlinks(c: Catalog) -> DataFrame:
-    """(path, link_target, resolved path) of all links, each within its own file system;
-    links in circles and to nothing resolve to null."""
-    l = c.entries.where("kind = 'symlink'").select("path", F.when(F.col("link_target") == ".", F.col("fs_id")).otherwise(F.concat("fs_id", F.lit("/"), "link_target")).alias("target"))
-    ended = resolve_links(l, "path", "target")
-    there = c.entries.select(F.col("path").alias("__p"))
-    ended = ended.join(there, F.col("resolved") == F.col("__p"), "left")
-    return ended.select("path", "target", F.col("__p").alias("resolved"))
+    """(path, target, resolved) of all links, each within its own file system; links in circles
+    and to nothing resolve to null."""
+    l = links(c)
+    there = tree(c).select(F.col("path").alias("p"))
+    ended = l.join(follow(c, l), "path").join(there, F.col("resolved") == F.col("p"), "left")
+    return ended.select("path", "target", F.col("p").alias("resolved"))
+
+
+def unprobed(c: Catalog) -> DataFrame:
+    """Regular files that are no recognised archives."""
+    return c.entries.where("kind = 'file'").join(c.mounts, "path", "left_anti")
 
 
 def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
     """(path, size, content, error) of regular files (of `wanted`, a DataFrame of path).
 
+    wanted may have offset and length (null: to the end) as well: content is then that range,
+    and no more is decoded than it takes; size stays the file's, where it is known.  Wanted
+    links, and paths through links, give what they lead to, under the path asked for.
+
     Up to MEMBERS entries of an archive meet its bytes at once, so an archive moves once
     for that many members, however large it is.  Files of the root need `files`, the source that was expanded.  What can't
     be decoded has a null content and an error.
     """
     e = c.entries.where("kind = 'file'").select("fs_id", "name", "path", "ord", "size", "recipe")
-    if wanted is not None:
-        e = e.join(wanted.select("path").distinct(), "path", "left_semi")
+    null = F.lit(None).cast("long")
+    if wanted is None:
+        e = e.select("*", null.alias("offset"), null.alias("length"))
+    else:
+        ranged = "offset" in wanted.columns
+        w = wanted.select("path", *[(F.col(x).cast("long") if ranged else null).alias(x) for x in ("offset", "length")]).distinct()
+        if not links(c).isEmpty():
+            w = w.join(follow(c, w), "path").withColumnRenamed("path", "asked").withColumnRenamed("resolved", "path")
+            e = e.join(w, "path").withColumn("path", F.col("asked")).drop("asked")
+        else:
+            e = e.join(w, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,11 +169,16 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
             for i in range(b.num_rows):  # an archive and some of its members
                 source, out, held = b.column(0)[i].as_py() or b"", [], 0
                 for m in b.column(1)[i].as_py():
+                    size = m["size"]
                     try:
-                        data, error = materialise(m["recipe"], source, m["size"]), None
+                        if m["offset"] is None:
+                            data, error = materialise(m["recipe"], source, size), None
+                            size = len(data)
+                        else:
+                            data, error = slice_of(m["recipe"], source, size, m["offset"], m["length"]), None
                     except DecodeError as x:
                         data, error = None, str(x)
-                    out.append((m["path"], len(data) if data is not None else m["size"], data, error))
+                    out.append((m["path"], size, data, error))
                     held += len(data or b"")
                     if held >= READ_BYTES or len(out) >= READ_ROWS:
                         yield batch(out)
@@ -130,7 +186,7 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
                 if out:
                     yield batch(out)
 
-    some = F.collect_list(F.struct("path", "size", "recipe")).alias("members")
+    some = F.collect_list(F.struct("path", "size", "recipe", "offset", "length")).alias("members")
     inner = e.where("fs_id <> '.'").groupBy("fs_id", F.floor(F.col("ord") / MEMBERS).alias("part")).agg(some)
     archives = c.content
     if c.files is not None:
@@ -140,18 +196,21 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
     inner = archives.withColumnRenamed("content", "archive").join(inner, "fs_id")
     out = inner.select("archive", "members").mapInArrow(run, "path string, size long, content binary, error string")
     if c.files is not None:
-        root = e.where("fs_id = '.'").select("name", "path").join(c.files.select("name", "content"), "name")
-        out = out.unionByName(root.select("path", F.length("content").cast("long").alias("size"), "content", F.lit(None).cast("string").alias("error")))
+        root = e.where("fs_id = '.'").select("name", "path", "offset", "length").join(c.files.select("name", "content"), "name")
+        most = F.lit(2**31 - 1)
+        part = F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.substring("content", (F.least("offset", most - 1) + 1).cast("int"), F.coalesce(F.least("length", most), most).cast("int")))
+        data = F.when(F.col("offset").isNull(), F.col("content")).otherwise(part)
+        error = F.when(F.col("content").isNull(), F.lit("too large for the source"))
+        out = out.unionByName(root.select("path", F.length("content").cast("long").alias("size"), data.alias("content"), error.alias("error")))
     return out
 
 
 def read_at(c: Catalog, path: str, offset: int, length: int) -> DataFrame:
-    """(path, data): up to length bytes from offset; fewer at the end."""
+    """(path, data, error): up to length bytes from offset; fewer at the end."""
     if offset < 0 or length < 0:
         raise ValueError("negative offset or length")
-    one = c.entries.sparkSession.createDataFrame([(path,)], "path string")
-    data = F.substring("content", F.lit(offset + 1), F.lit(length)) if length else F.lit(b"")
-    return read(c, one).select("path", data.alias("data"), "error")
+    one = c.entries.sparkSession.createDataFrame([(path, offset, length)], "path string, offset long, length long")
+    return read(c, one).select("path", F.col("content").alias("data"), "error")
 
 
 def learned_sizes(c: Catalog) -> DataFrame:
@@ -160,6 +219,26 @@ def learned_sizes(c: Catalog) -> DataFrame:
     return read(c, unknown).select("path", "size", "error")
 
 
+def with_sizes(c: Catalog, learned: DataFrame) -> Catalog:
+    """The catalog with learned sizes filled in where none was known; others are kept."""
+    found = learned.where("error is null").groupBy(F.col("path").alias("p")).agg(F.min("size").alias("s"))
+    e = c.entries.join(found, F.col("path") == F.col("p"), "left").withColumn("size", F.when(F.col("kind") == "file", F.coalesce("size", "s")).otherwise(F.col("size")))
+    return Catalog(e.select(*c.entries.columns), c.mounts, c.content, c.files)
+
+
+def get_facts(c: Catalog, paths: DataFrame) -> DataFrame:
+    """(path, status, location, etag, length, content_type) that a GET answers with: 303 leads a
+    directory to its own path with a slash, 404 stands for nothing there."""
+    t = live_props(tree(c)).select(F.col("path").alias("p"), "kind", "getetag", "getcontentlength", "getcontenttype")
+    got = follow(c, paths).join(t, F.col("resolved") == F.col("p"), "left")
+    is_dir = F.col("kind").isin("dir", "implicit_dir", "mount")
+    return got.select(
+        "path", F.when(F.col("p").isNull(), 404).when(is_dir, 303).otherwise(200).alias("status"),
+        F.when(is_dir, F.concat(F.lit("/"), text.path_escape(F.col("path")), F.lit("/"))).alias("location"),
+        F.col("getetag").alias("etag"), F.col("getcontentlength").alias("length"), F.col("getcontenttype").alias("content_type"),
+    )
+
+
 def live_props(t: DataFrame) -> DataFrame:
     """t with the properties of PROPS; those of files are null for directories."""
     is_dir = F.col("kind").isin("dir", "implicit_dir", "mount")
@@ -221,12 +300,20 @@ def multistatus(found: DataFrame) -> DataFrame:
 
 
 def directory_page(c: Catalog, path: str) -> DataFrame:
-    """(page, html): the children as list items in pages of PAGE rows."""
-    t = readdir(c, path).select("base", F.col("kind").isin("dir", "implicit_dir", "mount").alias("d"))
+    """(page, html): the children as list items in pages of PAGE rows.
+
+    Children are numbered by ranges of names, one task each, so a directory of any size
+    spreads over tasks.
+    """
+    t = tree(c).where(F.col("parent") == _one(c, path)).select("base", F.col("kind").isin("dir", "implicit_dir", "mount").alias("d"))
+    t = durable(t.repartitionByRange("base").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = t.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    n = F.row_number().over(Window.partitionBy("range").orderBy("base")) - 1
     shown = F.when(F.col("d"), F.concat("base", F.lit("/"))).otherwise(F.col("base"))
     item = F.concat(F.lit('<li><a href="'), text.path_escape(shown), F.lit('">'), text.html_escape(shown), F.lit("</a></li>"))
-    n = F.row_number().over(Window.partitionBy(F.lit(path)).orderBy("base")) - 1  # one directory's children
-    rows = t.select(F.floor(n / PAGE).alias("page"), n.alias("n"), item.alias("item"))
+    rows = t.withColumn("n", n).join(F.broadcast(ahead), "range").withColumn("n", F.col("n") + F.col("ahead"))
+    rows = rows.select(F.floor(F.col("n") / PAGE).alias("page"), "n", item.alias("item"))
     return rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("x")).select("page", F.array_join(F.transform("x", lambda x: x["item"]), "").alias("html"))
 
 
@@ -278,3 +365,55 @@ def sidecars(c: Catalog) -> DataFrame:
 
     wanted = c.entries.where("kind = 'file' and base like '.\\_%'").select("path")
     return read(c, wanted).where("content is not null").select("path", "content").mapInArrow(run, SIDECAR)
+
+
+def propfind_request(body: str | None) -> dict:
+    """Arguments of propfind() from a request's XML; ValueError for what it must not hold."""
+    if not (body or "").strip():
+        return {}
+    try:
+        top = ET.fromstring(body)
+    except ET.ParseError as e:
+        raise ValueError(f"bad request: {e}") from None
+    local = lambda x: x.tag.rpartition("}")[2]
+    if top.tag != "{DAV:}propfind":
+        raise ValueError("bad request: no propfind")
+    parts: dict[str, ET.Element] = {}
+    for x in top:
+        if x.tag.startswith("{DAV:}") and local(x) in ("prop", "propname", "allprop", "include"):
+            if local(x) in parts:
+                raise ValueError(f"bad request: {local(x)} twice")
+            parts[local(x)] = x
+    kinds = [k for k in ("prop", "propname", "allprop") if k in parts]
+    if len(kinds) != 1 or "include" in parts and kinds != ["allprop"]:
+        raise ValueError("bad request: one of prop, propname and allprop")
+    names = lambda k: [local(x) for x in parts[k]]
+    for k in ("prop", "include"):
+        if k in parts and not names(k):
+            raise ValueError(f"bad request: empty {k}")
+    if kinds == ["prop"]:
+        return {"props": names("prop")}
+    return {"names_only": True} if kinds == ["propname"] else {"include": names("include")} if "include" in parts else {}
+
+
+def dispatch(c: Catalog, method: str, path: str, depth: str | None = None, body: str | None = None, query: str = "") -> tuple[int, DataFrame | None]:
+    """(status, rows) of a request: search and directory pages, GET facts, multistatus; methods
+    that would write are not allowed."""
+    path = path.strip("/") or "."
+    if method == "GET" and path.rpartition("/")[2] == ".glob.html":
+        return 200, search_page(c, query, path.rpartition("/")[0] or ".")
+    if method in ("GET", "HEAD"):
+        one = c.entries.sparkSession.createDataFrame([(path,)], "path string")
+        facts = get_facts(c, one)
+        status = 303 if path == "." else facts.first().status
+        return (200, directory_page(c, path)) if status == 303 else (status, facts)
+    if method == "OPTIONS":
+        return 200, c.entries.sparkSession.createDataFrame([("OPTIONS, GET, HEAD, PROPFIND",)], "allow string")
+    if method != "PROPFIND":
+        return 405, None
+    if depth not in ("0", "1"):
+        return 400, None
+    try:
+        return 207, multistatus(propfind(c, path, int(depth), **propfind_request(body)))
+    except ValueError:
+        return 400, None

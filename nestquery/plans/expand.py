@@ -9,9 +9,6 @@ Of a member that is no archive only the first bytes are decoded.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nestquery.functions import text
+from nestquery.plans.durable import work_folder
 from nestquery.schema import ENTRY, FOUND
 from nestquery.sources import members as M
 from nestquery.sources.codecs import DecodeError, materialise, peek
@@ -51,16 +49,12 @@ class Catalog:
         return Catalog(*(spark.read.parquet(f"{path}/{n}") for n in ("entries", "mounts", "content")), files)
 
 
-def work_folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or os.path.join(tempfile.gettempdir(), 'nestquery')}/expand-{uuid.uuid4().hex}"
-
-
 def _rows(fs_id: str, found: list[M.Member], data: bytes, depth: int, max_bytes: int) -> Iterator[dict]:
     """Entry rows of an archive's members: the first of a name wins, and directories that are
     only implied are added."""
     taken: dict[str, dict] = {}
     no = 0
+    in_fork = fs_id.rpartition("/")[2].startswith("._")  # resources are not looked into
 
     def row(name: str, kind: str, **more) -> dict:
         nonlocal no
@@ -91,15 +85,19 @@ def _rows(fs_id: str, found: list[M.Member], data: bytes, depth: int, max_bytes:
         if x.kind != "file":
             continue
         new["recipe"] = x.recipe()
-        if x.size is not None and x.size < 16 or (x.size or 0) > max_bytes or "/._" in fs_id and fs_id.endswith(text.MOUNT) and fs_id.rpartition("/")[2].startswith("._"):
+        if x.size is not None and x.size < 16 or in_fork:
             continue
         recipe, whole = new["recipe"], lambda x=x, r=new["recipe"]: materialise(r, data, x.size)
         try:
-            fmt = M.probe(x.name.rpartition("/")[2], peek(recipe, data, x.size), whole, x.size)
+            if (x.size or 0) > max_bytes:  # what only the whole tells is left open
+                fmt, plain = M.probe(x.name.rpartition("/")[2], peek(recipe, data, x.size), lambda: b"", x.size), None
+            else:
+                fmt = M.probe(x.name.rpartition("/")[2], peek(recipe, data, x.size), whole, x.size)
+                plain = whole() if fmt is not None else None
             if fmt is not None:
-                plain = whole()
-                if len(plain) <= max_bytes:
-                    new["format"], new["content"] = fmt, plain
+                new["format"], new["content"] = fmt, plain
+                if plain is None or len(plain) > max_bytes:
+                    new["content"], new["open_error"] = None, f"more than {max_bytes} bytes"
         except DecodeError:
             continue  # read() tells why
     yield from taken.values()
@@ -160,7 +158,8 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
     """The catalog of files (name, size, mtime_ns, content) and all archives in them.
 
     max_depth ends recursion and max_bytes the materialising of one member; what they hold
-    back stays listed, as a mount in state `recognised`.
+    back stays listed, as a mount in state `recognised`, and open_error tells of max_bytes.
+    Files without content (too large for the source) are listed and not probed.
     """
     spark = files.sparkSession
     folder = work_folder(spark)
@@ -170,9 +169,10 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
         (level if depth else level.withColumn("content", F.lit(None).cast("binary"))).write.parquet(f"{folder}/{depth}")
         level = spark.read.schema(FOUND).parquet(f"{folder}/{depth}")
         levels.append(level)
-        if depth == max_depth or level.where("format is not null").isEmpty():
+        ready = "format is not null" + (" and content is not null" if depth else "")
+        if depth == max_depth or level.where(ready).isEmpty():
             break
-        frontier = (level if depth else root).where("format is not null")
+        frontier = (level if depth else root).where(ready)
         frontier = frontier.withColumn("child", F.concat("path", F.lit(text.MOUNT)))
         level = _expand(_spread(frontier) if depth else frontier, depth + 1, max_bytes)
     found = levels[0]
@@ -181,9 +181,10 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
     entries = found.where("kind <> 'mount'").select(*[f.name for f in ENTRY.fields])
     errors = found.where("kind = 'mount'").select(F.col("fs_id").alias("child_fs_id"), F.col("open_error").alias("__e"))
     size = F.coalesce(F.length("content").cast("long"), F.col("size")).alias("size")
-    mounts = found.where("format is not null").select("fs_id", "name", "path", "format", F.concat("path", F.lit(text.MOUNT)).alias("child_fs_id"), "depth", size)
-    state = F.when(F.col("depth") >= max_depth, "recognised").when(F.col("__e").isNotNull(), "failed").otherwise("opened")
-    mounts = mounts.join(errors, "child_fs_id", "left").select("fs_id", "name", "path", state.alias("state"), "format", "child_fs_id", "size", F.col("__e").alias("open_error"))
+    mounts = found.where("format is not null").select("fs_id", "name", "path", "format", F.concat("path", F.lit(text.MOUNT)).alias("child_fs_id"), "depth", size, "open_error")
+    held = F.col("open_error").isNotNull() | (F.col("depth") >= max_depth)
+    state = F.when(held, "recognised").when(F.col("__e").isNotNull(), "failed").otherwise("opened")
+    mounts = mounts.join(errors, "child_fs_id", "left").select("fs_id", "name", "path", state.alias("state"), "format", "child_fs_id", "size", F.coalesce("open_error", "__e").alias("open_error"))
     content = found.where("content is not null").select(F.concat("path", F.lit(text.MOUNT)).alias("fs_id"), "content")
     return Catalog(entries, mounts, content, files)
 

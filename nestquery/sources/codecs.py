@@ -219,3 +219,32 @@ def peek(recipe: dict, source: bytes, size: int | None, n: int = HEAD) -> bytes:
     except (OSError, zlib.error, lzma.LZMAError, EOFError) as e:
         raise DecodeError(f"{codec}: {e}") from None
     return materialise(recipe, source, size)[:n]
+
+
+def slice_of(recipe: dict, source: bytes, size: int | None, offset: int, length: int | None) -> bytes:
+    """Up to length bytes (null: all) of an entry from offset on.
+
+    Of stored entries only the extents that meet the range are touched; streams are decoded
+    up to its end.  A checksum is tested only where all is decoded.
+    """
+    if offset < 0 or (length or 0) < 0:
+        raise DecodeError("negative offset or length")
+    if recipe.get("error"):
+        raise DecodeError(recipe["error"])
+    if size is not None:
+        length = max(0, min(size - offset, size if length is None else length))
+    if length == 0:
+        return b""
+    prefix = recipe.get("prefix") or b""
+    if recipe["codec"] == "stored" and length is not None:
+        begin, end = max(0, offset - len(prefix)), max(0, offset + length - len(prefix))
+        parts, log = [], 0
+        for x in recipe["extents"]:
+            a, b = max(begin, log), min(end, log + x["len"])
+            if a < b:
+                parts.append({"log": a, "phys": None if x["phys"] is None else x["phys"] + a - log, "len": b - a})
+            log += x["len"]
+        return prefix[offset : offset + length] + gather(source, parts)
+    if length is None or size is not None and offset + length >= size:
+        return materialise(recipe, source, size)[offset : None if length is None else offset + length]
+    return peek(recipe, source, size, offset + length)[offset : offset + length]

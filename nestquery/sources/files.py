@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nestquery.sources.rawfiles import RawFiles
 
+MOST = 2**31 - 64
 #: Files that are still being downloaded are no archives.
 PARTIAL = r"\.(crdownload|part)$"
 
@@ -17,13 +18,16 @@ def read_folder(spark: SparkSession, path: str, glob: str | None = None, hidden:
     """(name, size, mtime_ns, content) of all regular files below a folder.
 
     The files are read by Spark on the executors; content is read only if it is selected.
+    Files of more than MOST bytes, which are no cell of a table, come with a null content.
     Names that begin with . or _ are passed over by Spark; hidden adds them, for a folder
     that driver and executors have mounted.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = named(reader.load(path), path)
+    found = reader.load(path)
+    large = found.where(F.col("length") > MOST).withColumn("content", F.lit(None).cast("binary"))
+    files = named(found.where(F.col("length") <= MOST).unionByName(large), path)
     if not hidden:
         return files
     spark.dataSource.register(RawFiles)
@@ -53,7 +57,15 @@ def list_links(spark: SparkSession, path: str) -> DataFrame:
             full = os.path.join(here, n)
             rel = os.path.relpath(full, path)
             if os.path.islink(full):
-                rows.append((rel, "symlink", os.readlink(full)))
+                rows.append((rel, "symlink", _inside(path, full)))
             elif n in dirs:
                 rows.append((rel, "dir", None))
     return spark.createDataFrame(rows, "name string, kind string, link_target string")
+
+
+def _inside(root: str, link: str) -> str:
+    """A link's target from the root, if it stays below it; else as it is."""
+    raw = os.readlink(link)
+    full = os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(link)), raw))
+    inner = os.path.relpath(full, os.path.abspath(root))
+    return raw if inner.startswith("..") else inner

@@ -211,11 +211,12 @@ def zip_members(data: bytes) -> Iterator[Member]:
         raise FormatError("zip: directory lies before the file")
     first: list[Member] = []
     files: list[Member] = []
-    at, error = begin + shift, None
-    for _ in range(count):
-        if data[at : at + 4] != b"PK\1\2" or at + 46 > len(data):
+    at, error, seen = begin + shift, None, 0
+    while at < tail:  # the count is of 16 bits, and some writers let it overflow
+        if data[at : at + 4] != b"PK\1\2" or at + 46 > tail:
             error = "zip: bad directory record"
             break
+        seen += 1
         by, flags, method, stamp, crc, packed, plain, n, m, k = struct.unpack_from("<4xHxxHHIIIIHHH", data, at)
         outer, where = struct.unpack_from("<II", data, at + 38)
         record, at = at, at + 46
@@ -233,7 +234,9 @@ def zip_members(data: bytes) -> Iterator[Member]:
             else:
                 where = value
         name = name.lstrip("/")
-        if name.startswith("__MACOSX/"):
+        if name.startswith("__MACOSX/"):  # holds sidecars, and folders that are no one's
+            if not name.rpartition("/")[2].startswith("._"):
+                continue
             name = name[len("__MACOSX/") :]
         is_dir = name.endswith("/")
         name = name.rstrip("/") if is_dir else name
@@ -243,8 +246,10 @@ def zip_members(data: bytes) -> Iterator[Member]:
         if by >> 8 in (3, 19):
             perm, link = unix & 0o777, unix & 0o170000 == 0o120000
             is_dir = is_dir or unix & 0o170000 == 0o040000
-        else:
+        elif by >> 8 in (0, 11, 14):
             perm, link = (0o444 if outer & 1 else 0o666) | (0o111 if is_dir or outer & 16 else 0), False
+        else:
+            perm, link = 0o755 if is_dir else 0o644, False
         mtime = _zip_time(stamp, extras)
         if is_dir:
             first.append(Member(name, "dir", record, 0, mtime, perm))
@@ -272,6 +277,8 @@ def zip_members(data: bytes) -> Iterator[Member]:
             files.append(x)
     yield from first
     yield from sorted(files, key=lambda f: f.member_id)
+    if not error and seen % 0x10000 != count % 0x10000:
+        error = f"zip: {seen} members instead of {count}"
     if error:
         raise FormatError(error)
 
@@ -587,14 +594,14 @@ def hfs_members(data: bytes) -> Iterator[Member]:
 
     def path(cnid: int) -> str | None:
         out: list[str] = []
-        for _ in range(1000):
-            if cnid == 1:
-                return "/".join(reversed(out))
-            if cnid not in dirs:
+        passed: set[int] = set()
+        while cnid != 1:
+            if cnid not in dirs or cnid in passed:
                 return None
+            passed.add(cnid)
             cnid, name = dirs[cnid]
             out.append(name)
-        return None
+        return "/".join(reversed(out))
 
     members = []
     for parent, name, rec in records:
@@ -726,14 +733,14 @@ def _sit_v5(data: bytes) -> Iterator[Member]:
         at += dpacked
 
     def path(folder: int, name: str) -> str | None:
-        for _ in range(1000):
-            if not folder:
-                return name
-            if folder not in folders:
+        out, passed = [name], set()
+        while folder:
+            if folder not in folders or folder in passed:
                 return None
+            passed.add(folder)
             folder, above = folders[folder]
-            name = f"{above}/{name}"
-        return None
+            out.append(above)
+        return "/".join(reversed(out))
 
     for folder, name, begin, (info, ctime, mtime, comment, *forks) in items:
         full = path(folder, name)
