@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +35,30 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def _short_plans(spark: SparkSession):
+    """Plans as texts are for people to read; the driver keeps those of a thousand queries."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _short_plans(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def durable_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: for rows with texts."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_plans(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -73,18 +88,24 @@ def scan(values: Column, zero: Column, op, part: int = 256) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.slice(F.array(zero), 1, 0)))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+def shares(table: DataFrame, count: str) -> tuple[int, int]:
+    """All rows that a table of one row per key counts, and those of the largest key."""
+    return tuple(x or 0 for x in table.agg(F.sum(count), F.max(count)).first())
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, size: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of rows with a table of one row per key, `count` of rows each (dropped).
 
     Rows of a key with over twice a partition's fair share are dealt over several salts by
     their hash, and the table's row is repeated for each: no task gets much more than a fair
     share for one key.  Only the names of such keys are broadcast; whatever the data, there
-    are fewer of them than half the partitions.  Keys that are null match nothing.
+    are fewer of them than half the partitions.  Keys that are null match nothing.  size is
+    shares(table), for a caller that knows it.
     """
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if total is None:
-        total = table.agg(F.sum(count)).first()[0] or 0
-    fair = max(64, total // tasks)
+    total, most = shares(table, count) if size is None else size
+    fair = max(64, total // int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if most <= 2 * fair:
+        return rows.join(table.drop(count), keys)
     salts = F.when(F.col(count) > 2 * fair, F.ceil(F.col(count) / fair)).otherwise(1).cast("int").alias("\x01salts")
     hot = table.where(F.col(count) > 2 * fair).select(*keys, salts)
     own = [F.col(f"`{c}`") for c in rows.columns]
@@ -143,14 +164,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
             break
-        seen, n = now, now[0]
+        seen = now
         back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        low = e.unionByName(back).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        low = low.select("u", F.least("u", "m").alias("m"), "n")
-        large = durable(spread_join(back, low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = durable(e.unionByName(back).groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = durable(spread_join(back, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (
-            spread_join(large, low, ["u"], "n", n)
+            spread_join(large, low, ["u"], "n")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

@@ -190,7 +190,7 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, size: tuple
     """rows with the facts of their group; size is the number of rows and that of groups."""
     if size[1] <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(table.drop(count)), key)
-    return spread_join(rows, table, [key], count, size[0])
+    return spread_join(rows, table, [key], count)
 
 
 def _starts(good: DataFrame, sizes: DataFrame, xs: list[str], size: tuple[int, int]) -> DataFrame:

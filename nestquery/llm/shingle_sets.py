@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join
+from .common import shares, spread_join
 
 BANDS, ROWS = 20, 3
 #: Shingles minhashed at once.
@@ -69,9 +69,9 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity."""
     for end, name in (("a", "ha"), ("b", "hb")):
-        asked = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        asked = pairs.select(end).groupBy(end).agg(F.count("*").alias("n"))
         table = asked.join(sets.select(F.col("node").alias(end), F.col("hashes").alias(name)), end)
-        pairs = spread_join(pairs, table, [end], "n")
+        pairs = spread_join(pairs, table, [end], "n", shares(asked, "n"))
     sizes = F.size("ha") + F.size("hb")
     long_enough = F.least(F.size("ha"), F.size("hb")) >= similarity * F.greatest(F.size("ha"), F.size("hb")) - 1e-9
     same = F.size(F.array_intersect("ha", "hb"))

@@ -303,7 +303,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
 
     bands = nodes.select("node", F.explode("bands").alias("g"))
     least = bands.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
-    buckets = durable(spread_join(bands, least.select("g", "low", "n"), ["g"], "n"))
+    buckets = durable(spread_join(bands, durable(least.select("g", "low", "n")), ["g"], "n"))
     star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = durable(star.unionByName(tight).unionByName(equal).distinct())
     used = buckets.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
