@@ -170,6 +170,14 @@ def covering_range(points: DataFrame, ranges: DataFrame, key: str, at: str, lo:
     return got.select(*points.columns, F.when(inside, F.col(lo)).alias(lo), F.when(inside, F.col(hi)).alias(hi))
 
 
+def hit_counts(points: DataFrame, ranges: DataFrame, key: str, at: str, length: str, lo: str, hi: str) -> DataFrame:
+    """(hit, miss): bytes asked for at points that lie in their key's ranges, and the others."""
+    got = covering_range(points, ranges, key, at, lo, hi)
+    held = F.when(F.col(lo).isNull(), 0).otherwise(F.least(F.col(at) + F.col(length), F.col(hi)) - F.col(at))
+    got = got.select(held.alias("h"), F.col(length).alias("n"))
+    return got.agg(F.coalesce(F.sum("h"), F.lit(0)).alias("hit"), F.coalesce(F.sum(F.col("n") - F.col("h")), F.lit(0)).alias("miss"))
+
+
 def implicit_dirs(paths: DataFrame, path: str) -> DataFrame:
     """(path, depth, is_dir) of all prefixes of slash-separated paths."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

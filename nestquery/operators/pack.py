@@ -6,6 +6,7 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 import tarfile
 import zipfile
 from collections.abc import Callable
@@ -68,3 +69,35 @@ def squeeze(rows: DataFrame, name: Column, content: Column, fmt: str) -> DataFra
             yield pd.DataFrame({"name": b["name"] + "." + fmt, "size": [len(d) for d in data], "mtime_ns": 10**18, "content": data})
 
     return rows.select(name.alias("name"), content.cast("binary").alias("content")).mapInPandas(run, FILES)
+
+
+def pack_forms(rows: DataFrame, volume: Column, member: Column, content: Column, forms: list[tuple[str, Callable[[list[tuple[str, bytes]]], bytes]]]) -> DataFrame:
+    """(name, size, mtime_ns, content): one archive per volume number, in one of the forms
+    (a name with {} for the number, and what makes the bytes) by turns."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        number = int(g["volume"].iloc[0])
+        name, build = forms[number % len(forms)]
+        data = build(sorted((n, bytes(c)) for n, c in zip(g["member"], g["content"])))
+        return pd.DataFrame({"name": [name.format(number)], "size": [len(data)], "mtime_ns": [10**18], "content": [data]})
+
+    r = rows.select(volume.cast("long").alias("volume"), member.alias("member"), F.coalesce(content, F.lit("")).cast("binary").alias("content"))
+    return r.groupBy("volume").applyInPandas(one, FILES)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write (name, content) as files below a folder that executors and driver have mounted;
+    the number of files.  A file appears whole, so a task that is repeated does no harm."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b["name"], b["content"]):
+                full = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                part = f"{full}.{os.getpid()}.tmp"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, full)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return files.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

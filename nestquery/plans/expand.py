@@ -128,8 +128,11 @@ def _expand(frontier: DataFrame, depth: int, max_bytes: int) -> DataFrame:
 
 
 def _root(files: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is not None:  # a file scan follows symbolic links
-        files = files.join(links.select("name"), "name", "left_anti").select(*files.columns)
+    if links is not None:  # a file scan follows symbolic links, to files and to folders
+        parts = F.split("name", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        through = files.select("name", F.explode(above).alias("p")).join(links.where("kind = 'symlink'").select(F.col("name").alias("p")), "p").select("name").distinct()
+        files = files.join(through, "name", "left_anti").select(*files.columns)
     base = text.base(F.col("name"))
     fmt = F.when(~base.rlike(PARTIAL), text.probe_format(base, F.col("content"), F.col("size")))
     recipe = F.struct(

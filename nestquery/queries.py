@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from nestquery.functions import text
 from nestquery.functions.glob import glob_to_regex
 from nestquery.operators import kernels, pack, verbs
-from nestquery.plans.expand import Catalog, expand, first_wins, work_folder
+from nestquery.plans.durable import work_folder
+from nestquery.plans.expand import Catalog, expand, first_wins
 
 #: Documents in one packed archive.
 VOLUME = 128
@@ -99,7 +100,8 @@ def zip_readdir(spark, sf_dir):
 def zip_read_at(spark, sf_dir):
     """The second hundred bytes of every member."""
     c = expand(_packed(spark, sf_dir, "zip"))
-    return verbs.read(c, verbs.glob(c, "**/*.txt", limit=None)).select("path", F.md5(F.substring("content", 101, 100)).alias("md5"))
+    ranges = verbs.glob(c, "**/*.txt", limit=None).select("path", F.lit(100).alias("offset"), F.lit(100).alias("length"))
+    return verbs.read(c, ranges).select("path", F.md5("content").alias("md5"))
 
 
 ZIP_READ_AT_SQL = f"""
@@ -239,11 +241,11 @@ SELECT conv_id || ':' || turn AS id, path FROM r"""
 def symlink_resolve(spark, sf_dir):
     """Links page -> page * 7 mod 101 + 50 among pages: chains, ends and circles."""
     p = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("s"), (F.col("page_id") * 7 % 101 + 50).cast("long").alias("t"))
-    return kernels.resolve_links(p.where("s % 3 <> 0"), "s", "t")
+    return kernels.resolve_links(p, "s", "t")
 
 
 SYMLINK_SQL = """
-WITH RECURSIVE l AS (SELECT CAST(page_id AS BIGINT) AS s, CAST(page_id * 7 % 101 + 50 AS BIGINT) AS t FROM pages WHERE page_id % 3 <> 0),
+WITH RECURSIVE l AS (SELECT CAST(page_id AS BIGINT) AS s, CAST(page_id * 7 % 101 + 50 AS BIGINT) AS t FROM pages),
 r AS (SELECT s, t, [s] AS seen, t AS here FROM l
       UNION ALL SELECT r.s, r.t, list_append(r.seen, r.here), l.t FROM r JOIN l ON l.s = r.here WHERE NOT list_contains(r.seen, r.here))
 SELECT s, t, CASE WHEN NOT list_contains(seen, here) THEN here END AS resolved FROM r
@@ -266,13 +268,14 @@ SELECT page_id, regexp_matches(p, '^(.*/)?en/[^/]*$') AS g0, regexp_matches(p, '
 
 
 def glob_limit(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", _url_path(F.col("url")).alias("p"))
-    return p.where(F.col("p").rlike(glob_to_regex("**/en/*"))).orderBy("p", "page_id").limit(verbs.SEARCH_LIMIT)
+    """The first of the members that match, below one folder of each archive."""
+    c = expand(_packed(spark, sf_dir, "zip"))
+    return verbs.glob(c, "*/en/**/*.txt", limit=100).select("path", "kind", "size")
 
 
 GLOB_LIMIT_SQL = f"""
-WITH p AS (SELECT page_id, {URL_PATH_SQL} AS p FROM pages)
-SELECT page_id, p FROM p WHERE regexp_matches(p, '^(.*/)?en/[^/]*$') ORDER BY p, page_id LIMIT 2000"""
+SELECT 'vol-' || (doc_id // {VOLUME}) || '.zip◆/en/' || source || '/' || doc_id || '.txt' AS path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size
+FROM documents WHERE lang = 'en' ORDER BY path LIMIT 100"""
 
 
 def escapes(spark, sf_dir):
@@ -356,23 +359,32 @@ def times(spark, sf_dir):
 TIMES_SQL = """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) // 2 * 2 AS dos, CAST(floor(epoch(ts)) AS BIGINT) AS mac FROM events"""
 
 
+def _mixed(spark, sf_dir):
+    """Labelled documents as compressed files, the others as they are."""
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("l", F.lit(1)), "doc_id", "left")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    packed = pack.squeeze(d.where("l = 1"), name, F.col("text"), "gz")
+    plain = d.where("l is null").select(name.alias("name"), F.octet_length("text").cast("long").alias("size"), F.lit(10**18).alias("mtime_ns"), F.col("text").cast("binary").alias("content"))
+    return expand(_stored(packed.unionByName(plain)))
+
+
 def anti_unprobed(spark, sf_dir):
-    d, l = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return d.join(l, "doc_id", "left_anti").select("doc_id", "lang", "source")
+    """Files that are no archives, at every depth."""
+    return verbs.unprobed(_mixed(spark, sf_dir)).select("path", "depth")
 
 
-ANTI_SQL = "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
+ANTI_SQL = """SELECT CASE WHEN l THEN doc_id || '.txt.gz◆/' || doc_id || '.txt' ELSE doc_id || '.txt' END AS path, CAST(l AS INT) AS depth
+FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents)"""
 
 
 def mount_semi(spark, sf_dir):
-    """Listing with mount points: documents, and again those that a label recognises."""
-    d, l = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("base")), _table(spark, sf_dir, "labels")
-    mounts = d.join(l, "doc_id", "left_semi").withColumn("base", F.concat("base", F.lit(text.MOUNT)))
-    return d.unionByName(mounts)
+    """The root's listing: its files, and again those that are recognised, as folders."""
+    return verbs.readdir(_mixed(spark, sf_dir), ".").select("base", "kind")
 
 
-SEMI_SQL = """SELECT doc_id, doc_id || '.txt' AS base FROM documents
-UNION ALL SELECT doc_id, doc_id || '.txt◆' FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+SEMI_SQL = """WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents)
+SELECT doc_id || '.txt' || CASE WHEN l THEN '.gz' ELSE '' END AS base, 'file' AS kind FROM d
+UNION ALL SELECT doc_id || '.txt.gz◆', 'mount' FROM d WHERE l"""
 
 
 def inner_names(spark, sf_dir):

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from __spark_entry__ import QUERIES
 from nestquery.functions.glob import BadPattern, glob_to_regex
-from nestquery.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
