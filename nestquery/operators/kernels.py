@@ -74,7 +74,8 @@ def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, hot_row
     """(keys, lo, hi, n): overlapping and touching [lo, hi) ranges of a key made one."""
     z = _before(df.select(*keys, lo, hi), keys, lo, hi, hot_rows)
     z = z.withColumn("__new", F.col("__h").isNull() | (F.col(lo) > F.col("__h")))
-    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)
+    # Equal ranges come in the order in which __h has met them.
+    own = Window.partitionBy(*keys, "__z").orderBy(lo, hi, F.col("__h").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     # Runs within a zone; the first may go on one of an earlier zone.
     runs = z.withColumn("__g", F.sum(F.col("__new").cast("int")).over(own)).groupBy(*keys, "__z", "__g").agg(
         F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n"), F.max(F.col("__new").cast("int")).alias("__new")
