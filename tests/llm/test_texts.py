@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -36,31 +37,35 @@ def base(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
 
 
-def mcd_brute(rows, support=0.75, steps=2, alpha=1e-9, min_rows=50):
-    """The same estimate in numpy, group by group; True for rejected rows."""
-    p, floors = 5, np.array(quality_mcd.FLOORS)
-    groups = collections.defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[r["key"]].append(i)
-    out = {}
-    q = quality_mcd.chi2_quantile(support, p)
-    factor = support / quality_mcd.chi2_cdf(q, p + 2)
-    for own in groups.values():
-        x = np.array([rows[i]["x"] for i in own])
-        mid = lambda v: (np.sort(np.floor(v * 256), 0)[int(np.ceil(0.5 * len(v))) - 1] + 0.5) / 256
-        mean = mid(x)
-        unit = 1 / (1.4826 * mid(np.abs(x - mean)) + floors)
-        inv = np.diag(unit**2)
-        for _ in range(steps):
+def regular(x, near):
+    """Mean and floored covariance of the nearest rows, and the determinant's logarithm."""
+    p = x.shape[1]
+    factor = 0.75 / quality_mcd.chi2_cdf(quality_mcd.chi2_quantile(0.75, p), p + 2)
+    mean = x[near].mean(0)
+    cov = factor * np.cov(x[near].T, bias=True) + np.diag(np.array(quality_mcd.FLOORS) ** 2)
+    return mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def mcd_brute(x, starts=500, seed=0):
+    """Least determinant over random starts of p + 1 rows, concentrated on exact shares."""
+    r, h, best = np.random.default_rng(seed), int(np.ceil(0.75 * len(x))), (np.inf, None)
+    for _ in range(starts):
+        mean, inv, _ = regular(x, r.choice(len(x), x.shape[1] + 1, replace=False))
+        det = np.inf
+        for _ in range(60):
             d = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
-            b = np.floor(64 * np.log2(d + 1e-9))
-            near = x[b <= np.sort(b)[int(np.ceil(support * len(b))) - 1]]
-            mean = near.mean(0)
-            inv = np.linalg.inv(factor * np.cov(near.T, bias=True) + np.diag(floors**2))
-        d = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
-        for i, v in zip(own, d):
-            out[i] = len(near) >= min_rows * support and v > quality_mcd.chi2_quantile(1 - alpha, p)
-    return out
+            mean, inv, new = regular(x, np.argsort(d, kind="stable")[:h])
+            if det - new < 1e-9:
+                break
+            det = new
+        if det < best[0]:
+            best = det, (mean, inv)
+    return best
+
+
+def vector(t):
+    n, c, s, d, k = base(t)
+    return [np.log1p(n), (c + 250) / (n + 50), np.log1p(s / (n + 50)), d / (d + 5 + n / 20), k / (n + 50)]
 
 
 def test_quality_statistics(spark):
@@ -83,17 +88,51 @@ def test_quality_outliers_equal_numpy(spark):
         texts.append(" ".join(x + r.choice(["###", "%%%"]) for x in w) if i % 29 == 0 else " ".join(w))
     df = docs(spark, texts)
     got = {x.doc_id: x for x in quality_mcd.judge(df).collect()}
-    rows = []
-    for i, t in enumerate(texts):
-        n, c, s, d, k = base(t)
-        rows.append({"key": ("en" if i % 5 else None, i % 3), "x": [np.log1p(n), (c + 250) / (n + 50), np.log1p(s / (n + 50)), d / (d + 5 + n / 20), k / (n + 50)]})
-    bad = mcd_brute(rows)
-    assert {i for i in bad if bad[i]} == {i for i in got if not got[i].kept and not got[i].base_failed}
-    assert {i for i in bad if bad[i]} == {i for i in range(900) if i % 29 == 0}
+    x, cut = np.array([vector(t) for t in texts]), quality_mcd.chi2_quantile(1 - 1e-3, 5)
+    bad, groups = set(), collections.defaultdict(list)
+    for i in range(900):
+        groups["en" if i % 5 else None, i % 3].append(i)
+    for own in groups.values():
+        mean, inv = mcd_brute(x[own], 100)[1]
+        d = np.einsum("ni,ij,nj->n", x[own] - mean, inv, x[own] - mean)
+        bad |= {i for i, v in zip(own, d) if v > cut}
+        theirs = np.array([got[i].distance for i in own])
+        assert np.corrcoef(theirs, d)[0, 1] > 0.99
+    rejected = {i for i in got if not got[i].kept and not got[i].base_failed}
+    junk = {i for i in range(900) if i % 29 == 0}
+    assert junk <= rejected and junk <= bad and len(rejected ^ bad) <= 9  # of clean rows, some at the edge
     assert {x.doc_id for x in quality_mcd.keep_good(df).collect()} == {i for i in got if got[i].kept}
     assert quality_mcd.keep_good(df).columns == df.columns
 
 
+def test_determinant_is_least(spark):
+    """Skewed, shifted and clustered vectors: no random start of 500 gets lower by more than
+    what bins of distances leave open."""
+    r = np.random.default_rng(5)
+    groups = []
+    for k in range(4):
+        a = r.normal(size=(5, 5))
+        x = r.normal(size=(300, 5)) @ a
+        x[:60] = r.normal(size=(60, 5)) * 0.3 + (k + 1) * 4
+        groups.append(np.abs(x) ** 1.5 if k == 3 else x)
+    rows = [(str(g), *map(float, v)) for g, x in enumerate(groups) for v in x]
+    xs = [f"x{i}" for i in range(5)]
+    good = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in xs))
+    sizes = good.groupBy("g").agg(F.count("*").alias("n"))
+    for est in quality_mcd.estimates(good, sizes, xs).collect():
+        det, _ = mcd_brute(groups[int(est.g)])
+        assert est.logdet <= det + 0.03
+        assert abs(np.linalg.slogdet(np.linalg.inv(np.array(est.inv).reshape(5, 5)))[1] - est.logdet) < 1e-6
+
+
+def test_groups_joined_without_broadcast(spark, monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefghij") * r.randint(2, 8) for _ in range(r.randint(20, 60))) for _ in range(400)]
+    want = sorted((x.doc_id, round(x.distance or -1, 6)) for x in quality_mcd.judge(docs(spark, texts)).collect())
+    monkeypatch.setattr(quality_mcd, "BROADCAST_GROUPS", 0)
+    assert sorted((x.doc_id, round(x.distance or -1, 6)) for x in quality_mcd.judge(docs(spark, texts)).collect()) == want
+
+
 def test_quality_small_groups(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
@@ -109,8 +148,9 @@ def test_quality_small_groups(spark):
     df = spark.createDataFrame(rows, DOC).repartition(3)
     got = {x.doc_id: x for x in quality_mcd.judge(df).collect()}
     assert all(got[i].base_failed or got[i].distance is not None for i in got)
-    assert {i for i in got if not got[i].kept} == junk and len(junk) == 14
-    assert len(rows) - len(junk) == quality_mcd.keep_good(df).count()
+    rejected = {i for i in got if not got[i].kept}
+    assert junk <= rejected and len(junk) == 14 and len(rejected) <= 18
+    assert len(rows) - len(rejected) == quality_mcd.keep_good(df).count()
 
 
 def test_quality_rejects_at_one_in_a_thousand(spark):
@@ -119,8 +159,8 @@ def test_quality_rejects_at_one_in_a_thousand(spark):
     text = lambda every: " ".join(r.choice(words) + ("|" if every and k % every == 0 else "") for k in range(100))
     texts = [text(2 if i in (40, 41) else 0) for i in range(200)]
     got = {x.doc_id: x for x in quality_mcd.judge(docs(spark, texts, ("a",))).collect()}
-    assert {i for i in got if not got[i].kept} == {40, 41}
-    assert all(20.6 < got[i].distance < 50 for i in (40, 41))
+    rejected = {i for i in got if not got[i].kept}
+    assert {40, 41} <= rejected and len(rejected) <= 5
 
 
 def test_quality_empty(spark):
@@ -133,6 +173,7 @@ def test_chi2():
 
 # --- secrets -----------------------------------------------------------------------------
 
+SF = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -156,27 +197,64 @@ def test_secret_base_rules(spark):
         assert sorted((s.s, s.k, s.e) for s in got[i].spans if s.k < 3) == spans(t)
 
 
-def samples(spark):
-    return secret_markov.default_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-
-
 def test_markov_tells_random_from_names(spark):
-    got = {x.doc_id: x for x in secret_markov.scan(docs(spark, SECRETS), samples=samples(spark)).collect()}
+    got = {x.doc_id: x for x in secret_markov.scan(docs(spark, SECRETS)).collect()}
     t = SECRETS[-1]
     more = [t[s.s : s.e] for s in got[len(SECRETS) - 1].spans if s.k == 3]
     assert more == ["xP9kQ2vL7zR4mT8wB3nY6cJ1"]
 
 
 def test_markov_held_out(spark):
-    """Trained on digests and the corpus's words, right on other strings and other names."""
+    """Right on strings and names that are in no sample, at the default threshold: names of the
+    corpus's own words, and random strings of four alphabets."""
     r = random.Random(4)
-    syllables = ["con", "fig", "ser", "ver", "load", "er", "man", "age", "test", "ing", "data", "base", "client", "hand", "ler"]
-    name = lambda: "_".join("".join(r.choice(syllables) for _ in range(2)) for _ in range(4))
-    junk = lambda: "".join(r.choice(secret_markov.ALPHABET[:62]) for _ in range(28))
-    ratios = secret_markov.train(samples(spark))
-    test = spark.createDataFrame([(name(), False) for _ in range(200)] + [(junk(), True) for _ in range(200)], "text string, random boolean")
-    wrong = test.where((secret_markov.score(F.col("text"), ratios) >= secret_markov.THRESHOLD) != F.col("random")).count()
-    assert wrong <= 4
+    words = sorted({w for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall("[A-Za-z]{3,9}", x.text or "")})
+    styles = ("_".join, "-".join, "".join, lambda w: "".join(x.title() for x in w))
+    names = [(r.choice(styles)([r.choice(words) for _ in range(5)]), False) for _ in range(400)]
+    sets = [secret_markov.ALPHABET[:62], secret_markov.ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secret_markov.ALPHABET[:62]]
+    junk = [("".join(r.choice(r.choice(sets[:1] + [s])) for _ in range(32)), True) for s in sets for _ in range(100)]
+    runs = [("=" * 40, False), ("-" * 25, False), ("2024-01-02/000123456789", False), ("src/main/java/org/example/service/handler", False)]
+    test = spark.createDataFrame(names + junk + runs, "text string, random boolean")
+    wrong = test.where((secret_markov.score(F.col("text"), secret_markov.default_ratios()) >= secret_markov.THRESHOLD) != F.col("random"))
+    assert wrong.count() <= 8 and wrong.where("not random").count() <= 2
+
+
+def test_markov_samples(spark):
+    given = spark.createDataFrame(secret_markov.default_samples(), "text string, random boolean")
+    assert np.allclose(secret_markov.train(given), secret_markov.default_ratios())
+    for none in (given.where("random"), given.limit(0), given.unionByName(spark.createDataFrame([(None, True), ("x", None)], "text string, random boolean"))):
+        assert np.isfinite(secret_markov.train(none)).all()
+    assert secret_markov.scan(docs(spark, SECRETS), samples=given.limit(0)).where(F.exists("spans", lambda s: s["k"] == 3)).count() == 0
+
+
+def test_many_matches(spark):
+    t = "token=" + "a" * 12 + " " + " ".join("0123456789abcdef" + "g" * (i % 3) + " xP9kQ2vL7zR4mT8wB3nY6cJ1" for i in range(4000))
+    got = secret_markov.scan(docs(spark, [t])).first().spans
+    assert sorted((s.s, s.k, s.e) for s in got if s.k < 3) == spans(t) and sum(s.k == 3 for s in got) == 4000
+    assert [(s.s, s.k) for s in got] == sorted((s.s, s.k) for s in got)
+
+
+def test_secret_query(spark):
+    from nestquery.llm import queries
+
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for x in queries.op7_secret_markov(spark, SF).collect():
+        own = spans(texts[x.doc_id])
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, k, _ in own) for i in range(3))
+        said = ",".join(f"{secret_markov.KINDS[k]}:{s}:{e}" for s, k, e in own)
+        assert x.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) <= set(x.spans.split(",")) | {""}
+
+
+def test_quality_query(spark):
+    from nestquery.llm import queries
+
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op5_quality_mcd(spark, SF).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        want = base(texts[x.doc_id])
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want
+        assert x.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (x.kept and x.base_failed)
 
 
 def test_redact(spark):
@@ -206,10 +284,46 @@ def test_licences(spark):
     assert [got[n + i].license for i in range(5)] == ["MIT", "MIT", None, None, None]
     assert got[n + 3].notices == ["Apache-2.0", "MIT"] and got[n].digest == got[n + 1].digest
     assert got[0].digest is None and got[1].license is None and got[7].digest is None
-    assert all("licen" in t.lower() for _, t in license_scan.KNOWN if "\n" not in t)
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def noisy(t):
+    t = t.replace("license", "licence").replace("organization", "organisation").replace("recognize", "recognise").replace("copyright holder", "copyright owner")
+    return "Copyright 2001 Some One\n" + t.upper().replace(", ", " ,\n * ") + "\n(c) 1999 B"
+
+
+def test_every_known_text_in_other_spellings(spark):
+    texts = [noisy(t) for _, t in license_scan.TEXTS]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in license_scan.TEXTS]
+    holders = license_scan.BSD_2 + license_scan.BSD_NAME.replace("the copyright holder", "Example\nProject") + license_scan.BSD_END
+    lines = ["Released under CC0.", "x\nLicensed under CC BY-NC 4.0.\nThis work is licenced under a Creative Commons Attribution 4.0 International Licence\nSPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0"]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, [holders, *lines])).collect()}
+    assert got[0].license == "BSD-3-Clause" and got[1].notices == ["CC0-1.0"] and got[2].notices == ["CC-BY-4.0", "CC-BY-NC-4.0", "MIT"] and got[3].license == "GPL-2.0"
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_long_texts(spark):
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+    texts = [noisy(open(f"/usr/share/common-licenses/{f}").read()) if n < 4 else open(f"/usr/share/common-licenses/{f}").read() for n, (f, _) in enumerate(names)]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(4, len(names))] == [n for _, n in names[4:]]
+    plain = [open(f"/usr/share/common-licenses/{f}").read().replace("license", "licence") for f, _ in names]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs(spark, plain)).collect()}
+    assert [got[i] for i in range(len(names))] == [n for _, n in names]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_own_table_of_licences(spark, monkeypatch, most):
+    """Ties go to the first name; no word has to occur; columns of clashing names pass by."""
+    monkeypatch.setattr(license_scan, "BROADCAST_KNOWN", most)
+    known = spark.createDataFrame([("Z", "Free as in air"), ("B", "free as in AIR!"), ("C", "take it\nleave it"), ("D", None), ("E", "...")], "license string, text string")
+    rows = [(i, t, "d", "l", "n") for i, t in enumerate(["free, as in air", "x\nfree as in air", "TAKE it leave it", None, "...", ""] + ["same line"] * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, license string, notices string")
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan.scan(df, known).collect()}
+    assert [got[i] for i in range(6)] == [("B", ["B"]), (None, ["B"]), ("C", ["C"]), (None, []), (None, []), (None, [])] and len(got) == 206
+
+
 # --- chats -------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
@@ -234,13 +348,33 @@ def test_chat_parts(spark):
     part = "array<struct<type:string,value:string,ref:string,tokens:int>>"
     rows = [(1, 0, "user", [("text", "look <", None, None), ("image", None, "s3://a.png", None), ("audio", None, "b.wav", 40), ("text", "x", None, None)]), (1, 1, "assistant", [("text", "fine", None, None)]), (2, 0, "user", None), (3, 0, "user", [("document", None, "c.pdf", None), ("odd", "y", None, None)])]
     got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}")).collect()}
-    assert got[1].formatted == "<|user|>look <\\<|image|><|audio|>x</s><|assistant|>fine</s>"
+    assert got[1].formatted == "<|user|>look <\\<|image:0|><|audio:1|>x</s><|assistant|>fine</s>"
     assert [(a.turn, a.place, a.type, a.ref, a.tokens) for a in got[1].attachments] == [(0, 0, "image", "s3://a.png", 576), (0, 1, "audio", "b.wav", 40)]
     assert got[1].attached_tokens == 616 and got[3].attached_tokens == 1024 and "y" in got[3].formatted
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}"))).collect()}
+    assert [(p.type, p.value, p.place) for p in back[1].turns[0].parts] == [("text", "look <", None), ("image", None, 0), ("audio", None, 1), ("text", "x", None)]
+    assert back[1].turns[0].text == "look <x" and back[1].loss_text == "fine" and back[2].turns[0].parts == []
     s = got[1].loss[1]
     assert got[1].formatted[s.s : s.e] == "fine" and got[1].loss[0].s == got[1].loss[0].e and got[2].formatted == "<|user|></s>"
 
 
+def test_placeholders_are_no_texts(spark):
+    part = "array<struct<type:string,value:string,ref:string,tokens:int>>"
+    typed = "<|image:0|> and <|document:3|></s>"
+    rows = [(1, 0, "<|image:0|>", [("text", typed, None, None), ("image", None, "a", -5), None, ("text", None, None, None)]), (1, 1, "assistant", [("text", typed, None, None), ("audio", None, "b", 0)])]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}"))
+    got = chat_format.read_back(chats).first()
+    assert [(p.type, p.value) for p in got.turns[0].parts] == [("text", typed), ("image", None)] and got.turns[0].role == "<|image:0|>"
+    assert got.loss_text == typed and [a.tokens for a in chats.first().attachments] == [576, 0]
+
+
+def test_long_chats(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), "id", F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<"), F.col("id").cast("string")).alias("text"))
+    turns = turns.withColumn("parts", chat_format.text_part(F.col("text")))
+    got = chat_format.read_back(chat_format.format_chats(turns)).first()
+    assert len(got.turns) == 20_000 and got.loss_text == "".join(f"t<{i}" for i in range(1, 20_000, 2))
+
+
 # --- mixing ------------------------------------------------------------------------------
 
 
@@ -285,6 +419,47 @@ def test_mixing(spark, big):
     assert len({(x.doc_id, x.epoch) for x in out}) == len(out)
 
 
+def test_quotas_are_drawn_at_every_node():
+    """Leaves add up to the quotas and to equal shards, and single counts follow the
+    hypergeometric distribution."""
+    quotas = np.array([700, 30, 0, 1, 269])
+    got = np.array([mixing_tree.split_quotas(quotas, 8, f"seed{k}") for k in range(400)])
+    assert (got.sum(1) == quotas).all() and (got.sum(2) == 125).all()
+    mean, n = 125 * quotas / 1000, 1000
+    var = mean * (1 - quotas / n) * (n - 125) / (n - 1)
+    assert np.allclose(got.mean((0, 1)), mean) and np.allclose(got[:, 3].var(0), var, rtol=0.35, atol=0.05)
+    odd = mixing_tree.split_quotas(np.array([5, 2]), 3, "s")
+    assert (odd.sum(0) == [5, 2]).all() and odd.sum(1).max() - odd.sum(1).min() <= 1
+    assert (mixing_tree.split_quotas(np.array([10**9, 10**8]), 4).sum(0) == [10**9, 10**8]).all()
+    assert mixing_tree.split_quotas(np.zeros(0, np.int64), 4).shape == (4, 0)
+
+
+@pytest.mark.parametrize("colours, most", [(2, 400_000), (4096, 0)])
+def test_many_sources_and_no_broadcast(spark, monkeypatch, colours, most):
+    texts = ["w " * (i % 7) for i in range(400)]
+    df = docs(spark, texts, ["a", "b", "c", "d", "e", None, "", "a"])
+    want = sorted((x.doc_id, x.copies) for x in mixing_tree.taken(df).collect())
+    monkeypatch.setattr(mixing_tree, "COLOURS", colours)
+    monkeypatch.setattr(mixing_tree, "BROADCAST_BINS", most)
+    got = mixing_tree.taken(df, shards=5).collect()
+    assert sorted((x.doc_id, x.copies) for x in got) == want and all(len(x.shards) == x.copies for x in got)
+    out = mixing_tree.mix(df, shards=5).collect()
+    assert collections.Counter((x.doc_id, x.shard) for x in out) == collections.Counter((x.doc_id, s) for x in got for s in x.shards)
+
+
+def test_names_that_clash(spark):
+    names = ["__key", "__words", "__base", "__id", "__n", "__k", "n", "g", "size", "bin", "key", "epochs", "h", "node", "row"]
+    row = (1, " ".join(f"w{i} and x{i}" for i in range(9)), "en", "s", 5, *names)
+    df = spark.createDataFrame([row, (2, *row[1:]), (3, None, *row[2:])], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    from nestquery.llm import simhash_gph
+
+    assert quality_mcd.judge(df).count() == 3 and quality_mcd.keep_good(df).columns == df.columns
+    assert secret_markov.scan(df).first()["__base"] == "__base" and mixing_tree.taken(df).count() == 3
+    assert set(mixing_tree.mix(df).columns) == {*df.columns, "epoch", "shard"} and mixing_tree.mix(df).first()["__key"] == "__key"
+    assert sorted(x.doc_id for x in simhash_gph.keep_one(df).collect()) == [1, 3] and simhash_gph.keep_one(df).columns == df.columns
+    assert sentencepiece_bpe.encode_decode(df).count() == 3 and license_scan.scan(df).count() == 3
+
+
 def test_mixing_edges(spark):
     assert mixing_tree.taken(docs(spark, [])).count() == 0 and mixing_tree.mix(docs(spark, [])).count() == 0
     none = mixing_tree.taken(docs(spark, ["", None, " "])).collect()
@@ -319,8 +494,14 @@ def test_decode_any_ids():
         assert model.decode(ids) == sp.decode(ids)
 
 
-def test_digests_of_queries(spark):
+def test_token_query(spark):
+    import public_tokenizers
+
     from nestquery.llm import queries
 
-    out = queries.op10_sentencepiece(spark, "/root/testdata/sf0.001").first()
-    assert len(out.ids_sha256) == len(hashlib.sha256().hexdigest()) and out.n_tokens > 0
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for x in queries.op10_sentencepiece(spark, SF).collect():
+        ids = sp.encode(texts[x.doc_id] or "", add_eos=True)
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
