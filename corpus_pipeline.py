@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of docs.  Between stages rows live in Parquet, so a lost executor costs one stage.
+
+Defined cases: null and empty texts fail the first stage's base rule and go; where stages run
+alone they keep such rows as their operators say.  Columns beside doc_id, text, lang, source
+and n_chars pass through the first four stages, whatever their names; an empty table gives an
+empty result at each stage.
 """
 
 from __future__ import annotations
@@ -14,12 +19,15 @@ from nestquery.llm.common import durable_table, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: null, empty and short ones, those that repeat themselves, and the
+    outliers of their group.  Rows that repeat are judged alike, each."""
     return quality_mcd.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, Jaccard >= 0.8."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id (null
+    last): five-word shingles, Jaccard >= 0.8.  Null and empty texts are one group; of rows
+    that repeat id and text one stays; rows that share an id alone are different documents."""
     return simhash_gph.keep_one(docs, shingle=5, similarity=0.8)
 
 
@@ -32,12 +40,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, in shard order."""
+    """Documents as often as the mixture takes them, in shard order; those without words have no
+    share, null sources are a source, rows with equal doc_id and source come together."""
     return mixing_tree.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, exact): exact if decoding gives the text back."""
+    """(doc_id, source, n_tokens, ids, exact): exact if decoding gives the text back; a null text
+    counts as empty and has the end id alone."""
     coded = sentencepiece_bpe.encode_decode(docs.select("doc_id", "source", "text"))
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))

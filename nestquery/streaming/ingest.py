@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nestquery.plans.expand import expand
+from nestquery.functions import text
+from nestquery.plans.expand import Catalog, expand, first_wins
 from nestquery.sources.files import named
 
+TABLES = ("entries", "mounts", "content")
+
 
 def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 256) -> StreamingQuery:
     """Expand new files batch by batch into Parquet tables below `out`.
 
     A batch goes to folders of its own number and overwrites them, so a batch that is
-    repeated after a failure leaves no rows twice.
+    repeated after a failure leaves no rows twice.  A file that has changed comes again in a
+    later batch; current() reads each file from its last one.
     """
     stream = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
@@ -22,7 +27,17 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, files_pe
 
     def one(batch: DataFrame, number: int) -> None:
         c = expand(named(batch, folder))
-        for name in ("entries", "mounts", "content"):
+        for name in TABLES:
             getattr(c, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str, files: DataFrame | None = None) -> Catalog:
+    """The catalog of what follow() has written: of every file the rows of its last batch."""
+    entries, mounts, content = (spark.read.parquet(f"{out}/{name}") for name in TABLES)
+    last = entries.where("fs_id = '.' and kind = 'file'").groupBy(F.col("name").alias("top")).agg(F.max("batch").alias("batch"))
+    top = lambda c: F.split_part(c, F.lit(text.MOUNT), F.lit(1))
+    kept = lambda df, c: df.withColumn("top", top(F.col(c))).join(last, ["top", "batch"], "left_semi").drop("top", "batch")
+    dirs = first_wins(entries.where("fs_id = '.' and kind <> 'file'"), ["path"], ["batch"]).drop("batch")
+    return Catalog(kept(entries, "path").unionByName(dirs), kept(mounts, "path"), kept(content, "fs_id"), files)

@@ -13,7 +13,7 @@ from nestquery.plans.expand import Catalog, _rows, expand, rescan
 from nestquery.sources import members as M
 from nestquery.sources.files import list_links, read_folder
 from nestquery.sources.rawfiles import RawFiles
-from nestquery.streaming.ingest import follow
+from nestquery.streaming.ingest import current, follow
 
 NESTED = "sub/archive.tgz◆/archive.tar◆/archive.zip◆"
 
@@ -166,6 +166,18 @@ def test_follow_stream(spark, tmp_path):
         q.awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out/mounts")).count() == n
         (src / "b.tar").write_bytes(gen_tar(0))
+    c = current(spark, str(tmp_path / "out"))
+    assert paths(c.mounts) == {"a.zip", "b.tar"} and "b.tar◆/a.txt" in paths(c.entries)
+
+
+def test_last_batch_counts(spark, tmp_path):
+    for n, data in ((0, gen_zip()), (1, gen_nested())):
+        c = expand(spark.createDataFrame([("d/x", len(data), n, data), *([("y", 3, 0, b"abc")] if n else [])], "name string, size long, mtime_ns long, content binary"))
+        for t in ("entries", "mounts", "content"):
+            getattr(c, t).write.parquet(f"{tmp_path}/{t}/batch={n}")
+    got = current(spark, str(tmp_path))
+    assert {r.format for r in got.mounts.where("path = 'd/x'").collect()} == {"gzip"} and not {"d/x◆/plain.txt"} & paths(got.entries)
+    assert got.entries.groupBy("path").count().where("count > 1").isEmpty() and {"d", "d/x", "y"} <= paths(got.entries)
 
 
 def test_limits(spark, folder):
