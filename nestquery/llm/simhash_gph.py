@@ -42,6 +42,8 @@ from .shingle_sets import BLOCK as BUCKET
 BITS = 64
 #: Rows of a bucket compared in one task; larger buckets are split.
 BLOCK = 4096
+#: Names of rows (40 bytes each) that are broadcast, so that texts stay where they are.
+BROADCAST_ROWS = 500_000
 #: Pairs compared at once.
 SLAB = 1 << 21
 #: Relative cost of a probe row moved through the shuffle and of a candidate pair verified.
@@ -288,13 +290,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     """(key, doc_id, h, n, component) for every shingle set of docs: its n rows are equal but for
     repeated words; doc_id and h (hash of the text) name the first of them.
 
-    Rounds keep a large group of copies cheap: first the links between fingerprints and every
-    node of a band's bucket against its least one are verified, then, in buckets that still
-    hold several components, a task compares nodes of different components alone.
+    Rounds keep a large group of copies cheap: first the links between fingerprints, and of
+    every node one pair with the least node that shares a band with it, are verified; then, in
+    buckets that still hold several components, a task compares nodes of different components.
     """
-    found = durable(_signatures(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
-    nodes = found.groupBy("key").agg(first.alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = _signatures(docs, shingle).groupBy("key").agg(first.alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     same = durable(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")))
     name = lambda c, to: same.select(F.col("fp").alias(c), F.col("low").alias(to))
@@ -304,19 +305,23 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     bands = nodes.select("node", F.explode("bands").alias("g"))
     least = bands.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
     buckets = durable(spread_join(bands, durable(least.select("g", "low", "n")), ["g"], "n"))
-    star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    star = buckets.groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).where("a <> b").select("a", "b")
     pairs = durable(star.unionByName(tight).unionByName(equal).distinct())
     used = buckets.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = used.join(nodes.select("node", "who"), "node").select("node", F.col("who.doc_id").alias("i"), F.col("who.h").alias("k"))
-    owned = _named(docs).join(used, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")))
-    sets = durable(sets_of(owned, shingle).dropDuplicates(["node"]))
+    used = durable(used.join(nodes.select("node", "who"), "node").select("node", F.col("who.doc_id").alias("i"), F.col("who.h").alias("k")))
+    some = used.count()
+    few = F.broadcast(used) if some <= BROADCAST_ROWS else used
+    owned = _named(docs).join(few, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")))
+    sets = durable(sets_of(owned, shingle))
+    if sets.count() > some:  # rows repeat id and text
+        sets = durable(sets.dropDuplicates(["node"]))
 
     near = durable(verified(pairs, sets, similarity))
     parts = connected_components(near).withColumnRenamed("node", "m")
     split = buckets.join(parts, F.col("node") == F.col("m"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
     open_ = split.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("g", "n", F.col("n").alias("rows"))
-    left = spread_join(durable(split), open_, ["g"], "rows")
-    near = durable(near.unionByName(linked(durable(left), sets, similarity, block)))
+    left = spread_join(split, durable(open_), ["g"], "rows")
+    near = durable(near.unionByName(linked(left, sets, similarity, block)))
     parts = connected_components(near).withColumnRenamed("node", "m")
     out = nodes.join(parts, F.col("node") == F.col("m"), "left")
     return out.select("key", "who.doc_id", "who.h", "n", F.coalesce("component", "node").alias("component"))
@@ -328,12 +333,17 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distanc
     row of its own component.  Rows that repeat id and text are one."""
     found = similar(docs, shingle, similarity, distance)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("w")
-    best = durable(found.groupBy("component").agg(first).select(F.col("w.doc_id").alias("\x01i"), F.col("w.h").alias("\x01h")))
+    best = found.groupBy("component").agg(first).select(F.col("w.doc_id").alias("\x01i"), F.col("w.h").alias("\x01h"))
     text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    own = durable(own.groupBy("i", "h").agg(F.count("*").alias("n")))
+    kept = own.join(best, F.col("i").eqNullSafe(F.col("\x01i")) & (F.col("h") == F.col("\x01h")), "left")
+    # Rows that go, and rows that repeat id and text, of which one stays.
+    odd = durable(kept.where("n > 1 or `\x01h` is null").select(F.col("i").alias("\x01i"), F.col("h").alias("\x01h"), F.col("\x01h").isNotNull().alias("\x01one")))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col("\x01i")) & (F.xxhash64(text) == F.col("\x01h"))
-    again = durable(docs.select(F.col("doc_id").cast("long").alias("\x01i"), F.xxhash64(text).alias("\x01h")).groupBy("\x01i", "\x01h").count().where("count > 1").drop("count"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    out = docs.join(few(odd.drop("\x01one")), mine, "left_anti")
+    again = durable(odd.where("`\x01one`").drop("\x01one"))
     if again.isEmpty():
-        return docs.join(best, mine, "left_semi")
-    # Rows that repeat id and text: one of them stays.
-    repeated = docs.join(again, mine, "left_semi").join(best, mine, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(again, mine, "left_anti").join(best, mine, "left_semi").unionByName(repeated)
+        return out
+    return out.unionByName(docs.join(few(again), mine, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from nestquery.llm import simhash_gph
@@ -41,7 +42,9 @@ def test_stage_equals_brute_force(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(label.tolist()))
 
 
-def test_ids_that_repeat(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_ids_that_repeat(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_gph, "BROADCAST_ROWS", most)
     a, b, c = "a b c d e f g", "something else entirely here", "alone in the world it is"
     rows = [(7, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b), (3, c)]
     kept = simhash_gph.keep_one(spark.createDataFrame(rows, DOC)).collect()
