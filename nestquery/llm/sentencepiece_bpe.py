@@ -9,6 +9,7 @@ simultaneous merges differ from one-by-one merges: such results are flagged when
 vocabulary is loaded, and only their leftmost occurrence is merged in a round.
 
 Null text counts as empty.  An empty text has the end id alone and decodes to ''.
+A model that the encoder would code wrongly (another normaliser, no byte pieces) is refused.
 Texts of any length are encoded whole; repeated rows are encoded each.  Columns other
 than the text pass through unchanged; those of the output's names are replaced.
 """
@@ -312,13 +313,29 @@ class PieceModel:
         return text
 
 
+#: Texts that show whether a model does what the encoder assumes: no normaliser, byte pieces for
+#: unknown characters, a space before the text, none removed.
+PROBES = ["", "a  b", " lead and trail ", "Ａ①ﬁ e\u0301 \u00a0x", "one\n\t two\r\n", "日本語 𐍈 \U0001f9ff \ue000", "▁▁x▁", "Hello, world! 12345 == <s> </s>"]
+
+
+def checked(model: PieceModel, sp) -> PieceModel:
+    """The model, if it codes the probes as the library does; else ValueError."""
+    for p in PROBES:
+        ids = sp.encode(p, add_eos=True)
+        if model.encode([p])[0].tolist() != ids or model.decode(ids) != sp.decode(ids):
+            raise ValueError(f"the model needs another encoder: it codes {p!r} differently")
+    return model
+
+
 @lru_cache(2)
 def load(path: str | None) -> PieceModel:
+    import sentencepiece
+
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    return PieceModel(path)
+    return checked(PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:

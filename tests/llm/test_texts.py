@@ -494,6 +494,17 @@ def test_decode_any_ids():
         assert model.decode(ids) == sp.decode(ids)
 
 
+def test_other_models_are_refused():
+    model = sentencepiece_bpe.load(None)
+
+    class Other:
+        def encode(self, p, add_eos):
+            return [1, 2]
+
+    with pytest.raises(ValueError):
+        sentencepiece_bpe.checked(model, Other())
+
+
 def test_token_query(spark):
     import public_tokenizers
 
