@@ -213,14 +213,15 @@ def get_facts(spark, sf_dir):
     """What a GET answers for members, folders and what isn't there."""
     c = _catalog(spark, sf_dir, _file(F.col("source")), [("vol-{}.zip", forms.zip_form)])
     t = verbs.tree(c).where("depth = 1 or kind = 'mount'").select("path")
-    return verbs.get_facts(c, t.unionByName(t.select(F.concat("path", F.lit("?")).alias("path")))).drop("content_type")
+    got = verbs.get_facts(c, t.unionByName(t.select(F.concat("path", F.lit("?")).alias("path")))).drop("content_type")
+    return got.withColumn("length", F.coalesce("length", F.lit(-1)))
 
 
 GET_FACTS_SQL = f"""WITH m AS (SELECT 'vol-' || {V} || '.zip' AS v, source, doc_id || '.txt' AS f, strlen(text) AS n FROM documents),
 t AS (SELECT v || '◆/' || source || '/' || f AS path, 200 AS status, NULL AS location, '"{forms.STAMP * 10**9:x}' || lower(to_hex(n)) || '"' AS etag, CAST(n AS BIGINT) AS length FROM m
- UNION ALL SELECT DISTINCT v || '◆/' || source, 303, '/' || v || '%E2%97%86/' || source || '/', NULL, NULL FROM m
- UNION ALL SELECT DISTINCT v || '◆', 303, '/' || v || '%E2%97%86/', NULL, NULL FROM m)
-SELECT * FROM t UNION ALL SELECT path || '?', 404, NULL, NULL, NULL FROM t"""
+ UNION ALL SELECT DISTINCT v || '◆/' || source, 303, '/' || v || '%E2%97%86/' || source || '/', NULL, -1 FROM m
+ UNION ALL SELECT DISTINCT v || '◆', 303, '/' || v || '%E2%97%86/', NULL, -1 FROM m)
+SELECT * FROM t UNION ALL SELECT path || '?', 404, NULL, NULL, -1 FROM t"""
 
 
 def walk_order(spark, sf_dir):
