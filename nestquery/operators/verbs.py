@@ -20,6 +20,7 @@ from nestquery.plans.durable import durable
 from nestquery.plans.expand import Catalog
 from nestquery.sources.codecs import DecodeError, materialise, slice_of
 from nestquery.sources.members import sidecar_facts
+from nestquery.sources.stuffit import use_tables
 
 SEARCH_LIMIT, PAGE = 2000, 100
 MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 32_768, 1024, 16 << 20, 50_000
@@ -158,6 +159,8 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
         else:
             e = e.join(w, "path")
 
+    tables = c.stuffit_tables
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -165,6 +168,7 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
                 names=["path", "size", "content", "error"],
             )
 
+        use_tables(tables)
         for b in batches:
             for i in range(b.num_rows):  # an archive and some of its members
                 source, out, held = b.column(0)[i].as_py() or b"", [], 0
@@ -223,7 +227,7 @@ def with_sizes(c: Catalog, learned: DataFrame) -> Catalog:
     """The catalog with learned sizes filled in where none was known; others are kept."""
     found = learned.where("error is null").groupBy(F.col("path").alias("p")).agg(F.min("size").alias("s"))
     e = c.entries.join(found, F.col("path") == F.col("p"), "left").withColumn("size", F.when(F.col("kind") == "file", F.coalesce("size", "s")).otherwise(F.col("size")))
-    return Catalog(e.select(*c.entries.columns), c.mounts, c.content, c.files)
+    return Catalog(e.select(*c.entries.columns), c.mounts, c.content, c.files, c.stuffit_tables)
 
 
 def get_facts(c: Catalog, paths: DataFrame) -> DataFrame:

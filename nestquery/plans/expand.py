@@ -23,6 +23,7 @@ from nestquery.schema import ENTRY, FOUND
 from nestquery.sources import members as M
 from nestquery.sources.codecs import DecodeError, materialise, peek
 from nestquery.sources.files import PARTIAL
+from nestquery.sources.stuffit import use_tables
 
 #: Rows of an Arrow batch that a parser task gives back at once, and bytes of content.
 BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
@@ -39,6 +40,7 @@ class Catalog:
     mounts: DataFrame
     content: DataFrame
     files: DataFrame | None = None
+    stuffit_tables: str | None = None  # a file of tables, for the executors to read
 
     def save(self, path: str) -> None:
         for name in ("entries", "mounts", "content"):
@@ -103,10 +105,11 @@ def _rows(fs_id: str, found: list[M.Member], data: bytes, depth: int, max_bytes:
     yield from taken.values()
 
 
-def _expand(frontier: DataFrame, depth: int, max_bytes: int) -> DataFrame:
+def _expand(frontier: DataFrame, depth: int, max_bytes: int, tables: str | None) -> DataFrame:
     schema = to_arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_tables(tables)
         out: list[dict] = []
         size = 0
         for batch in batches:
@@ -157,11 +160,12 @@ def _root(files: DataFrame, links: DataFrame | None) -> DataFrame:
     return out.unionByName(implied.select(*[other[f.name].cast(f.dataType).alias(f.name) for f in FOUND.fields]))
 
 
-def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16, max_bytes: int = 1 << 30) -> Catalog:
+def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16, max_bytes: int = 1 << 30, stuffit_tables: str | None = None) -> Catalog:
     """The catalog of files (name, size, mtime_ns, content) and all archives in them.
 
     max_depth ends recursion and max_bytes the materialising of one member; what they hold
     back stays listed, as a mount in state `recognised`, and open_error tells of max_bytes.
+    stuffit_tables names a file that executors can read (see sources/stuffit.py).
     Files without content (too large for the source) are listed and not probed.
     """
     spark = files.sparkSession
@@ -177,7 +181,7 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
             break
         frontier = (level if depth else root).where(ready)
         frontier = frontier.withColumn("child", F.concat("path", F.lit(text.MOUNT)))
-        level = _expand(_spread(frontier) if depth else frontier, depth + 1, max_bytes)
+        level = _expand(_spread(frontier) if depth else frontier, depth + 1, max_bytes, stuffit_tables)
     found = levels[0]
     for x in levels[1:]:
         found = found.unionByName(x)
@@ -189,7 +193,7 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
     state = F.when(held, "recognised").when(F.col("__e").isNotNull(), "failed").otherwise("opened")
     mounts = mounts.join(errors, "child_fs_id", "left").select("fs_id", "name", "path", state.alias("state"), "format", "child_fs_id", "size", F.coalesce("open_error", "__e").alias("open_error"))
     content = found.where("content is not null").select(F.concat("path", F.lit(text.MOUNT)).alias("fs_id"), "content")
-    return Catalog(entries, mounts, content, files)
+    return Catalog(entries, mounts, content, files, stuffit_tables)
 
 
 def _spread(frontier: DataFrame) -> DataFrame:
@@ -214,6 +218,7 @@ def rescan(files: DataFrame, known: Catalog, **params) -> Catalog:
         fresh.mounts.unionByName(keep(known.mounts, "path")),
         fresh.content.unionByName(keep(known.content, "fs_id")),
         files,
+        fresh.stuffit_tables,
     )
 
 

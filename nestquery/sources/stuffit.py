@@ -1,13 +1,37 @@
 """Decoders of StuffIt methods 13 (LZSS with Huffman codes) and 15 (arithmetic-coded
-block sorting), from their published descriptions."""
+block sorting), from their published descriptions.
+
+Two tables of the format are parameters, as they hold thousands of values: the five code sets
+that method 13 has built in, and the gaps by which method 15 randomises blocks.  use_tables()
+reads them from a JSON file {"codes": {"1": {"first": [321 lengths], "second": [321 lengths],
+"offsets": [lengths]}, ...}, "gaps": [256 numbers]}; without it forks that need them say so.
+"""
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 
 class StuffItError(ValueError):
     pass
 
 
+@lru_cache(4)
+def _read_tables(path: str) -> dict:
+    with open(path) as f:
+        return json.load(f)
+
+
+_tables: dict = {}
+
+
+def use_tables(path: str | None) -> None:
+    """Decode with the tables of a file, or with none."""
+    global _tables
+    _tables = _read_tables(path) if path else {}
+
+
 class _Bits:
     """Bits of a byte string, low bits first."""
 
@@ -97,16 +121,20 @@ def _spelled(bits: _Bits, meta: _Code, count: int) -> _Code:
 
 
 def method13(data: bytes, size: int) -> bytes:
-    """Only streams that spell their own codes: those that name one of the format's five
-    built-in sets, tables of several thousand fixed values, raise StuffItError."""
+    """Streams that spell their own codes, and those that name one of the format's five
+    built-in sets, if use_tables() has them."""
     bits = _Bits(data)
     kind = bits.take(8)
     if kind >> 4:
-        raise StuffItError(f"built-in code set {kind >> 4}")
-    meta = _Code({(n, c): i for i, (n, c) in enumerate(zip(META_LENGTHS, META_CODES))})
-    first = _spelled(bits, meta, 321)
-    second = first if kind & 8 else _spelled(bits, meta, 321)
-    offsets = _spelled(bits, meta, (kind & 7) + 10)
+        own = _tables.get("codes", {}).get(str(kind >> 4))
+        if own is None:
+            raise StuffItError(f"no table of built-in code set {kind >> 4}")
+        first, second, offsets = (_Code.from_lengths(own[k]) for k in ("first", "second", "offsets"))
+    else:
+        meta = _Code({(n, c): i for i, (n, c) in enumerate(zip(META_LENGTHS, META_CODES))})
+        first = _spelled(bits, meta, 321)
+        second = first if kind & 8 else _spelled(bits, meta, 321)
+        offsets = _spelled(bits, meta, (kind & 7) + 10)
     out, code = bytearray(), first
     while len(out) < size:
         symbol = code.read(bits)
@@ -184,8 +212,9 @@ class _Arithmetic:
 
 
 def method15(data: bytes, size: int) -> bytes:
-    """Blocks that are randomised, which encoders do for repetitive input only, need a table
-    of 256 fixed values and raise StuffItError."""
+    """Blocks that are randomised, which encoders do for repetitive input only, need the gaps of
+    use_tables(): the lowest bit is turned of the byte after each gap, the gaps starting anew
+    with each block."""
     import numpy as np
 
     a = _Arithmetic(data)
@@ -198,8 +227,9 @@ def method15(data: bytes, size: int) -> bytes:
     ended, out = a.read(one), bytearray()
     last, run, left = -1, 0, False
     while not ended and len(out) < size:
-        if a.read(one):
-            raise StuffItError("randomised block")
+        turned = a.read(one)
+        if turned and not _tables.get("gaps"):
+            raise StuffItError("no table for a randomised block")
         start, order, block = a.number(one, bits), list(range(256)), bytearray()
         while True:
             c = a.read(choose)
@@ -232,6 +262,13 @@ def method15(data: bytes, size: int) -> bytes:
         for _ in range(len(block)):
             start = follow[start]
             raw.append(block[start])
+        if turned:
+            gaps = _tables["gaps"]
+            at, k = gaps[0], 0
+            while at < len(raw):
+                raw[at] ^= 1
+                k = (k + 1) % len(gaps)
+                at += max(gaps[k], 1)
         # After four equal bytes comes a count of more of them; runs may cross blocks.
         for b in raw:
             if left:

@@ -1,10 +1,11 @@
 """StuffIt decoders against small encoders."""
 
+import json
 import random
 
 import pytest
 
-from nestquery.sources.stuffit import META_CODES, META_LENGTHS, StuffItError, _Model, method13, method15
+from nestquery.sources.stuffit import META_CODES, META_LENGTHS, StuffItError, _Model, method13, method15, use_tables
 
 
 class Writer:
@@ -32,7 +33,7 @@ class Writer:
         return (self.low + self.range // 2 << -n % 8).to_bytes(-(-n // 8), "big")
 
 
-def arsenic(data, bits=9):
+def arsenic(data, bits=9, gaps=None):
     w, one, choose = Writer(), _Model(0, 1, 1, 256), _Model(0, 10, 8, 1024)
     ranks = [_Model(1 << k, (2 << k) - 1, step, 1024) for k, step in zip(range(1, 8), (8, 4, 4, 4, 2, 2, 1))]
     packed, i = bytearray(), 0
@@ -48,9 +49,16 @@ def arsenic(data, bits=9):
     blocks = [bytes(packed[k : k + (1 << bits)]) for k in range(0, len(packed), 1 << bits)]
     w.put(one, 0 if blocks else 1)
     for k, b in enumerate(blocks):
+        if gaps:
+            b, at, g = bytearray(b), gaps[0], 0
+            while at < len(b):
+                b[at] ^= 1
+                g = (g + 1) % len(gaps)
+                at += gaps[g]
+        b = bytes(b)
         turns = sorted(range(len(b)), key=lambda r: b[r:] + b[:r])
         last = [b[r - 1] for r in turns]
-        w.put(one, 0)
+        w.put(one, int(bool(gaps)))
         w.number(one, turns.index(0), bits)
         order, zeros = list(range(256)), 0
         for c in [*last, None]:
@@ -133,3 +141,24 @@ def test_method13():
     assert method13(raw, len(want)) == want
     with pytest.raises(StuffItError):
         method13(b"\x10" + raw[1:], 10)
+
+
+def test_tables_are_parameters(tmp_path):
+    gaps = [random.Random(7).randrange(3, 40) for _ in range(256)]
+    flat = {"first": [9] * 321, "second": [9] * 321, "offsets": [4] * 11}
+    (tmp_path / "t.json").write_text(json.dumps({"codes": {"2": flat}, "gaps": gaps}))
+    data = bytes(random.Random(1).choice(b"abcd") for _ in range(3000))
+    bits = [int(b) for b in format(0x20, "08b")[::-1]] + [int(b) for c in (97, 98, 97, 0x140) for b in format(c, "09b")]
+    raw = bytes(sum(b << i for i, b in enumerate(bits[k : k + 8])) for k in range(0, len(bits), 8))
+    try:
+        use_tables(str(tmp_path / "t.json"))
+        assert method15(arsenic(data, gaps=gaps), len(data)) == data
+        assert method13(raw, 3) == b"aba"
+        with pytest.raises(StuffItError):
+            method13(b"\x30" + raw[1:], 3)
+    finally:
+        use_tables(None)
+    with pytest.raises(StuffItError):
+        method13(raw, 3)
+    with pytest.raises(StuffItError):
+        method15(arsenic(data, gaps=gaps), len(data))
