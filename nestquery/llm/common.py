@@ -93,6 +93,11 @@ def shares(table: DataFrame, count: str) -> tuple[int, int]:
     return tuple(x or 0 for x in table.agg(F.sum(count), F.max(count)).first())
 
 
+def fair_share(spark: SparkSession, rows: int) -> int:
+    """Rows that a task of a shuffle should get, of so many."""
+    return max(64, rows // int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, size: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of rows with a table of one row per key, `count` of rows each (dropped).
 
@@ -103,7 +108,7 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     shares(table), for a caller that knows it.
     """
     total, most = shares(table, count) if size is None else size
-    fair = max(64, total // int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fair = fair_share(table.sparkSession, total)
     if most <= 2 * fair:
         return rows.join(table.drop(count), keys)
     salts = F.when(F.col(count) > 2 * fair, F.ceil(F.col(count) / fair)).otherwise(1).cast("int").alias("\x01salts")
@@ -161,16 +166,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = durable(e)
     seen = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
+        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = e.unionByName(back)
+        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        now = degrees.agg(F.sum("n"), F.max("n"), F.sum("s")).first()
+        if now == seen or not now[0]:
             break
         seen = now
-        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        low = durable(e.unionByName(back).groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
-        large = durable(spread_join(back, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        # Joins of hubs need their tables twice; without a hub, or after one, plans stay plain.
+        hub = now[1] > 2 * fair_share(e.sparkSession, now[0])
+        held = durable if hub else lambda x: x
+        spread = spread_join if hub else lambda rows, table, keys, count: rows.join(table.drop(count), keys)
+        low = held(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = held(spread(back, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (
-            spread_join(large, low, ["u"], "n")
+            spread(large, low, ["u"], "n")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

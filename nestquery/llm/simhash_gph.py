@@ -304,7 +304,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
 
     bands = nodes.select("node", F.explode("bands").alias("g"))
     least = bands.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
-    buckets = durable(spread_join(bands, durable(least.select("g", "low", "n")), ["g"], "n"))
+    buckets = durable(spread_join(bands, least.select("g", "low", "n"), ["g"], "n"))
     star = buckets.groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).where("a <> b").select("a", "b")
     pairs = durable(star.unionByName(tight).unionByName(equal).distinct())
     used = buckets.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -320,7 +320,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     parts = connected_components(near).withColumnRenamed("node", "m")
     split = buckets.join(parts, F.col("node") == F.col("m"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
     open_ = split.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("g", "n", F.col("n").alias("rows"))
-    left = spread_join(split, durable(open_), ["g"], "rows")
+    left = spread_join(split, open_, ["g"], "rows")
     near = durable(near.unionByName(linked(left, sets, similarity, block)))
     parts = connected_components(near).withColumnRenamed("node", "m")
     out = nodes.join(parts, F.col("node") == F.col("m"), "left")
