@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Edges of a graph that one task may hold.
+LOCAL_EDGES = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -149,14 +155,30 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[moved], nodes[label[moved]]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """connected_components() of few edges (u, v) of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = smallest_labels(inverse[: len(a)], inverse[len(a) :], len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, native: bool = False) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b).
 
     component is the smallest node reachable.  Large-star and small-star rounds: every
     round is a minimum per node (partially aggregated before its shuffle) joined back to
     the edges by spread_join, so a hub with any number of links is never gathered in one
     task.  Rounds grow with the logarithm of the longest path; each ends in a reliable
-    checkpoint.
+    checkpoint.  A graph of at most LOCAL_EDGES edges (16 MB of longs) is finished in one
+    task, unless only native operations are asked for.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -165,6 +187,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     e = durable(e)
     seen = None
+    if not native and e.count() <= LOCAL_EDGES:
+        return durable(_in_one_task(e))
     while True:
         back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
         both = e.unionByName(back)

@@ -40,6 +40,8 @@ SAMPLE, SUBSPACES, CODES, BLOCK = 16_384, 8, 64, 2048
 SAMPLE_BYTES = 64 << 20
 #: Vectors that a list should hold on average; the number of lists has a bound for the driver.
 LIST_ROWS, MOST_LISTS = 4096, 1024
+#: Lists of more than a block (some 50 bytes each) whose sizes are broadcast.
+BROADCAST_LISTS = 100_000
 EPS = 1e-9
 
 
@@ -161,7 +163,8 @@ def near_duplicates(
     lists = routed.groupBy("label", "dim", "list").agg(
         F.sum((~F.col("probe")).cast("long")).alias("stored"), F.sum(F.col("probe").cast("long")).alias("asking"), F.count("*").alias("rows")
     ).where((F.col("stored") > block) | (F.col("asking") > block))
-    routed = routed.join(F.broadcast(lists), ["label", "dim", "list"], "left")
+    lists = durable(lists)
+    routed = routed.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, ["label", "dim", "list"], "left")
     parts_of = lambda n: F.greatest(F.coalesce(F.ceil(F.col(n) / block), F.lit(1)), F.lit(1)).cast("int")
     routed = routed.withColumn("blocks", parts_of("stored")).withColumn("chunks", parts_of("asking"))
     # Stored rows of block c meet blocks >= c (z = 0) and every chunk of probes (z); a chunk of

@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     nodes = durable(ends.select("alias").distinct().withColumn("id", F.monotonically_increasing_id()))
     number = lambda df, c: df.join(nodes.select(F.col("alias").alias(c), F.col("id").alias(f"{c}_id")), c)
     edges = pairs.select("alias", "t_alias").where("alias <> t_alias").distinct()
-    parts = connected_components(number(number(edges, "alias"), "t_alias").select(F.col("alias_id").alias("a"), F.col("t_alias_id").alias("b")))
+    parts = connected_components(number(number(edges, "alias"), "t_alias").select(F.col("alias_id").alias("a"), F.col("t_alias_id").alias("b")), native=True)
     acted = number(ends.join(ruled, ["host", "path"]), "alias").select(F.col("alias_id").alias("node"), "action").distinct()
     decided = acted.join(parts, "node").groupBy("component").agg(
         F.max((F.col("action") == "block").cast("int")).alias("b"), F.max((F.col("action") == "allow").cast("int")).alias("a")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nestquery.llm import pq_dedup, simhash_gph
+from nestquery.llm import common, pq_dedup, simhash_gph
 from nestquery.llm.common import connected_components, smallest_labels, spanning_edges
 
 VEC = "vec_id long, embedding array<float>, label int, kept string"
@@ -149,13 +149,24 @@ def test_simhash_empty_and_nulls(spark):
     assert got == sorted([(7, 7), (7, 7), (7, 7), (None, 7), (None, None)], key=repr)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_components_of_chains_and_stars(spark, native):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     df = spark.createDataFrame(edges, "a long, b long").withColumn("r", F.rand(1)).orderBy("r").select("a", "b")
-    got = {r.node: r.component for r in connected_components(df).collect()}
+    got = {r.node: r.component for r in connected_components(df, native).collect()}
+    assert connected_components(df.limit(0), native).count() == 0
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}}
 
 
+def test_operators_by_rounds(spark, monkeypatch):
+    """Beyond the edges of one task: the same components, copies and links."""
+    monkeypatch.setattr(common, "LOCAL_EDGES", 0)
+    rows = documents()
+    got = {r.doc_id: r.component_id for r in simhash_gph.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    fp = np.array([fingerprint(r[1]) for r in rows], np.uint64)
+    assert got == components([r[0] for r in rows], np.bitwise_count(fp[:, None] ^ fp[None]) <= 4)
+
+
 def test_spanning_edges():
     a, b = spanning_edges(np.array([5, 9, 7, 5]), np.array([9, 7, 5, 9]))
     assert len(a) == 2 and set(b.tolist()) == {5}
