@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestquery.operators import forms, kernels, pack, verbs
-from nestquery.plans.durable import work_folder
+from nestquery.plans.durable import work_folder, write_archives
 from nestquery.plans.expand import Catalog, expand, rescan
 from nestquery.sources.files import list_links, read_folder
 from nestquery.streaming.ingest import follow
@@ -36,7 +36,7 @@ def _volume() -> Column:
 def _catalog(spark: SparkSession, sf_dir: str, member: Column, built: list, **params) -> Catalog:
     files = pack.pack_forms(_docs(spark, sf_dir), _volume(), member, F.col("text"), built)
     path = work_folder(spark)
-    files.write.parquet(path)
+    write_archives(files, path)
     return expand(spark.read.parquet(path), **params)
 
 

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from nestquery.functions import text
 from nestquery.functions.glob import glob_to_regex
 from nestquery.operators.kernels import resolve_paths
-from nestquery.plans.durable import durable
+from nestquery.plans.durable import ARCHIVE_BYTES, bounded_batches, durable
 from nestquery.plans.expand import Catalog
 from nestquery.sources.codecs import DecodeError, materialise, slice_of
 from nestquery.sources.members import sidecar_facts
 from nestquery.sources.stuffit import use_tables
 
 SEARCH_LIMIT, PAGE = 2000, 100
-MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 32_768, 1024, 16 << 20, 50_000
+MEMBERS, READ_ROWS, READ_BYTES, BROADCAST_MEMBERS = 32_768, 1024, ARCHIVE_BYTES, 50_000
 PROPS = ["resourcetype", "displayname", "getcontentlength", "getlastmodified", "getcontenttype", "getetag"]
 FILE_PROPS = {"getcontentlength", "getcontenttype", "getetag"}
 
@@ -146,6 +146,7 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
     for that many members, however large it is.  Files of the root need `files`, the source that was expanded.  What can't
     be decoded has a null content and an error.
     """
+    bounded_batches(c.entries.sparkSession)
     e = c.entries.where("kind = 'file'").select("fs_id", "name", "path", "ord", "size", "recipe")
     null = F.lit(None).cast("long")
     if wanted is None:
@@ -195,8 +196,13 @@ def read(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
     archives = c.content
     if c.files is not None:
         archives = archives.unionByName(c.files.select(F.concat("name", F.lit(text.MOUNT)).alias("fs_id"), "content"))
-    if wanted is not None and e.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
-        inner = F.broadcast(inner)
+    if wanted is not None:
+        if e.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+            inner = F.broadcast(inner)
+        else:  # archives of which nothing is wanted don't move
+            asked = e.select("fs_id").distinct()
+            if asked.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+                archives = archives.join(F.broadcast(asked), "fs_id", "left_semi")
     inner = archives.withColumnRenamed("content", "archive").join(inner, "fs_id")
     out = inner.select("archive", "members").mapInArrow(run, "path string, size long, content binary, error string")
     if c.files is not None:

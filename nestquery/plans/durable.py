@@ -1,4 +1,4 @@
-"""Cuts of lineage in the folder that driver and executors share."""
+"""Cuts of lineage in the folder that driver and executors share, and bounds of batches."""
 
 from __future__ import annotations
 
@@ -23,6 +23,30 @@ def work_folder(spark: SparkSession, kind: str = "expand") -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Bytes of archives that Spark hands to a Python worker at once; an archive is never cut.
+BATCH_SETTING, ARCHIVE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARCHIVE_BYTES, unless it has a bound of its own.
+
+    A batch is in an executor several times over, as vectors that grow by doubling and as the
+    stream to the worker.  Frames read the setting when they run, so it stays set.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(ARCHIVE_BYTES))
+
+
+def write_archives(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] = ()) -> None:
+    """Write rows that can hold archives as Parquet, in pages and row groups that are closed by
+    their bytes: Parquet looks at them after 100 rows first, which may be any size, and a reader
+    has a page or a group's rows in memory at once."""
+    out = df.write.mode(mode).partitionBy(*by).option("compression", "zstd").option("parquet.block.size", ARCHIVE_BYTES)
+    for unit in ("page", "block"):
+        out = out.option(f"parquet.{unit}.size.row.check.min", 1).option(f"parquet.{unit}.size.row.check.max", 1000)
+    out.parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint."""
     sc = df.sparkSession.sparkContext

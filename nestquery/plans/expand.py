@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nestquery.functions import text
-from nestquery.plans.durable import work_folder
+from nestquery.plans.durable import ARCHIVE_BYTES, bounded_batches, work_folder, write_archives
 from nestquery.schema import ENTRY, FOUND
 from nestquery.sources import members as M
 from nestquery.sources.codecs import DecodeError, materialise, peek
@@ -26,7 +26,7 @@ from nestquery.sources.files import PARTIAL
 from nestquery.sources.stuffit import use_tables
 
 #: Rows of an Arrow batch that a parser task gives back at once, and bytes of content.
-BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, ARCHIVE_BYTES
 
 
 @dataclass
@@ -44,7 +44,7 @@ class Catalog:
 
     def save(self, path: str) -> None:
         for name in ("entries", "mounts", "content"):
-            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+            write_archives(getattr(self, name), f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, files: DataFrame | None = None) -> Catalog:
@@ -169,11 +169,12 @@ def expand(files: DataFrame, links: DataFrame | None = None, max_depth: int = 16
     Files without content (too large for the source) are listed and not probed.
     """
     spark = files.sparkSession
+    bounded_batches(spark)
     folder = work_folder(spark)
     levels: list[DataFrame] = []
     root = level = _root(files, links)
     for depth in range(max_depth + 1):
-        (level if depth else level.withColumn("content", F.lit(None).cast("binary"))).write.parquet(f"{folder}/{depth}")
+        write_archives(level if depth else level.withColumn("content", F.lit(None).cast("binary")), f"{folder}/{depth}")
         level = spark.read.schema(FOUND).parquet(f"{folder}/{depth}")
         levels.append(level)
         ready = "format is not null" + (" and content is not null" if depth else "")

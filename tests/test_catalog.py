@@ -3,12 +3,16 @@
 import bz2
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from fixtures import gen_apm, gen_hfs, gen_nested, gen_rsrc, gen_sit, gen_tar, gen_zip
 from pyspark.sql import functions as F
 
 from nestquery.functions import text
 from nestquery.operators import verbs
+from nestquery.operators.forms import zip_form
+from nestquery.operators.verbs import read
+from nestquery.plans.durable import ARCHIVE_BYTES, BATCH_SETTING
 from nestquery.plans.expand import Catalog, _rows, expand, rescan
 from nestquery.sources import members as M
 from nestquery.sources.files import list_links, read_folder
@@ -180,6 +184,28 @@ def test_last_batch_counts(spark, tmp_path):
     assert got.entries.groupBy("path").count().where("count > 1").isEmpty() and {"d", "d/x", "y"} <= paths(got.entries)
 
 
+def test_archives_move_in_bounded_batches(spark, tmp_path):
+    """Neither a batch for a Python worker nor a row group to be read back holds many archives."""
+    data = [os.urandom(1 << 20) for _ in range(40)]
+    zips = [zip_form([("in.zip", zip_form([("x", d)], 0))], 0) for d in data]
+    c = expand(spark.createDataFrame([(f"{i}.zip", len(z), 0, z) for i, z in enumerate(zips)], "name string, size long, mtime_ns long, content binary").coalesce(1))
+    assert int(spark.conf.get(BATCH_SETTING).rstrip("b")) <= ARCHIVE_BYTES
+    c.save(f"{tmp_path}/c")
+    groups = [m.row_group(i).total_byte_size for p in (tmp_path / "c/content").glob("*.parquet") for m in [pq.ParquetFile(p).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) > 40 << 20 and max(groups) < 2 * ARCHIVE_BYTES
+    got = read(c).where("path like '%/x'").select("content").collect()
+    assert {bytes(r.content) for r in got} == set(data)
+
+
+def test_archives_without_wanted_members_stay(spark, cat, monkeypatch):
+    wanted = cat.entries.where("kind = 'file' and path like '%.zip◆%'").select("path")
+    want = sorted(map(repr, read(cat, wanted).collect()))
+    monkeypatch.setattr(verbs, "BROADCAST_MEMBERS", wanted.count() - 1)
+    got = read(cat, wanted)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, got.collect())) == want
+
+
 def test_limits(spark, folder):
     c = expand(read_folder(spark, str(folder), "*.tgz"), max_depth=1)
     assert c.mounts.where("state = 'recognised'").count() == 1
