@@ -335,9 +335,10 @@ UNION ALL SELECT 'vol-0.zip', 1000000000000000007"""
 def followed(spark, sf_dir):
     """A folder that grows, expanded batch by batch by a stream that is started twice."""
     folder = work_folder(spark, "stream")
-    files = pack.pack_forms(_docs(spark, sf_dir), _volume(), _file(), F.col("text"), [("vol-{}.zip", forms.zip_form), ("vol-{}.tar", _flat_tar)])
-    for part in ("name like '%.zip'", "name like '%.tar'"):
-        pack.write_files(files.where(part), f"{folder}/in")
+    built = [("vol-{}.zip", forms.zip_form), ("vol-{}.tar", _flat_tar)]
+    for part in range(len(built)):  # volumes are packed in the forms by turns
+        files = pack.pack_forms(_docs(spark, sf_dir).where(F.pmod(_volume(), F.lit(len(built))) == part), _volume(), _file(), F.col("text"), built)
+        pack.write_files(files, f"{folder}/in")
         follow(spark, f"{folder}/in", f"{folder}/out", f"{folder}/offsets", 16).awaitTermination()
     return spark.read.parquet(f"{folder}/out/entries").where("depth = 1").select("path", "size")
 

@@ -7,6 +7,7 @@ import gzip
 import io
 import lzma
 import os
+import re
 import tarfile
 import zipfile
 from collections.abc import Callable
@@ -88,6 +89,7 @@ def pack_forms(rows: DataFrame, volume: Column, member: Column, content: Column,
 def write_files(files: DataFrame, folder: str) -> int:
     """Write (name, content) as files below a folder that executors and driver have mounted;
     the number of files.  A file appears whole, so a task that is repeated does no harm."""
+    folder = re.sub("^file:/*", "/", folder)
 
     def run(batches):
         for b in batches:

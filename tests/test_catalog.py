@@ -174,6 +174,31 @@ def test_follow_stream(spark, tmp_path):
     assert paths(c.mounts) == {"a.zip", "b.tar"} and "b.tar◆/a.txt" in paths(c.entries)
 
 
+def test_a_trigger_takes_many_batches(spark, tmp_path):
+    """Batches keep to their files, are expanded together, and a repeated trigger leaves no rows twice."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    (src / "d").mkdir(parents=True)
+    for i in range(5):
+        (src / f"d/{i}.zip").write_bytes(zip_form([("x", b"text"), *([("in.zip", zip_form([("y", b"more")]))] if i == 3 else [])]))
+    follow(spark, str(src), out, str(tmp_path / "chk"), 2).awaitTermination()
+    commits = [p for p in (tmp_path / "chk/commits").iterdir() if p.name.isdigit()]
+    assert len(commits) == 1
+
+    def rows():
+        return {t: sorted(map(repr, spark.read.parquet(f"{out}/{t}").collect())) for t in ("entries", "mounts", "content")}
+
+    before = rows()
+    files = spark.read.parquet(f"{out}/entries").where("depth = 0 and kind = 'file'")
+    assert sorted((r.batch, r["count"]) for r in files.groupBy("batch").count().collect()) == [(0, 2), (1, 2), (2, 1)]
+    assert [r.batch for r in spark.read.parquet(f"{out}/content").collect()] == [1]
+    for p in (tmp_path / "chk/commits").iterdir():
+        p.unlink()
+    follow(spark, str(src), out, str(tmp_path / "chk"), 2).awaitTermination()
+    assert rows() == before
+    c = current(spark, out)
+    assert {"d", "d/0.zip◆/x", "d/3.zip◆/in.zip◆/y"} <= paths(c.entries) and c.mounts.count() == 6
+
+
 def test_last_batch_counts(spark, tmp_path):
     for n, data in ((0, gen_zip()), (1, gen_nested())):
         c = expand(spark.createDataFrame([("d/x", len(data), n, data), *([("y", 3, 0, b"abc")] if n else [])], "name string, size long, mtime_ns long, content binary"))
