@@ -7,14 +7,21 @@ and zone passes from zone to zone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType, StringType
 
 from nestquery.plans.durable import durable
 
 #: Rows of a key that one task may order.
 HOT_ROWS = 1_000_000
+#: Links of an Arrow batch that a task gives back at once; ends that are broadcast.
+LINK_ROWS, BROADCAST_LINKS = 65_536, 50_000
 
 
 def _zone_count(df: DataFrame) -> int:
@@ -203,25 +210,93 @@ def path_closure(nodes: DataFrame, node: str, above: str, name: str) -> DataFram
     return t.where("up is null").select(F.col("n").alias(node), "path")
 
 
-def resolve_links(links: DataFrame, source: str, target: str) -> DataFrame:
-    """(source, target, resolved): chains of any length followed to their end, by pointer
-    doubling; null for what leads into a circle, which no number of steps gets out of.
-
-    Of rows with one source the least target counts for those that lead there.
-    """
-    start = durable(links.select(F.col(source).alias("s"), F.col(target).alias("t")))
-    step = durable(start.groupBy("s").agg(F.min("t").alias("at")).where("s is not null"))
+def _shortened(step: DataFrame, rows: int) -> DataFrame:
+    """(s, t, at) of links (s, at), each s once: t the target, at where the links that lie beside
+    it in a task, up to some `rows` at once, lead; s itself for what leads into a circle of them."""
+    kind = step.schema["s"].dataType.simpleString()
+
+    def short(held: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(held).combine_chunks()
+        s, t = (table.column(c).combine_chunks() for c in ("s", "at"))
+        after = pc.fill_null(pc.index_in(t, value_set=s), -1).to_numpy(zero_copy_only=False)
+        own = np.arange(len(after), dtype=after.dtype)
+        to = np.where(after < 0, own, after)
+        for _ in range(len(after).bit_length()):  # 2^k steps after k rounds
+            to, last = to[to], to
+            if np.array_equal(to, last):
+                break
+        circle = pa.array(after[to] >= 0)
+        return pa.table({"s": s, "t": t, "at": pc.if_else(circle, s, t.take(pa.array(to)))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from short(held).to_batches(max_chunksize=LINK_ROWS)
+                held, n = [], 0
+        if n:
+            yield from short(held).to_batches(max_chunksize=LINK_ROWS)
+
+    return step.select("s", "at").mapInArrow(run, f"s {kind}, t {kind}, at {kind}")
+
+
+def _doubled(step: DataFrame) -> DataFrame:
+    """(s, at): where links (s, at), each s once, end, by pointer doubling; s itself for what
+    leads into a circle, which no number of steps gets out of."""
     steps, most = 1, step.count()
+    parts = int(step.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = step.join(step.select(F.col("s").alias("x")), F.col("at") == F.col("x"), "left").select("s", "at", F.col("x").isNotNull().alias("open"))
     ends = durable(ends)
     while steps <= most and not ends.where("open").isEmpty():
         steps *= 2
         on = ends.select(F.col("s").alias("x"), F.col("at").alias("at2"), F.col("open").alias("open2"))
         moved = ends.where("open").join(on, F.col("at") == F.col("x")).select("s", F.col("at2").alias("at"), F.col("open2").alias("open"))
-        ends = durable(ends.where("not open").unionByName(moved))
-    on = ends.select(F.col("s").alias("x"), F.col("at").alias("end"), "open")
+        # A union has the parts of both sides, and would have more each round.
+        ends = durable(ends.where("not open").unionByName(moved).coalesce(parts))
+    return ends.select("s", F.when(F.col("open"), F.col("s")).otherwise(F.col("at")).alias("at"))
+
+
+def _link_ends(step: DataFrame, rows: int) -> DataFrame:
+    """(s, t, at): where links (s, t), each s once, end; s itself for what leads into a circle.
+
+    Ranges of sources are shortened each by itself; what is left to resolve are the links that
+    one leads to from another, often far fewer.  If they aren't, they are doubled.
+    """
+    n = step.count()
+    if n <= rows:
+        return durable(_shortened(step.repartition(1), rows))
+    near = durable(_shortened(step.repartitionByRange("s"), rows))
+    heads = near.where("not (at <=> s)").select(F.col("at").alias("head")).distinct()
+    left = durable(near.join(heads, F.col("s") == F.col("head"), "left_semi").select("s", "at"))
+    m = left.count()
+    far = _link_ends(left, rows) if 2 * m <= n or m <= rows else _doubled(left)
+    far = far.select(F.col("s").alias("x"), F.col("at").alias("end"))
+    out = near.join(F.broadcast(far) if m <= BROADCAST_LINKS else far, F.col("at") == F.col("x"), "left")
+    circle = F.col("at").eqNullSafe(F.col("s")) | F.col("end").eqNullSafe(F.col("x")) & F.col("x").isNotNull()
+    return durable(out.select("s", "t", F.when(circle, F.col("s")).when(F.col("x").isNull(), F.col("at")).otherwise(F.col("end")).alias("at")))
+
+
+def resolve_links(links: DataFrame, source: str, target: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(source, target, resolved): chains of any length followed to their end; null for what
+    leads into a circle.
+
+    Of rows with one source the least target counts for those that lead there.
+    """
+    start = durable(links.select(F.col(source).alias("s"), F.col(target).alias("t")))
+    step = durable(start.groupBy("s").agg(F.min("t").alias("at")).where("s is not null"))
+    kind = step.schema["s"].dataType
+    if kind == step.schema["at"].dataType and (isinstance(kind, IntegralType) or kind == StringType()):
+        ends = _link_ends(step, hot_rows)
+        if start.count() == step.count():  # each source once: a link ends where its source does
+            found = F.when(~F.col("at").eqNullSafe(F.col("s")), F.col("at"))
+            return ends.select(F.col("s").alias(source), F.col("t").alias(target), found.alias("resolved"))
+    else:
+        ends = _doubled(step)
+    on = ends.select(F.col("s").alias("x"), F.col("at").alias("end"))
     out = start.join(on, F.col("t") == F.col("x"), "left")
-    found = F.when(F.col("x").isNull(), F.col("t")).when(~F.col("open"), F.col("end"))
+    found = F.when(F.col("x").isNull(), F.col("t")).when(~F.col("end").eqNullSafe(F.col("x")), F.col("end"))
     return out.select(F.col("s").alias(source), F.col("t").alias(target), found.alias("resolved"))
 
 

@@ -48,8 +48,18 @@ def write_archives(df: DataFrame, path: str, mode: str = "errorifexists", by: li
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint."""
+    """df from a reliable checkpoint.
+
+    A checkpoint keeps the estimate of its plan's size, and a join's is the product of both sides',
+    so a frame that is joined with itself in rounds has one of twice the digits each time, 2^24
+    times as many after 24; an estimate beyond a long gives way to none.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < 1 << 63:
+        return out
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)

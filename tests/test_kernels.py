@@ -8,6 +8,7 @@ from fixtures import gen_rsrc, gen_zip
 from pyspark.sql import functions as F
 
 from nestquery.operators import forms, kernels, verbs
+from nestquery.plans.durable import durable
 from nestquery.plans.expand import expand
 from nestquery.sources import members as M
 
@@ -61,6 +62,44 @@ def test_chains_of_links(spark, n):
     assert kernels.resolve_links(spark.createDataFrame([], "s long, t long"), "s", "t").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+@pytest.mark.parametrize("hot_rows", [10, 60, 10**6])
+def test_links_in_any_order_and_size(spark, hot_rows, kind):
+    """Chains within and across ranges of sources, circles, ends that are null, sources met twice."""
+    order = [(i * 37) % 300 + 1000 for i in range(300)]  # all over the ranges
+    rows = [(i, i + 1) for i in range(200)] + list(zip(order, order[1:])) + [(2000 + i, 2000 + (i * 7 + 7) % 100) for i in range(100)]
+    rows += [(-1, -2), (-2, -1), (-3, -1), (-5, -5), (-6, -5), (3000, None), (3001, 3000), *[(4000 + i, 0) for i in range(50)]]
+
+    def end(t, least):
+        seen = set()
+        while t in least:
+            if t in seen:
+                return None
+            seen.add(t)
+            t = least[t]
+        return t
+
+    for more in ([], [(100, 5), (100, None), (None, 7), (None, None)]):
+        cast = {"long": int, "string": str, "double": float}[kind]
+        data = [tuple(None if x is None else cast(x) for x in r) for r in rows + more]
+        targets = {}
+        for a, t in data:
+            targets.setdefault(a, []).append(t)
+        least = {a: min((t for t in ts if t is not None), default=None) for a, ts in targets.items() if a is not None}
+        want = sorted(((s, t, end(t, least)) for s, t in data), key=repr)
+        got = kernels.resolve_links(spark.createDataFrame(data, f"s {kind}, t {kind}"), "s", "t", hot_rows)
+        assert got.columns == ["s", "t", "resolved"] and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_rounds_of_joins_keep_small_estimates(spark):
+    """A join's estimated size is a product, so rounds would give it exponentially many digits."""
+    df = durable(spark.range(8).select("id", F.col("id").alias("x")))
+    for _ in range(12):
+        df = durable(df.join(df.select(F.col("id").alias("y")), F.col("x") == F.col("y")).select("id", "x"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert sorted(map(tuple, df.collect())) == [(i, i) for i in range(8)]
+
+
 def test_closure_of_long_chains_and_circles(spark):
     rows = [(i, i - 1 if i else None, f"n{i}") for i in range(150)] + [(900, 901, "x"), (901, 900, "y"), (902, 7777, "z")]
     got = {x.id: x.path for x in kernels.path_closure(spark.createDataFrame(rows, "id long, up long, name string"), "id", "up", "name").collect()}
