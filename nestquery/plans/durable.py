@@ -59,7 +59,10 @@ def durable(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_root(df.sparkSession))
     out = df.checkpoint(eager=True)
     plan = out._jdf.queryExecution()
-    if plan.optimizedPlan().stats().sizeInBytes() < 1 << 63:
-        return out
+    try:
+        if plan.optimizedPlan().stats().sizeInBytes() < 1 << 63:
+            return out
+    except ValueError:  # thousands of digits, which Python doesn't read
+        pass
     spark = df.sparkSession
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)

@@ -98,6 +98,11 @@ def test_rounds_of_joins_keep_small_estimates(spark):
         df = durable(df.join(df.select(F.col("id").alias("y")), F.col("x") == F.col("y")).select("id", "x"))
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
     assert sorted(map(tuple, df.collect())) == [(i, i) for i in range(8)]
+    plain = spark.range(8)
+    for _ in range(14):  # Spark's own checkpoint keeps the estimate
+        plain = plain.join(plain, "id").checkpoint()
+    df = durable(plain)
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63 and df.count() == 8
 
 
 def test_closure_of_long_chains_and_circles(spark):
