@@ -19,24 +19,29 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..plans.durable import bounded_batches
+
 SPACE_MARK = "▁"
 NO_RANK = np.iinfo(np.int32).max
 EMPTY, ABSENT = -1, -2
-#: Words whose ids one Python worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS, REMEMBERED_CHARS = 1_000_000, 50_000_000
+#: Words whose ids one Python worker remembers between blocks (some 200 bytes each); the memory is
+#: emptied when it is full, as a worker keeps it while it waits for other tasks.
+REMEMBERED_WORDS, REMEMBERED_CHARS = 200_000, 4_000_000
 #: Characters of a word from which on it is cut further, or merged by a heap.
 LONG_WORD = 256
-#: Characters of texts that are encoded together.
-BLOCK_CHARS = 1_000_000
+#: Characters of texts, and of new words, that are encoded together: the rounds take some 100
+#: bytes for each.
+BLOCK_CHARS = 250_000
 #: Runs of spaces and literal space marks, which plain splitting would cut wrongly.
 TANGLED = re.compile(rf"{SPACE_MARK}|  |^ | $| \n")
 
@@ -275,12 +280,11 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another, the end id after each, and where each begins."""
         cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED_WORDS or self.known_chars > REMEMBERED_CHARS:
-            self._forget()
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
         if new := list(islice(self.known, len(self.word_count), None)):
             self.known_chars += sum(map(len, new))
-            ids, count = self.encode_words(new)
+            parts = [self.encode_words(new[a:b]) for a, b in _blocks(map(len, new))]
+            ids, count = (np.concatenate(x) for x in zip(*parts))
             begin = len(self.word_ids) + np.cumsum(count) - count
             self.word_ids = np.r_[self.word_ids, ids]
             self.word_begin = np.r_[self.word_begin, begin]
@@ -290,6 +294,8 @@ class PieceModel:
         ends = np.r_[0, np.cumsum(count)][np.cumsum(words)]  # without end ids
         source = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         out = np.insert(self.word_ids[source], ends, self.eos)
+        if len(self.known) > REMEMBERED_WORDS or self.known_chars > REMEMBERED_CHARS:
+            self._forget()
         return out, np.r_[0, ends + np.arange(1, len(texts) + 1)]
 
     def _forget(self) -> None:
@@ -338,15 +344,16 @@ def load(path: str | None) -> PieceModel:
     return checked(PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+def _blocks(lengths: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that end where BLOCK_CHARS are reached."""
+    begin = end = size = 0
+    for end, n in enumerate(lengths, 1):
+        size += n
         if size >= BLOCK_CHARS:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+            yield begin, end
+            begin, size = end, 0
+    if begin < end:
+        yield begin, end
 
 
 def encode_decode(
@@ -371,9 +378,9 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in _blocks(texts):
-                flat, offsets = model.encode(texts[a:b])
+            texts = batch.column(batch.schema.get_field_index(text))
+            for a, b in _blocks(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                flat, offsets = model.encode(texts[a:b].to_pylist())
                 listed = flat.tolist()
                 plain = [model.decode(listed[x:y]) for x, y in zip(offsets[:-1], offsets[1:])]
                 part = batch.slice(a, b - a)
@@ -383,4 +390,5 @@ def encode_decode(
                     names=[*kept, ids, decoded],
                 )
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import bounded_batches
 from .common import shares, spread_join
 
 BANDS, ROWS = 20, 3
@@ -63,6 +64,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle, xxh)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 

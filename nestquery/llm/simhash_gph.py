@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import bounded_batches
 from .common import connected_components, durable, spanning_edges, spread_join
 from .shingle_sets import BANDS, band_keys, linked, sets_of, shingle_hashes, verified
 from .shingle_sets import BLOCK as BUCKET
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle, xxh)) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
@@ -283,6 +285,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
             named = pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array(fps), bands], names=["doc_id", "h", "key", "fp", "bands"])
 
+    bounded_batches(docs.sparkSession)
     return _named(docs).mapInArrow(run, "doc_id long, h long, key binary, fp long, bands array<long>")
 
 

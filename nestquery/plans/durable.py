@@ -23,7 +23,7 @@ def work_folder(spark: SparkSession, kind: str = "expand") -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-#: Bytes of archives that Spark hands to a Python worker at once; an archive is never cut.
+#: Bytes of archives, or of texts, that Spark hands to a Python worker at once; none is cut.
 BATCH_SETTING, ARCHIVE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 

@@ -5,13 +5,16 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from nestquery.llm import chat_format, license_scan, mixing_tree, quality_mcd, secret_markov, sentencepiece_bpe
+from nestquery.llm import chat_format, license_scan, mixing_tree, quality_mcd, secret_markov, sentencepiece_bpe, simhash_gph
+from nestquery.plans.durable import ARCHIVE_BYTES, BATCH_SETTING
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans string, shard string, kept string, ids string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -484,6 +487,51 @@ def test_sentencepiece(spark):
     assert sentencepiece_bpe.encode_decode(docs(spark, [])).count() == 0
 
 
+def test_sentencepiece_worker_stays_small():
+    """Neither a long text of new words nor many of them make a worker grow."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, sp = sentencepiece_bpe.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=8)) for _ in range(150_000)) for _ in range(3)]
+    model.encode([""])
+    tracemalloc.start()
+    try:
+        first = model.encode(texts[:1])[0]
+        most = tracemalloc.get_traced_memory()[1]
+        for t in texts[1:]:
+            model.encode([t])
+        held = tracemalloc.get_traced_memory()[0] - first.nbytes
+    finally:
+        tracemalloc.stop()
+    assert first.tolist() == sp.encode(texts[0], add_eos=True)
+    assert most < 100 << 20 and held < 50 << 20, (most >> 20, held >> 20)
+    # The blocks of a batch end at bounds of characters, not of rows, and lose no row.
+    lengths = [0, 3, sentencepiece_bpe.BLOCK_CHARS, 0, 1, 5 * sentencepiece_bpe.BLOCK_CHARS, 0]
+    assert list(sentencepiece_bpe._blocks(lengths)) == [(0, 3), (3, 6), (6, 7)]
+    assert list(sentencepiece_bpe._blocks([])) == []
+
+
+def test_texts_move_in_bounded_batches(spark):
+    """A batch that goes to a Python worker is closed by its bytes, not after 10,000 rows."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        rows = docs(spark, ["w" * 50_000] * 600).coalesce(1)
+        sentencepiece_bpe.encode_decode(rows)
+        seen = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches), "b long")
+        sizes = [x.b for x in seen.collect()]
+        assert sum(sizes) > 30_000_000 and max(sizes) < 2 * ARCHIVE_BYTES
+        spark.conf.unset(BATCH_SETTING)
+        simhash_gph.fingerprints(rows)
+        assert spark.conf.get(BATCH_SETTING, None) is not None
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def test_decode_any_ids():
     import public_tokenizers
 
